@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relational import table
-from . import mixing, percentiles, proportions, tables
+from . import mixing, neighbours, percentiles, proportions, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -27,6 +27,20 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.stratified_sample(c, proportions.stratum_report(c, table(spark, sf_dir, "sample_targets")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, max_distance=1.0, probes=1)
+    return neighbours.mutual_pairs(near).select("cell_id_a", "cell_id_b")
+
+
+#: The cells whose number is divisible by 50 ask, all rows answer.
+EVERY_50TH = "try_cast(regexp_extract(cell_id, '([0-9]+)$', 1) AS bigint) % 50 = 0"
+
+
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, probes=24, query=EVERY_50TH)
+    return near.select("cell_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = percentiles.frequencies(tables.measurements(spark, sf_dir), ["field_name", "group_key"], "value")
     return percentiles.percentiles(f, ["field_name", "group_key"], QUARTILES, least=20)
@@ -60,7 +74,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_percentiles, p7_found, p7_report, p7_mix)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_nearest, p4_found, p4_percentiles, p7_found, p7_report, p7_mix)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
