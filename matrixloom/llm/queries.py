@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relational import table
-from . import mixing, neighbours, percentiles, proportions, tables
+from . import clusters, mixing, neighbours, percentiles, proportions, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -55,6 +55,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir).where("group_key IS NOT NULL").where(far).select("field_name", "group_key")
 
 
+#: Rows at most this far apart belong together; groups from this size on come out.
+CHAIN, LEAST_MEMBERS = 15.0, 10
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = clusters.chained_groups(tables.vectors(spark, sf_dir), CHAIN)
+    return clusters.group_members(groups, LEAST_MEMBERS).select("cluster_key", "cell_id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    members = clusters.group_members(clusters.chained_groups(v, CHAIN), LEAST_MEMBERS)
+    levels = tables.cells(spark, sf_dir).select("cell_id", F.col("cell_cycle").alias("level"))
+    parts, counts = clusters.describe_groups(members, v, levels, CHAIN / 2)
+    told = counts.groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("levels"))
+    told = told.withColumn("levels", F.array_join(F.transform("levels", lambda s: F.concat_ws(":", F.coalesce(s["level"], F.lit("unknown")), s["n"].cast("string"))), " "))
+    return parts.join(told, "cluster_key").select("cluster_key", "part", "size", F.round("spread", 6).alias("spread"), F.array_join("medoids", " ").alias("medoids"), "levels")
+
+
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = tables.sourced_documents(spark, sf_dir)
     return docs, mixing.mix_plan(docs, table(spark, sf_dir, "mix_targets"))
@@ -74,7 +93,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_nearest, p4_found, p4_percentiles, p7_found, p7_report, p7_mix)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_report, p7_mix)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
