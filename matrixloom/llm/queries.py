@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relational import table
-from . import clusters, mixing, neighbours, percentiles, proportions, tables
+from . import clusters, mixing, neighbours, percentiles, proportions, subset, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -27,6 +27,21 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.stratified_sample(c, proportions.stratum_report(c, table(spark, sf_dir, "sample_targets")))
 
 
+def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "subset_requests")
+    cells = tables.cells(spark, sf_dir).select("cell_id", "batch", F.col("cell_cycle").alias("category")).where("category IS NOT NULL")
+    cells = cells.join(asked.select("batch").distinct(), "batch", "left_semi")
+    return subset.nominees(cells.join(tables.vectors(spark, sf_dir), "cell_id"), asked)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p2(spark, sf_dir).where("lone").select("request_id", "cell_id")
+
+
+def p2_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.varied_subset(_p2(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, max_distance=1.0, probes=1)
     return neighbours.mutual_pairs(near).select("cell_id_a", "cell_id_b")
@@ -93,7 +108,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_report, p7_mix)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_report, p7_mix)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
