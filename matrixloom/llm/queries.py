@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relational import table
-from . import clusters, mixing, neighbours, percentiles, proportions, subset, tables
+from . import clusters, leakage, mixing, neighbours, percentiles, proportions, subset, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -89,6 +89,18 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(told, "cluster_key").select("cluster_key", "part", "size", F.round("spread", 6).alias("spread"), F.array_join("medoids", " ").alias("medoids"), "levels")
 
 
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_report(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = tables.sourced_documents(spark, sf_dir)
     return docs, mixing.mix_plan(docs, table(spark, sf_dir, "mix_targets"))
@@ -108,7 +120,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_report, p7_mix)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
