@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relational import table
-from . import clusters, leakage, mixing, neighbours, percentiles, proportions, subset, tables
+from . import clusters, leakage, mixing, neighbours, percentiles, proportions, sentences, subset, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -119,8 +119,12 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(*_p7(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p8_found)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
