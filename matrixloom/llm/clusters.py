@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import batches, kmeans, local_components, matrix, nearest, ragged, reach, sample, sq_distances
+from .space import batches, kmeans, local_components, matrix, ragged, reach, same_length, sample, sq_distances, usable
 
 #: Landmarks and witnesses of one at most; rows of a task; rows aimed at in a cell of the thin rest; its cells at most.
 MOST_LANDMARKS, WITNESSES, CHUNK_ROWS, CELL_ROWS, MOST_CELLS = 2_048, 24, 8_000, 1_500, 2_048
@@ -134,8 +134,9 @@ def chained_groups(vectors: DataFrame, radius: float) -> DataFrame:
 
     Rows at most ``radius`` apart, or joined by a chain of such rows, share a ``label``; a row without
     any near row has its own. ``node`` is the lump a row lies in (a string ``#n``) or its own id.
-    Exact for any data. Rows with a null id or vector take no part; an empty table gives an empty
-    result; other columns are ignored; ids are unique.
+    Exact for any data. Rows with a null id, or a vector that is null, holds null, NaN or infinity or has
+    another length than most, take no part; a repeated row comes out as often as it comes in; an empty
+    table gives an empty result; other columns are ignored.
 
     1. Lumps around at most 2,048 landmarks of a sample take the dense part: no two of their rows are
        ever compared. A row near another lump is joined to it if it is near one of its witnesses.
@@ -145,7 +146,7 @@ def chained_groups(vectors: DataFrame, radius: float) -> DataFrame:
     4. The lumps that parts of the rest connect are joined: at most one pair for any two of them.
     """
     spark = vectors.sparkSession
-    v = written(vectors.where("cell_id IS NOT NULL AND coords IS NOT NULL").select("cell_id", "coords"), "vectors")
+    v = same_length(written(usable(vectors), "vectors"))
     out = "cell_id string, node string, label string"
     x = sample(v, v.count())
     if not len(x):

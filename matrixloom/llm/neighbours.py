@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import batches, kmeans, lists, matrix, nearest, ragged, reach, sample
+from .space import batches, kmeans, matrix, nearest, ragged, reach, same_length, sample, usable
 
 #: Vectors aimed at in a list and held by one task of it, queries of a list in one task, lists at most.
 LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 4_000, 8_000, 40_000, 4_096
@@ -144,20 +144,20 @@ def nearest_vectors(
     asks, never who is found. With ``max_distance`` neighbours beyond it are left out and the result
     is exact: lists are probed by a bound that misses nothing within it, and coding errors are allowed
     for. Without it the ``probes`` nearest lists are searched, with a small loss of recall. Ties go to the
-    smaller id. Rows with a null id or vector take no part; an empty table gives an empty result; other
+    smaller id. Rows with a null id, or a vector that is null, holds null, NaN or infinity or has another
+    length than most, take no part; repeated rows are one; an empty table gives an empty result; other
     columns are ignored.
 
     Rows with the same vector are one entry of the index, so that groups of copies of any size cost
     nothing; a copy's nearest are the other copies with the smallest ids, then the neighbours of the
     entry. Lists and their queries are split into blocks of bounded size by sizes counted beforehand.
     """
-    vectors = vectors.where("cell_id IS NOT NULL AND coords IS NOT NULL").select("cell_id", "coords")
     asks = F.coalesce(F.expr(query), F.lit(False)) if query else F.lit(True)
-    v = written(vectors.select("cell_id", "coords"), "vectors")
+    v = same_length(written(usable(vectors), "vectors"))
     groups = v.groupBy("coords").agg(F.min("cell_id").alias("cell_id"), F.count(F.lit(1)).alias("n"), F.max(asks).alias("asks"))
     groups = written(groups, "distinct")
     # of each entry only the k + 1 smallest ids can be among anybody's k nearest
-    members = v.join(groups.where("n > 1").select("coords", F.col("cell_id").alias("rep")), "coords").select("rep", "cell_id")
+    members = v.join(groups.where("n > 1").select("coords", F.col("cell_id").alias("rep")), "coords").select("rep", "cell_id").distinct()
     few = members.withColumn("_i", F.row_number().over(Window.partitionBy("rep").orderBy("cell_id"))).where(F.col("_i") <= k + 1).drop("_i")
     found = _searched(groups, k + 1, max_distance, probes, "asks" if query else None, rerank)
     own = groups.where("n > 1").select(F.col("cell_id").alias("a"), F.col("cell_id").alias("b"), F.lit(0.0).alias("distance"))

@@ -57,6 +57,11 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(quota=q)
 
 
+def _cells(cells: DataFrame) -> DataFrame:
+    """The columns in use; a null id is no cell, and a repeated row one."""
+    return cells.select("cell_id", "batch", "treatment", "mutation_status").where("cell_id IS NOT NULL").dropDuplicates(["cell_id"])
+
+
 def stratum_report(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """What each stratum of each request wants, has and gets.
 
@@ -73,7 +78,7 @@ def stratum_report(cells: DataFrame, targets: DataFrame) -> DataFrame:
     targets = targets.select(
         "request_id", "stratum_no", "batch", "treatment", "mutation_status", "target_share", "sample_size", "min_cells"
     ).dropDuplicates(["request_id", "stratum_no"])
-    counts = cells.groupBy("batch", "treatment", "mutation_status").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _cells(cells).groupBy("batch", "treatment", "mutation_status").agg(F.count(F.lit(1)).alias("_n"))
     c, t = counts.alias("c"), targets.alias("t")
     fits = (
         (F.col("t.batch") == F.col("c.batch"))
@@ -102,7 +107,7 @@ def stratified_sample(cells: DataFrame, report: DataFrame, seed: int = 1) -> Dat
     r = report.select("request_id", "stratum_no", "batch", "treatment", "mutation_status", "quota", "available").alias("t")
     salts = 16  # a batch may hold a third of all cells
     r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("t")
-    c = cells.withColumn("_salt", F.pmod(F.xxhash64("cell_id"), F.lit(salts)).cast("int")).alias("c")
+    c = _cells(cells).withColumn("_salt", F.pmod(F.xxhash64("cell_id"), F.lit(salts)).cast("int")).alias("c")
     fits = (
         (F.col("t.batch") == F.col("c.batch"))
         & (F.col("t._salt") == F.col("c._salt"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -40,6 +42,8 @@ LETTERED = frozenset("phase fase фаза фазе фазу group gruppe groupe
 
 OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“", "‘": "’", "‚": "‘", "‹": "›", '"': '"'}
 CLOSE = frozenset(OPEN.values()) | {"”", "’"}
+#: Which opening marks a closing mark can close.
+CLOSED_BY = {c: "".join(o for o, x in OPEN.items() if x == c) for c in CLOSE} | {"”": "“„", "“": "„", "»": "«", "«": "»", "’": "‘‚", "‘": "‚"}
 BRACKETS = frozenset("([{（【〔")
 FULL = "。！？｡।॥؟!?‼⁇⁈⁉"
 ENDS = frozenset(FULL + ".．…")
@@ -56,6 +60,10 @@ _SMALL_START = regex.compile(r"(?:mt|p|log|q|t|k|x|y|z|e)-\p{L}{2,}|\p{Ll}{1,2}\
 _DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}\Z")
 
 
+#: Characters looked back at most for what a mark depends on, so that time stays linear in the text.
+BACK = 200
+
+
 class Trie:
     """Abbreviations by their letters from the last to the first, each with its kind."""
 
@@ -95,6 +103,7 @@ TRIE = Trie({"inside": INSIDE, "numbered": NUMBERED, "either": EITHER})
 def _pairs(t: str, lo: int, hi: int) -> dict[int, int]:
     """Places of opening marks in t[lo:hi] to those of the marks that close them; what never closes counts for nothing."""
     stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
     out: dict[int, int] = {}
     for m in _PAIRS.finditer(t, lo, hi):
         i, ch = m.start(), m.group()
@@ -103,24 +112,28 @@ def _pairs(t: str, lo: int, hi: int) -> dict[int, int]:
         if ch in "’‘" and prev.isalnum() and nxt.isalnum():
             continue  # an apostrophe
         if ch == '"':
-            opens = not any(x == '"' for x, _ in stack) or (prev.isspace() and not nxt.isspace() and stack[-1][0] != '"')
+            opens = not held['"'] or (prev.isspace() and not nxt.isspace() and stack[-1][0] != '"')
         elif ch == "“":
-            opens = not any(x == "„" for x, _ in stack)
+            opens = not held["„"]
         elif ch == "‘":
-            opens = not any(x == "‚" for x, _ in stack)
-        elif ch == "»" and not any(x == "«" for x, _ in stack):
+            opens = not held["‚"]
+        elif ch == "»" and not held["«"]:
             opens = (prev.isspace() or prev in "([") and not nxt.isspace()
-        elif ch == "«" and any(x == "»" for x, _ in stack):
+        elif ch == "«" and held["»"]:
             opens = False
         else:
             opens = ch in OPEN
         if opens:
             stack.append((ch, i))
+            held[ch] += 1
+            continue
+        if not any(held[o] for o in CLOSED_BY.get(ch, ())):
             continue
         for k in range(len(stack) - 1, -1, -1):
-            o = stack[k][0]
-            if OPEN.get(o) == ch or (o in "“„" and ch in "”“") or (o == "»" and ch == "«") or (o in "‘‚" and ch in "’‘"):
+            if stack[k][0] in CLOSED_BY[ch]:
                 out[stack[k][1]] = i
+                for o, _ in stack[k:]:
+                    held[o] -= 1
                 del stack[k:]
                 break
     return out
@@ -212,7 +225,7 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
     if nxt and nxt in ",;:،؛、，；：":
         return False
     k = dot
-    while k > lo and (t[k - 1].isalnum() or t[k - 1] in "_.-'’" or t[k - 1] in HIDDEN or regex.match(r"\p{M}", t[k - 1])):
+    while k > max(lo, dot - BACK) and (t[k - 1].isalnum() or t[k - 1] in "_.-'’" or t[k - 1] in HIDDEN or regex.match(r"\p{M}", t[k - 1])):
         k -= 1
     token = "".join(c for c in t[k:dot] if c not in HIDDEN)
     if nxt and not nxt.isspace() and nxt not in CLOSE and nxt not in OPEN:
@@ -253,8 +266,8 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
             return False  # parts of one abbreviation
         if token.isupper() and first.isupper():
             # an initial at the start, after another one or a title, or after a word that names take
-            before = t[lo:k].rstrip()
-            if not before.strip("\"'“„«‘([（¿¡—- ") or _MARK.fullmatch(t, lo, k):
+            before = t[max(lo, k - BACK) : k].rstrip()
+            if not before.strip("\"'“„«‘([（¿¡—- ") or _MARK.fullmatch(t, max(lo, k - BACK), k):
                 return False
             last = before.split()[-1]
             if last.lower() in LETTERED:
@@ -274,7 +287,7 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
             return bool(m) and m.group() in ("Der", "Die", "Das", "Ein", "Eine", "Es", "Er", "Sie", "Wir", "Im", "In", "Am", "Jede", "Warum", "Bitte", "Nichts", "Abb", "Dr", "The")
         return _starts(t, i, hi)
     if token.isnumeric():
-        before = t[lo:k].split()
+        before = t[max(lo, k - BACK) : k].split()
         if before and before[-1].lower() in GERMAN_ORDINAL and len(token) <= 2 and first.isalpha() and not regex.match(r"The|In|We|A\b", t, pos=i):
             return False
         return not (first.islower() and before and before[-1].lower() in GERMAN_ORDINAL)
@@ -297,13 +310,15 @@ def spans(t: str) -> list[tuple[int, int]]:
         event = _EVENT_THAI if thai else _EVENT
         lo = _skip(t, begin, hi)
         pos = max(body, lo)
+        is_thai, looked = False, lo
 
         def cut(end: int) -> None:
-            nonlocal lo, pos
+            nonlocal lo, pos, is_thai, looked
             while end < hi and t[end] in CLOSE and end not in pairs:
                 end += 1
             out.append((lo, end))
-            lo = pos = _skip(t, end, hi)
+            lo = pos = looked = _skip(t, end, hi)
+            is_thai = False
 
         while pos < hi:
             m = event.search(t, pos, hi)
@@ -312,7 +327,9 @@ def spans(t: str) -> list[tuple[int, int]]:
             i, ch = m.start(), m.group()
             if ch.isspace():
                 pos = m.end()
-                if _THAI.search(t, lo, i) and _skip(t, i, hi) < hi and "\n" not in ch and "\r" not in ch:
+                is_thai = is_thai or _THAI.search(t, looked, i) is not None
+                looked = i
+                if is_thai and _skip(t, i, hi) < hi and "\n" not in ch and "\r" not in ch:
                     cut(i)
                 continue
             if ch not in ENDS:
@@ -324,7 +341,7 @@ def spans(t: str) -> list[tuple[int, int]]:
                 while k > i and (t[k].isspace() or t[k] in CLOSE):
                     k -= 1
                 over = k > i and t[k] in ENDS and not (t[k] == "." and t[k - 1] != "." and not _full_stop(t, i + 1, k, k + 1))
-                at_start = not t[max(lo, body) : i].strip("¿¡—–-*_`\"'“„«‘ \t\r\n")
+                at_start = i - lo < BACK and not t[max(lo, body) : i].strip("¿¡—–-*_`\"'“„«‘ \t\r\n")
                 pos = c + 1
                 if over and _after_quote(t, i, c, hi, at_start):
                     cut(c + 1)

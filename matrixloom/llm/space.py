@@ -127,6 +127,18 @@ def local_components(x: np.ndarray, radius: float, block: int = 512) -> np.ndarr
     return label
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """(cell_id, coords) of the rows with an id and a vector free of null, NaN and infinite coordinates."""
+    bad = F.exists("coords", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return df.select("cell_id", "coords").where(F.col("cell_id").isNotNull() & F.coalesce((F.size("coords") > 0) & ~bad, F.lit(False)))
+
+
+def same_length(df: DataFrame) -> DataFrame:
+    """The rows whose vector has the most frequent length."""
+    d = df.agg(F.mode(F.size("coords"))).first()[0]
+    return df if d is None else df.where(F.size("coords") == d)
+
+
 def batches(fn, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``fn`` from table to table over the batches of a partition; empty ones are skipped."""
     for b in it:
