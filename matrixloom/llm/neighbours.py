@@ -14,8 +14,8 @@ from .space import batches, kmeans, matrix, nearest, ragged, reach, same_length,
 
 #: Vectors aimed at in a list and held by one task of it, queries of a list in one task, lists at most.
 LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 4_000, 8_000, 40_000, 4_096
-#: Codewords of a subspace and dimensions of one.
-CODEWORDS, SUBSPACE = 256, 2
+#: Codewords of a subspace, dimensions of one, rows whose table sums are added up at a time.
+CODEWORDS, SUBSPACE, ADC_ROWS = 256, 4, 512
 
 
 class Index:
@@ -37,9 +37,13 @@ class Index:
     def tables(self, q: np.ndarray, at: int) -> list[np.ndarray]:
         """Asymmetric distance tables (codeword x query) of the queries against list ``at``."""
         r = q - self.centroids[at]
-        return [
-            ((b[:, None, :] - r[None, :, s]) ** 2).sum(2).astype(np.float32) for s, b in zip(self.cuts, self.books, strict=True)
-        ]
+        out = []
+        for s, b in zip(self.cuts, self.books, strict=True):
+            t = b @ (-2.0 * r[:, s].T)
+            t += (b**2).sum(1)[:, None]
+            t += (r[:, s] ** 2).sum(1)[None]
+            out.append(t.astype(np.float32))
+        return out
 
     def search(self, q: np.ndarray, x: np.ndarray, at: int, same: np.ndarray, k: int, radius: float | None, rerank: int) -> tuple:
         """(query, row, distance) of the best ``k`` rows of list ``at`` for each query.
@@ -51,18 +55,29 @@ class Index:
         codes, err = self.encode(x, at)
         out: list[tuple] = []
         bound = None if radius is None else ((radius + err) ** 2 * (1 + 1e-4) + 1e-3).astype(np.float32)
+        # sums of table rows stay in buffers of cache size, a block of rows and queries at a time
+        step = ADC_ROWS if radius is not None else max(len(x), 1)
+        total, part = np.empty((step, 256), np.float32), np.empty((step, 256), np.float32)
         for i in range(0, len(q), 256):
             qb = q[i : i + 256]
             t = self.tables(qb, at)
-            adc = t[0][codes[:, 0]]
-            for m in range(1, len(t)):
-                adc += t[m][codes[:, m]]
-            if radius is not None:
-                row, col = np.nonzero(adc <= bound[:, None])
-            else:
-                n = min(rerank, len(x))
-                row = (np.argpartition(adc, n - 1, 0)[:n]).ravel()
-                col = np.tile(np.arange(len(qb)), n)
+            rows_, cols_ = [], []
+            for j in range(0, len(x), step):
+                c = codes[j : j + step]
+                adc, one = total[: len(c), : len(qb)], part[: len(c), : len(qb)]
+                np.take(t[0], c[:, 0], 0, out=adc, mode="clip")
+                for m in range(1, len(t)):
+                    np.take(t[m], c[:, m], 0, out=one, mode="clip")
+                    adc += one
+                if radius is not None:
+                    row, col = np.nonzero(adc <= bound[j : j + step, None])
+                else:
+                    n = min(rerank, len(x))
+                    row = np.argpartition(adc, n - 1, 0)[:n].ravel()
+                    col = np.tile(np.arange(len(qb)), n)
+                rows_.append(row + j)
+                cols_.append(col)
+            row, col = np.concatenate(rows_), np.concatenate(cols_)
             keep = same[i + col] != row
             row, col = row[keep], col[keep]
             d = np.sqrt(((x[row] - qb[col]) ** 2).sum(1))
