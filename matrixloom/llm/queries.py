@@ -108,7 +108,7 @@ def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = mixing.mix_report(_p7(spark, sf_dir)[1])
-    return r.select("mix_id", "source", F.round("wanted", 3).alias("wanted"), "available", "routed", F.round("share_reached", 6).alias("share_reached"), "short")
+    return r.select("mix_id", "source", "wanted", "available", "routed", F.round("share_reached", 6).alias("share_reached"), "short")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +169,6 @@ SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT request_id, stratum_no FROM have WHERE available < wanted",
     "p4_percentiles": _P4 + "SELECT field_name, group_key, n_values, " + ", ".join(f"round({q}, 6) AS {q}" for q in QUARTILES) + " FROM q",
     "p4_found": _P4 + "SELECT field_name, group_key FROM q WHERE (field_name = 'rle' AND (abs(q50) > 0.5 OR q75 - q25 > 2.5 OR q95 > 5 OR q05 < -5)) OR (field_name = 'logcounts' AND q50 > 5)",
-    "p7_report": _P7 + "SELECT mix_id, source, round(wanted, 3) AS wanted, available, routed, round(routed::DOUBLE / sum(routed) OVER (PARTITION BY mix_id), 6) AS share_reached, routed < wanted AS short FROM r",
+    "p7_report": _P7 + "SELECT mix_id, source, wanted, available, routed, round(routed::DOUBLE / sum(routed) OVER (PARTITION BY mix_id), 6) AS share_reached, routed < wanted AS short FROM r",
     "p7_found": _P7 + "SELECT mix_id, source FROM w WHERE wanted > max_repeats * available",
 }
