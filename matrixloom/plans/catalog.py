@@ -223,7 +223,7 @@ def highest_exprs(spark, d):
     return r6(V.highest_exprs(_basket(spark, d)).select("Tag", "rank", "score").distinct(), "score")
 
 
-@query(f"""WITH {LIB}, t AS (SELECT feature_id, sum(value) AS s FROM basket WHERE feature_id > 3 GROUP BY 1), top AS (SELECT feature_id, s, row_number() OVER (ORDER BY s DESC, feature_id)::INT AS rank FROM t QUALIFY rank <= 10)
+@query(f"""WITH {LIB}, t AS (SELECT feature_id, sum(value) AS s FROM basket WHERE feature_id NOT IN (1, 2, 3) GROUP BY 1), top AS (SELECT feature_id, s, row_number() OVER (ORDER BY s DESC, feature_id)::INT AS rank FROM t QUALIFY rank <= 10)
 SELECT lib.cell_id AS "Cell", top.feature_id AS "Tag", rank, CASE WHEN total > 0 THEN round(coalesce(value, 0) * 100 / total, 6) END AS value FROM lib CROSS JOIN top LEFT JOIN basket b ON b.cell_id = lib.cell_id AND b.feature_id = top.feature_id""")
 def highest_exprs_cells(spark, d):
     return r6(V.highest_exprs(_basket(spark, d), 10, drop_features=[1, 2, 3]).select("Cell", "Tag", "rank", "value"), "value")
