@@ -151,7 +151,7 @@ def _searched(base: DataFrame, k: int, radius: float | None, probes: int, query:
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 5, max_distance: float | None = None, probes: int = 8, query: str | None = None, rerank: int = 64
+    vectors: DataFrame, k: int = 5, max_distance: float | None = None, probes: int = 8, query: str | None = None, rerank: int = 256
 ) -> DataFrame:
     """The k nearest other rows of every row: (cell_id, neighbour, distance, rank).
 

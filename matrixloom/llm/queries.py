@@ -52,7 +52,7 @@ EVERY_50TH = "try_cast(regexp_extract(cell_id, '([0-9]+)$', 1) AS bigint) % 50 =
 
 
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, probes=24, query=EVERY_50TH)
+    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, probes=8, query=EVERY_50TH)
     return near.select("cell_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
@@ -164,7 +164,18 @@ t AS (SELECT *, sum(available) OVER (PARTITION BY mix_id) AS total FROM s),
 w AS (SELECT mix_id, source, target_share * total_ratio * total AS wanted, available, max_repeats FROM t),
 r AS (SELECT *, least(ceil(wanted)::BIGINT, max_repeats * available)::BIGINT AS routed FROM w)
 """
+_VECTORS = """vec AS (
+  SELECT cell_id, coords::DOUBLE[20] AS v FROM (SELECT cell_id, arg_max(coalesce(coords, []), written_at) AS coords FROM reduceddims WHERE dimred = 'PCA' GROUP BY cell_id)
+  WHERE len(coords) = 20 AND len(list_filter(coords, lambda x: x IS NULL OR isnan(x))) = 0)"""
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_CELLS}, {_VECTORS}, a AS (
+  SELECT request_id, radius, c.cell_id, cell_cycle, v FROM subset_requests r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL),
+near AS (SELECT DISTINCT a.request_id, a.cell_id FROM a JOIN a b ON a.request_id = b.request_id AND a.cell_cycle = b.cell_cycle AND a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= a.radius)
+SELECT request_id, cell_id FROM a ANTI JOIN near USING (request_id, cell_id)""",
+    "p3_found": f"""WITH {_VECTORS}, d AS (
+  SELECT a.cell_id AS a, b.cell_id AS b, array_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 1.0),
+k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+SELECT x.a AS cell_id_a, x.b AS cell_id_b FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
     "p1_report": _P1 + "SELECT request_id, stratum_no, available, wanted, greatest(wanted - available, 0) AS shortfall FROM have",
     "p1_found": _P1 + "SELECT request_id, stratum_no FROM have WHERE available < wanted",
     "p4_percentiles": _P4 + "SELECT field_name, group_key, n_values, " + ", ".join(f"round({q}, 6) AS {q}" for q in QUARTILES) + " FROM q",
