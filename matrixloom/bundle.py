@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.relational import written
+
 
 @dataclass(frozen=True)
 class Bundle:
@@ -68,6 +70,15 @@ class Bundle:
             raise KeyError(f"no alternative experiment named {altexp!r}")
         return self.alts[altexp]
 
+    def realised(self, *names: str) -> Bundle:
+        """The bundle with assays (all by default) computed once and written to the shared folder.
+
+        For work that goes over an assay several times: what an assay is derived from is then read
+        once, and the passes scan a narrow table. Runs a job.
+        """
+        done = {n: written(a, "assay") if not names or n in names else a for n, a in self.assays.items()}
+        return replace(self, assays=done)
+
     # named accessors
     def counts(self) -> DataFrame | None:
         return self.assay("counts")

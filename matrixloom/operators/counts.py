@@ -124,9 +124,8 @@ def log_norm_counts(bundle: Bundle, assay_type: str = "counts", size_factors: Da
 
 def calculate_cpm(bundle: Bundle, assay_type: str = "counts") -> DataFrame:
     """Values per million of their cell's total."""
-    a = bundle.need(assay_type)
-    t = a.groupBy("cell_id").agg(F.sum("value").alias("_t"))
-    return a.join(t, "cell_id").select("feature_id", "cell_id", F.try_divide(F.col("value") * 1e6, F.col("_t")).alias("value"))
+    t = F.sum("value").over(Window.partitionBy("cell_id"))
+    return bundle.need(assay_type).select("feature_id", "cell_id", F.try_divide(F.col("value") * 1e6, t).alias("value"))
 
 
 def calculate_fpkm(bundle: Bundle, lengths: DataFrame, assay_type: str = "counts") -> DataFrame:
@@ -138,8 +137,8 @@ def calculate_tpm(bundle: Bundle, lengths: DataFrame, assay_type: str = "counts"
     """Length-scaled values, brought to a million per cell."""
     a = bundle.need(assay_type).join(lengths, "feature_id", "left")
     a = a.select("feature_id", "cell_id", F.try_divide(F.col("value"), F.col("length")).alias("r"))
-    t = a.groupBy("cell_id").agg(F.sum("r").alias("_t"))
-    return a.join(t, "cell_id").select("feature_id", "cell_id", F.try_divide(F.col("r") * 1e6, F.col("_t")).alias("value"))
+    t = F.sum("r").over(Window.partitionBy("cell_id"))
+    return a.select("feature_id", "cell_id", F.try_divide(F.col("r") * 1e6, t).alias("value"))
 
 
 def calculate_average(bundle: Bundle, size_factors: DataFrame | None = None, assay_type: str = "counts") -> DataFrame:

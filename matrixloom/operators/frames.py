@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..bundle import Bundle, dense, number_of
+from ..functions.relational import written
 from .counts import cumulative_shares, top_features, totals
 from .grouped import bin2d, contingency, scale_rows
 from .retrieve import attach, expression_long, factor_levels, retrieve_cell_info, retrieve_feature_info, select_cells, select_features
@@ -108,14 +109,14 @@ def scater(bundle: Bundle, nfeatures: int = 500, block1: str | None = None, bloc
     return d.withColumnRenamed("cell_id", "Cell").withColumnRenamed("position", "Feature").withColumnRenamed("pct", "Proportion_Library")
 
 
-def _deviations(bundle: Bundle, assay_type: str, logged: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored values, feature medians with zeros counted, and the features whose median is not 0."""
+def _deviations(bundle: Bundle, assay_type: str, logged: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored values, and feature medians with zeros counted."""
     a = bundle.need(assay_type).select("feature_id", "cell_id", (F.col("value") if logged else F.log2(F.col("value") + 1)).alias("value"))
     k = a.groupBy("feature_id").agg(F.count(F.lit(1)).alias("_k"))
     zero = bundle.features.select("feature_id").join(k, "feature_id", "left").select("feature_id", F.lit(0.0).alias("value"), (number_of(bundle.cells) - F.coalesce("_k", F.lit(0))).cast("long").alias("w"))
     both = a.select("feature_id", "value", F.lit(1).cast("long").alias("w")).unionByName(zero)
     med = both.groupBy("feature_id").agg(F.percentile("value", F.lit(0.5), F.col("w")).alias("med"))
-    return a, med, med.where("med <> 0")
+    return a, med
 
 
 def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, style: str = "minimal", features=None, colour_by=None) -> DataFrame:
@@ -126,7 +127,9 @@ def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, styl
     cell has one row of deviation 0 with their number as frequency; only features with another median
     are completed.
     """
-    a, med, some = _deviations(bundle, assay_type, logged)
+    a, med = _deviations(bundle, assay_type, logged)
+    med = written(med, "medians")  # one row per feature, used four times
+    some = med.where("med <> 0")
     if style == "full":
         f = select_features(bundle, features)
         d = dense(a, f, bundle.cells).join(med, "feature_id")

@@ -191,3 +191,32 @@ def density(df: DataFrame, value: str, group: str | None, low: float, high: floa
     z = (F.col("x") - low - F.col("_b") * step) / F.col("_h")
     k = F.col("_k") * F.exp(-z * z / 2) / (F.col("_n") * F.col("_h") * float(np.sqrt(2 * np.pi)))
     return j.groupBy("group", "x").agg(F.sum(k).alias("density"))
+
+
+def spread_by_level(df: DataFrame, x: str = "X", y: str = "Y") -> DataFrame:
+    """(X, n, q25, median, q75) of a numeric column per level: the bars inside violins. Nulls and NaN are left out."""
+    d = df.where(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL AND NOT isnan(cast(`{y}` AS double))")
+    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = d.groupBy(F.col(x).alias("X")).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
+    return out.select("X", "n", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "median", "q75"))])
+
+
+def cluster_order(x: np.ndarray) -> list[int]:
+    """The order of the rows of a small matrix along a complete-linkage tree, as heat maps sort them; at least 2 rows.
+
+    For the selected rows of a heat map, at most 2,000: all pairs are held on the driver.
+    """
+    n = len(x)
+    if not 2 <= n <= 2_000:
+        raise ValueError("clustering takes 2 to 2,000 rows")
+    x = np.asarray(x, float)
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    parts: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for _ in range(n - 1):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        parts[i] += parts.pop(j)
+        far = np.maximum(d[i], d[j])
+        d[i], d[:, i] = far, far
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+    return next(iter(parts.values()))

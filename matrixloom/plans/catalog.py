@@ -57,6 +57,11 @@ def _basket(spark: SparkSession, d: str) -> Bundle:
     return S.basket(spark, d)
 
 
+def _once(b: Bundle) -> Bundle:
+    """For queries of several passes: the join behind the assay is done once."""
+    return b.realised("counts")
+
+
 def _logged(b: Bundle) -> Bundle:
     """With log-normalised values; factors only of cells that have any counts, as others have no stored row."""
     sf = C.library_size_factors(b).where("size_factor > 0")
@@ -87,12 +92,12 @@ def nexprs_limit(spark, d):
 
 @query(f"WITH {LIB} SELECT cell_id, round(total / (SELECT avg(total) FROM lib), 6) AS size_factor FROM lib")
 def library_size_factors(spark, d):
-    return r6(C.library_size_factors(_basket(spark, d)), "size_factor")
+    return r6(C.library_size_factors(_once(_basket(spark, d))), "size_factor")
 
 
 @query(f"WITH {LIB} SELECT cell_id, round(total / (SELECT exp(avg(ln(total))) FROM lib WHERE total > 0), 6) AS size_factor FROM lib")
 def library_size_factors_geometric(spark, d):
-    return r6(C.library_size_factors(_basket(spark, d), geometric=True), "size_factor")
+    return r6(C.library_size_factors(_once(_basket(spark, d)), geometric=True), "size_factor")
 
 
 @query(f"""WITH {BRAND}, av AS (SELECT feature_id, sum(value) / {N} AS a FROM brand GROUP BY 1),
@@ -100,7 +105,7 @@ m AS (SELECT c_custkey AS cell_id, quantile_cont(coalesce(value, 0) / a, 0.5) AS
       LEFT JOIN brand ON brand.cell_id = c_custkey AND brand.feature_id = av.feature_id GROUP BY 1)
 SELECT cell_id, round(med / (SELECT avg(med) FROM m), 6) AS size_factor FROM m""")
 def median_size_factors(spark, d):
-    return r6(C.median_size_factors(_basket(spark, d).alts["brand"]), "size_factor")
+    return r6(C.median_size_factors(_once(_basket(spark, d).alts["brand"])), "size_factor")
 
 
 @query(f"WITH {LIB} SELECT feature_id, b.cell_id, round(value * 1e6 / total, 6) AS value FROM basket b JOIN lib ON lib.cell_id = b.cell_id")
@@ -125,13 +130,13 @@ def tpm(spark, d):
 
 @query(f"WITH {LOG} SELECT feature_id, cell_id, round(value, 6) AS value FROM lognorm")
 def log_norm_counts(spark, d):
-    return r6(_logged(_basket(spark, d)).need("logcounts"), "value")
+    return r6(_logged(_once(_basket(spark, d))).need("logcounts"), "value")
 
 
 @query(f"""WITH {LIB}, s AS (SELECT feature_id, sum(value / (total / (SELECT avg(total) FROM lib))) AS s FROM basket JOIN lib USING (cell_id) GROUP BY 1)
 SELECT p_partkey AS feature_id, round(coalesce(s, 0) / {N}, 6) AS average FROM part LEFT JOIN s ON feature_id = p_partkey""")
 def calculate_average(spark, d):
-    b = _basket(spark, d)
+    b = _once(_basket(spark, d))
     sf = C.library_size_factors(b)
     # a cell without counts has factor 0 and no stored row; the mean factor is 1 with it
     positive = b.need("counts").join(sf, "cell_id").select("feature_id", (F.col("value") / F.col("size_factor")).alias("v"))
@@ -179,7 +184,7 @@ o AS (SELECT v.b, any_value(med) AS med, 1.4826 * quantile_cont(abs(v - med), 0.
 @query("WITH " + _MAD.format(BASKET, "1", "CASE WHEN s > 0 THEN log2(s) END") + """ SELECT cell_id, round(pow(2, med - 3 * mad), 6) AS lower, round(pow(2, med + 3 * mad), 6) AS higher,
 coalesce(v < med - 3 * mad OR v > med + 3 * mad, false) AS outlier FROM v JOIN o ON v.b = o.b""")
 def outlier_cells(spark, d):
-    return r6(C.is_outlier(C.per_cell_qc(_basket(spark, d)), "sum", log=True), "lower", "higher")
+    return r6(C.is_outlier(C.per_cell_qc(_once(_basket(spark, d))), "sum", log=True), "lower", "higher")
 
 
 @query("WITH " + _MAD.format(BASKET, "c_mktsegment", "c_acctbal") + " SELECT cell_id, round(med + 1 * mad, 6) AS higher, coalesce(v > med + 1 * mad, false) AS outlier FROM v JOIN o ON v.b = o.b")
@@ -196,7 +201,7 @@ o AS (SELECT 1.4826 * quantile_cont(abs(a - ma), 0.5) AS da, 1.4826 * quantile_c
 SELECT cell_id, coalesce(a < ma - 2 * da, false) AS low_lib_size, coalesce(b < mb - 2 * db, false) AS low_n_features,
 coalesce(a < ma - 2 * da, false) OR coalesce(b < mb - 2 * db, false) AS discard FROM l, m, o""")
 def quick_qc(spark, d):
-    return C.quick_per_cell_qc(C.per_cell_qc(_basket(spark, d)), nmads=2)
+    return C.quick_per_cell_qc(C.per_cell_qc(_once(_basket(spark, d))), nmads=2)
 
 
 @query(f"""WITH {BASKET}, r AS (SELECT cell_id, value, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC) AS i FROM basket),
@@ -220,13 +225,13 @@ def scater_frame(spark, d):
 @query(f"""WITH {BASKET}, t AS (SELECT feature_id, sum(value) AS s FROM basket GROUP BY 1), top AS (SELECT feature_id, s, row_number() OVER (ORDER BY s DESC, feature_id)::INT AS rank FROM t QUALIFY rank <= 50)
 SELECT feature_id AS "Tag", rank, round(s * 100 / (SELECT sum(s) FROM t), 6) AS score FROM top""")
 def highest_exprs(spark, d):
-    return r6(V.highest_exprs(_basket(spark, d)).select("Tag", "rank", "score").distinct(), "score")
+    return r6(V.highest_exprs(_once(_basket(spark, d))).select("Tag", "rank", "score").distinct(), "score")
 
 
 @query(f"""WITH {LIB}, t AS (SELECT feature_id, sum(value) AS s FROM basket WHERE feature_id NOT IN (1, 2, 3) GROUP BY 1), top AS (SELECT feature_id, s, row_number() OVER (ORDER BY s DESC, feature_id)::INT AS rank FROM t QUALIFY rank <= 10)
 SELECT lib.cell_id AS "Cell", top.feature_id AS "Tag", rank, CASE WHEN total > 0 THEN round(coalesce(value, 0) * 100 / total, 6) END AS value FROM lib CROSS JOIN top LEFT JOIN basket b ON b.cell_id = lib.cell_id AND b.feature_id = top.feature_id""")
 def highest_exprs_cells(spark, d):
-    return r6(V.highest_exprs(_basket(spark, d), 10, drop_features=[1, 2, 3]).select("Cell", "Tag", "rank", "value"), "value")
+    return r6(V.highest_exprs(_once(_basket(spark, d)), 10, drop_features=[1, 2, 3]).select("Cell", "Tag", "rank", "value"), "value")
 
 
 @query(f"""WITH {BASKET}, s AS (SELECT feature_id, sum(value) AS s, sum(value * value) AS q FROM basket GROUP BY 1),
@@ -251,12 +256,12 @@ dev AS (SELECT cell_id, full_.feature_id, v - med AS dev FROM full_ JOIN med ON
 SELECT cell_id AS "Cell", round(q0, 6) + 0.0 AS q0, round(q25, 6) + 0.0 AS q25, round(q50, 6) + 0.0 AS q50, round(q75, 6) + 0.0 AS q75, round(q100, 6) + 0.0 AS q100,
 round(greatest(q0, q25 - 1.5 * (q75 - q25)), 6) + 0.0 AS lower, round(least(q100, q75 + 1.5 * (q75 - q25)), 6) + 0.0 AS upper FROM q""")
 def rle_minimal(spark, d):
-    return r6(V.rle(_basket(spark, d).alts["brand"], "counts", logged=False), "q0", "q25", "q50", "q75", "q100", "lower", "upper")
+    return r6(V.rle(_once(_basket(spark, d).alts["brand"]), "counts", logged=False), "q0", "q25", "q50", "q75", "q100", "lower", "upper")
 
 
 @query(f"""WITH {_RLE} SELECT cell_id AS "Cell", feature_id AS "Feature", round(dev, 6) + 0.0 AS "Deviation" FROM dev""")
 def rle_full(spark, d):
-    return r6(V.rle(_basket(spark, d).alts["brand"], "counts", logged=False, style="full"), "Deviation")
+    return r6(V.rle(_once(_basket(spark, d).alts["brand"]), "counts", logged=False, style="full"), "Deviation")
 
 
 # groups
@@ -269,7 +274,7 @@ d AS (SELECT p_partkey AS feature_id, g.grp, coalesce(s, 0) / n AS mean, coalesc
 
 @query(f"""WITH {_GROUP} SELECT feature_id AS "Feature", grp AS "Group", round(det, 6) AS "NumDetected", round(mean, 6) AS "Average" FROM d""")
 def dots(spark, d):
-    return r6(G.dots(_logged(_basket(spark, d)), None, "c_mktsegment"), "NumDetected", "Average")
+    return r6(G.dots(_logged(_once(_basket(spark, d))), None, "c_mktsegment"), "NumDetected", "Average")
 
 
 @query(f"""WITH {_GROUP}, c AS (SELECT *, mean - avg(mean) OVER w AS cm FROM d WINDOW w AS (PARTITION BY feature_id)),
@@ -277,13 +282,13 @@ z AS (SELECT *, sqrt(sum(cm * cm) OVER (PARTITION BY feature_id) / (count(*) OVE
 SELECT feature_id AS "Feature", grp AS "Group", round(least(det, 0.05), 6) AS "NumDetected",
 CASE WHEN root > 1e-12 THEN round(greatest(-1.5, least(1.5, cm / root)), 5) + 0.0 END AS "Average" FROM z WHERE feature_id BETWEEN 1 AND 12""")
 def dots_centered_scaled(spark, d):
-    x = G.dots(_logged(_basket(spark, d)), FEW, "c_mktsegment", center=True, scale=True, zlim=(-1.5, 1.5), max_detected=0.05)
+    x = G.dots(_logged(_once(_basket(spark, d))), FEW, "c_mktsegment", center=True, scale=True, zlim=(-1.5, 1.5), max_detected=0.05)
     return r6(x, "NumDetected").withColumn("Average", F.round("Average", 5) + F.lit(0.0))
 
 
 @query(f"""WITH {_GROUP} SELECT feature_id AS "Feature", grp AS "Group", round(mean - avg(mean) OVER (PARTITION BY feature_id), 6) + 0.0 AS value FROM d""")
 def grouped_heatmap(spark, d):
-    return r6(G.grouped_heatmap(_logged(_basket(spark, d)), None, "c_mktsegment", center=True), "value")
+    return r6(G.grouped_heatmap(_logged(_once(_basket(spark, d))), None, "c_mktsegment", center=True), "value")
 
 
 @query(f"""WITH {BRAND}, c AS (SELECT c_mktsegment AS grp, c_nationkey % 2 AS blk, count(*) AS n FROM customer GROUP BY 1, 2),
@@ -291,7 +296,7 @@ s AS (SELECT feature_id, c_mktsegment AS grp, c_nationkey % 2 AS blk, sum(value)
 f AS (SELECT DISTINCT p_brand AS feature_id FROM part)
 SELECT f.feature_id AS "Feature", c.grp AS "Group", round(avg(coalesce(s, 0) / n), 6) AS value FROM f CROSS JOIN c LEFT JOIN s ON s.feature_id = f.feature_id AND s.grp = c.grp AND s.blk = c.blk GROUP BY 1, 2""")
 def grouped_heatmap_blocked(spark, d):
-    b = _basket(spark, d).alts["brand"]
+    b = _once(_basket(spark, d).alts["brand"])
     cells = b.cells.withColumn("blk", F.col("c_nationkey") % 2)
     return r6(G.grouped_heatmap(Bundle(b.features, cells, b.assays), None, "c_mktsegment", block="blk", assay_type="counts"), "value")
 
@@ -367,7 +372,7 @@ b AS (SELECT feature_id, sum(sg * sg / ng) AS between_ FROM s JOIN g ON g.level
 SELECT p_partkey AS feature_id, 'c_mktsegment' AS variable, CASE WHEN sxx - sx * sx / n > 0 THEN round(100 * (between_ - sx * sx / n) / (sxx - sx * sx / n), 5) END AS pct
 FROM part LEFT JOIN t ON t.feature_id = p_partkey LEFT JOIN b ON b.feature_id = p_partkey CROSS JOIN n""")
 def variance_explained_factor(spark, d):
-    b = _basket(spark, d)
+    b = _once(_basket(spark, d))
     return X.variance_explained(b.need("counts"), b.features, b.cells, ["c_mktsegment"]).withColumn("pct", F.round("pct", 5))
 
 
@@ -376,7 +381,7 @@ s AS (SELECT feature_id, sum(value * (c_acctbal - mz)) AS sxz FROM basket JOIN c
 SELECT p_partkey AS feature_id, 'c_acctbal' AS variable, CASE WHEN sxx - sx * sx / n > 0 THEN round(100 * sxz * sxz / (szz * (sxx - sx * sx / n)), 5) END AS pct
 FROM part LEFT JOIN t ON t.feature_id = p_partkey LEFT JOIN s ON s.feature_id = p_partkey CROSS JOIN n CROSS JOIN z""")
 def variance_explained_numeric(spark, d):
-    b = _basket(spark, d)
+    b = _once(_basket(spark, d))
     return X.variance_explained(b.need("counts"), b.features, b.cells, ["c_acctbal"]).withColumn("pct", F.round("pct", 5))
 
 
@@ -389,7 +394,7 @@ e AS (SELECT 'c_acctbal' AS variable, 100 * sxz * sxz / (szz * (sxx - sx * sx /
  UNION ALL SELECT 'c_mktsegment', 100 * (between_ - sx * sx / n) / (sxx - sx * sx / n) FROM t JOIN b ON b.feature_id = t.feature_id CROSS JOIN n WHERE sxx - sx * sx / n > 0)
 SELECT variable, round(quantile_cont(pct, 0.5), 5) AS score FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def explanatory_variables_top(spark, d):
-    b = _basket(spark, d)
+    b = _once(_basket(spark, d))
     e = X.variance_explained(b.need("counts"), b.features, b.cells, ["c_acctbal", "c_mktsegment"])
     return X.top_variables(e).withColumn("score", F.round("score", 5))
 
@@ -527,7 +532,7 @@ def _rows(coords: DataFrame) -> DataFrame:
 
 @query()
 def pca_scores(spark, d):
-    return _rows(D.calculate_pca(_logged(_basket(spark, d)), 10)[0])
+    return _rows(D.calculate_pca(_logged(_once(_basket(spark, d))), 10)[0])
 
 
 @query()
