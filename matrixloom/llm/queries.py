@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.relational import table
+from ..functions.relational import table, written
 from . import clusters, leakage, mixing, neighbours, percentiles, proportions, sentences, subset, tables
 
 QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.cells(spark, sf_dir)
+    c = written(tables.cells(spark, sf_dir), "cells")  # gone over twice
     return proportions.stratified_sample(c, proportions.stratum_report(c, table(spark, sf_dir, "sample_targets")))
 
 
@@ -80,7 +80,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = tables.vectors(spark, sf_dir)
+    v = written(tables.vectors(spark, sf_dir), "vectors")  # gone over twice
     members = clusters.group_members(clusters.chained_groups(v, CHAIN), LEAST_MEMBERS)
     levels = tables.cells(spark, sf_dir).select("cell_id", F.col("cell_cycle").alias("level"))
     parts, counts = clusters.describe_groups(members, v, levels, CHAIN / 2)
