@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import batches, kmeans, local_components, matrix, ragged, reach, same_length, sample, sq_distances, usable
+from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, local_components, matrix, ragged, reach, same_length, sample, sq_distances, usable
 
 #: Landmarks and witnesses of one at most; rows of a task; rows aimed at in a cell of the thin rest; its cells at most.
-MOST_LANDMARKS, WITNESSES, CHUNK_ROWS, CELL_ROWS, MOST_CELLS = 2_048, 24, 8_000, 1_500, 2_048
+MOST_LANDMARKS, WITNESSES, CHUNK_ROWS, CELL_ROWS, MOST_CELLS = 2_048, 24, 8_000, 1_500, 16_384
 
 
 class Landmarks:
@@ -207,8 +207,9 @@ def chained_groups(vectors: DataFrame, radius: float) -> DataFrame:
     dense = placed.where("lump >= 0").select("cell_id", F.concat(F.lit("#"), F.col("lump").cast("string")).alias("node"), lump_label.alias("label"))
     if not n_thin:
         return dense
-    y = sample(thin, n_thin)
-    cells = kmeans(y, max(1, min(MOST_CELLS, n_thin // CELL_ROWS))) if len(y) else np.zeros((1, dims))
+    n_cells = max(1, min(MOST_CELLS, n_thin // CELL_ROWS))
+    y = sample(thin, n_thin, max(SAMPLE_ROWS, ROWS_EACH * n_cells))
+    cells = kmeans(y, n_cells) if len(y) else np.zeros((1, dims))
 
     def spread(t: pa.Table) -> pa.Table:
         m = matrix(t["coords"], dims)

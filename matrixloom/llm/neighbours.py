@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import batches, kmeans, matrix, nearest, ragged, reach, same_length, sample, usable
+from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, matrix, nearest, ragged, reach, same_length, sample, usable
 
 #: Vectors aimed at in a list and held by one task of it, queries of a list in one task, lists at most.
-LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 4_000, 8_000, 40_000, 4_096
+LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 4_000, 8_000, 40_000, 16_384
 #: Codewords of a subspace, dimensions of one, rows whose table sums are added up at a time.
 CODEWORDS, SUBSPACE, ADC_ROWS = 256, 4, 512
 
@@ -96,11 +96,12 @@ def _searched(base: DataFrame, k: int, radius: float | None, probes: int, query:
     """(a, b, distance) candidates between distinct vectors; ``base`` is a written table of cell_id, coords."""
     schema = "a string, b string, distance double"
     n = base.count()
-    x = sample(base, n)
+    n_lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS)))
+    x = sample(base, n, max(SAMPLE_ROWS, ROWS_EACH * n_lists))
     if not len(x):
         return base.sparkSession.createDataFrame([], schema)
     dims = x.shape[1]
-    ix = Index(x, max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS))))
+    ix = Index(x, n_lists)
 
     def place(t: pa.Table) -> pa.Table:
         v = matrix(t["coords"], dims)

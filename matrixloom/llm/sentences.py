@@ -213,6 +213,16 @@ def _after_quote(t: str, o: int, c: int, hi: int, at_start: bool) -> bool:
     return True
 
 
+def _labelled(t: str, lo: int, k: int, token: str) -> bool:
+    """Is the single letter before which t[lo:k] stands a label or a unit, and so no initial?"""
+    if len(token) != 1:
+        return False
+    if k > lo and t[k - 1] == "°":
+        return True
+    words = t[max(lo, k - BACK) : k].split()
+    return bool(words) and words[-1].lower() in LETTERED
+
+
 def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
     """Does the single full stop at ``dot`` end the sentence that began at ``lo``?"""
     prev = t[dot - 1] if dot > lo else " "
@@ -230,17 +240,21 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
     token = "".join(c for c in t[k:dot] if c not in HIDDEN)
     if nxt and not nxt.isspace() and nxt not in CLOSE and nxt not in OPEN:
         if nxt.islower():
-            return bool(_SMALL_START.match(t, j)) and token.isalpha() and len(token) > 2
+            m = _SMALL_START.match(t, j)
+            word = _WORD.match(t, j)
+            return bool(m) and len(token) > 1 and word.end() < hi and t[word.end()].isspace()
         if not nxt.isalpha():
             return nxt in "¿¡—–"
         if nxt.isupper():
             tail = token.rpartition(".")[2]
-            if "_" in token or (tail.isupper() and tail.isalpha() and len(tail) < 2):
+            if tail.isupper() and tail.isalpha() and len(tail) < 2 and not _labelled(t, lo, k, token):
                 return False
             if TRIE.before(t, dot, lo) == "inside":
                 return False
             m = _WORD.match(t, j)
             word = m.group() if m else nxt
+            if "_" in token and not (m and m.end() < hi and t[m.end()].isspace()):
+                return False
             return len(word) == 1 or any(c.islower() for c in word[1:]) or any(c.isnumeric() for c in word) or len(tail) > 3
         return TRIE.before(t, dot, lo) is None  # a script without capitals
     i = j
@@ -270,7 +284,7 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
             if not before.strip("\"'“„«‘([（¿¡—- ") or _MARK.fullmatch(t, max(lo, k - BACK), k):
                 return False
             last = before.split()[-1]
-            if last.lower() in LETTERED:
+            if _labelled(t, lo, k, token):
                 return True
             if i + 1 < hi and t[i + 1] == ".":
                 return False

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that centroids, codebooks and landmarks are fitted on at most, whatever the size of the table.
-SAMPLE_ROWS = 40_000
+#: Vectors that centroids, codebooks and landmarks are fitted on at most, whatever the size of the table;
+#: for many centroids as many rows for each as the second figure says.
+SAMPLE_ROWS, ROWS_EACH = 40_000, 16
 
 
 def matrix(col: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -57,8 +59,17 @@ def nearest(x: np.ndarray, c: np.ndarray, block: int = 8192) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Centroids by Lloyd's rounds from random rows; empty ones are dropped."""
+    """Centroids by Lloyd's rounds from random rows; empty ones are dropped.
+
+    Beyond 1,024 centroids rows are first divided among about sqrt(k) coarse ones, and each of these into its
+    share of the k, so that the cost grows with sqrt(k).
+    """
     rng = np.random.default_rng(seed)
+    if k > 1_024 and len(x) > k:
+        coarse = kmeans(x, math.ceil(math.sqrt(k)), rounds, seed)
+        a = nearest(x, coarse)
+        parts = [x[a == j] for j in range(len(coarse))]
+        return np.vstack([kmeans(p, max(1, round(k * len(p) / len(x))), rounds, seed) for p in parts if len(p)])
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(float)
     for _ in range(rounds):
         a = nearest(x, c)
@@ -75,12 +86,14 @@ def reach(x: np.ndarray, c: np.ndarray, radius: float, least: int = 1) -> tuple[
     of x lies in cell j only if the bisector between x's own centroid and c_j is at most ``radius``
     from x, so no such vector is ever missed. The ``least`` nearest cells are always among them.
     """
-    gaps = np.sqrt(sq_distances(c, c))
     own, rows, cells = [], [], []
-    for i in range(0, len(x), 4096):
-        d = sq_distances(x[i : i + 4096], c)
+    block = int(np.clip(8_000_000 // max(len(c), 1), 16, 4_096))  # 64 MB of distances at a time
+    for i in range(0, len(x), block):
+        d = sq_distances(x[i : i + block], c)
         a = d.argmin(1)
-        near = d - d[np.arange(len(d)), a][:, None] <= 2 * radius * gaps[a] + 1e-6
+        some, at = np.unique(a, return_inverse=True)
+        gaps = np.sqrt(sq_distances(c[some], c))
+        near = d - d[np.arange(len(d)), a][:, None] <= 2 * radius * gaps[at] + 1e-6
         if least > 1:
             top = np.argpartition(d, min(least, d.shape[1]) - 1, 1)[:, :least]
             near[np.arange(len(d))[:, None], top] = True
