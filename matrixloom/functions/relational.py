@@ -83,6 +83,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/matrixloom/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Deletes all tables this application wrote with :func:`written`; results not yet computed from them are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -90,6 +101,6 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     of an RDD checkpoint and lets the next step prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matrixloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

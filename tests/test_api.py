@@ -23,6 +23,14 @@ def test_realised(spark):
     assert b.realised().need("counts").exceptAll(b.need("counts")).count() == 0
 
 
+def test_written_tables_can_be_dropped(spark):
+    from matrixloom.functions.relational import drop_written, written
+
+    kept = written(spark.range(5).toDF("value"))
+    assert kept.count() == 5 and kept.inputFiles()
+    assert drop_written(spark) and not drop_written(spark)
+
+
 def test_row_order():
     x = np.array([[0.0], [10], [0.1], [10.2], [5]])
     order = G.cluster_order(x)
