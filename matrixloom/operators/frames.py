@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..bundle import Bundle, dense, number_of
-from ..functions.relational import written
+from ..functions.relational import ranked, written
 from .counts import cumulative_shares, top_features, totals
 from .grouped import bin2d, contingency, scale_rows
 from .retrieve import attach, expression_long, factor_levels, retrieve_cell_info, retrieve_feature_info, select_cells, select_features
@@ -155,10 +155,10 @@ def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, styl
 def heatmap(bundle: Bundle, features, cells: Column | None = None, center: bool = False, scale: bool = False, zlim=None, order_columns_by: Sequence[str] = (), assay_type: str = "logcounts") -> DataFrame:
     """(Feature, Cell, value, row, column): the scaled cells of a heat map, columns ordered by metadata, then ``cell_ord``."""
     c = select_cells(bundle, cells)
-    keys = [F.col(k) for k in order_columns_by]
+    keys = list(dict.fromkeys([*order_columns_by, "cell_ord"]))
     d = dense(bundle.need(assay_type), select_features(bundle, features), c)
     d = scale_rows(d, "value", center, scale, zlim)
-    place = c.select("cell_id", F.row_number().over(Window.orderBy(*keys, "cell_ord")).alias("column"))
+    place = ranked(c.select("cell_id", *keys), keys, "column").select("cell_id", F.col("column").cast("int").alias("column"))
     return d.join(place, "cell_id").select(F.col("feature_id").alias("Feature"), F.col("cell_id").alias("Cell"), "value", F.col("ord").alias("row"), "column")
 
 

@@ -31,6 +31,15 @@ def test_written_tables_can_be_dropped(spark):
     assert drop_written(spark) and not drop_written(spark)
 
 
+def test_places_without_a_single_sort(spark):
+    from matrixloom.functions.relational import ranked
+
+    d = spark.range(1_000).selectExpr("id % 7 AS k", "id AS v", "id % 3 AS extra").repartition(5)
+    got = [(r["place"], r["k"], r["v"]) for r in ranked(d, ["k", "v"], "place").collect()]
+    assert sorted(got) == [(i + 1, k, v) for i, (k, v) in enumerate(sorted((i % 7, i) for i in range(1_000)))]
+    assert ranked(d.limit(0), ["k"], "place").count() == 0
+
+
 def test_row_order():
     x = np.array([[0.0], [10], [0.1], [10.2], [5]])
     order = G.cluster_order(x)
