@@ -2,6 +2,8 @@
 
 Every name here is the function of the module it comes from; only the spelling of names and of the
 arguments differs (``exprs_values`` or ``assay.type`` for ``assay_type``, ``color_by`` for ``colour_by``, ...).
+Names that contain a project's or a class's name are neutral here: ``plotLibraryShares``, ``toBundle``,
+``updateLegacy``, ``mockBundle``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ _NAMES = {
     "retrieveCellInfo": _r.retrieve_cell_info, "retrieveFeatureInfo": _r.retrieve_feature_info, "annotateBMFeatures": _r.annotate_features, "getBMFeatureAnnos": _r.annotate_features,
     "bootstraps": Bundle.bootstraps, "fpkm": Bundle.fpkm, "norm_exprs": Bundle.norm_exprs, "stand_exprs": Bundle.stand_exprs, "exprs": Bundle.exprs,
     "setBootstraps": Bundle.set_bootstraps, "setFpkm": Bundle.set_fpkm, "setNormExprs": Bundle.set_norm_exprs, "setStandExprs": Bundle.set_stand_exprs, "setExprs": Bundle.set_exprs,
-    "toSingleCellExperiment": _s.from_legacy, "updateSCESet": _s.from_legacy, "readSparseCounts": _s.read_sparse_counts, "mockSCE": _s.mock_bundle,
+    "toBundle": _s.from_legacy, "updateLegacy": _s.from_legacy, "readSparseCounts": _s.read_sparse_counts, "mockBundle": _s.mock_bundle,
     "ggcells": _r.per_cell_frame, "ggfeatures": _r.per_feature_frame, "makePerCellDF": _r.per_cell_frame, "makePerFeatureDF": _r.per_feature_frame,
     # counts
     "nexprs": _c.nexprs, "addPerCellQC": _c.add_per_cell_qc, "addPerFeatureQC": _c.add_per_feature_qc, "perCellQCMetrics": _c.per_cell_qc, "perFeatureQCMetrics": _c.per_feature_qc,
@@ -56,7 +58,7 @@ _NAMES = {
     "projectReducedDim": _e.project_reduced_dim, "calculateDiffusionMap": _d.calculate_diffusion_map, "runDiffusionMap": _d.run_diffusion_map,
     # frames behind plots
     "plotColData": _f.col_data, "plotRowData": _f.row_data, "plotExpression": _f.expression, "plotDots": _g.dots, "plotGroupedHeatmap": _g.grouped_heatmap, "plotHeatmap": _f.heatmap,
-    "plotHighestExprs": _f.highest_exprs, "plotScater": _f.scater, "plotRLE": _f.rle, "plotPlatePosition": _f.plate_position, "plotReducedDim": _f.reduced_dim, "plotPCA": _f.pca_frame, "plotPCASCE": _f.pca_frame,
+    "plotHighestExprs": _f.highest_exprs, "plotLibraryShares": _f.library_shares, "plotRLE": _f.rle, "plotPlatePosition": _f.plate_position, "plotReducedDim": _f.reduced_dim, "plotPCA": _f.pca_frame,
     "plotTSNE": _f.tsne_frame, "plotUMAP": _f.umap_frame, "plotMDS": _f.mds_frame, "plotNMF": _f.nmf_frame, "plotDiffusionMap": _f.diffusion_map_frame,
     # defunct
     "calculateQCMetrics": _d.calculate_qc_metrics, "normalize": _d.normalize, "centreSizeFactors": _d.centre_size_factors, "multiplot": _d.multiplot,

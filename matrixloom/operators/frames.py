@@ -100,7 +100,7 @@ def highest_exprs(bundle: Bundle, n: int = 50, drop_features=None, as_percentage
     return out
 
 
-def scater(bundle: Bundle, nfeatures: int = 500, block1: str | None = None, block2: str | None = None, colour_by=None, assay_type: str = "counts") -> DataFrame:
+def library_shares(bundle: Bundle, nfeatures: int = 500, block1: str | None = None, block2: str | None = None, colour_by=None, assay_type: str = "counts") -> DataFrame:
     """(Cell, Feature, Proportion_Library, block1, block2, colour_by): cumulative shares by rank, 0 to 100."""
     d = cumulative_shares(bundle, nfeatures, assay_type)
     for name, by in (("block1", block1), ("block2", block2), ("colour_by", colour_by)):

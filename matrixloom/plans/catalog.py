@@ -215,8 +215,8 @@ def top_cumprop(spark, d):
 p AS (SELECT unnest(range(1, 51))::INT AS "Feature")
 SELECT lib.cell_id AS "Cell", "Feature", round(sum(value) * 100 / any_value(total), 6) AS "Proportion_Library", any_value(c_mktsegment) AS block1
 FROM lib JOIN customer ON c_custkey = lib.cell_id CROSS JOIN p JOIN r ON r.cell_id = lib.cell_id AND i <= "Feature" GROUP BY 1, 2""")
-def scater_frame(spark, d):
-    return r6(V.scater(_basket(spark, d), 50, block1="c_mktsegment"), "Proportion_Library")
+def library_shares(spark, d):
+    return r6(V.library_shares(_basket(spark, d), 50, block1="c_mktsegment"), "Proportion_Library")
 
 
 # ranks

@@ -68,9 +68,6 @@ def from_legacy(features: DataFrame, cells: DataFrame, assays: dict[str, DataFra
     return out
 
 
-to_single_cell_experiment = update_legacy = from_legacy
-
-
 def merge_bundles(a: Bundle, b: Bundle) -> Bundle:
     """Two bundles over the same features as one: cells of both, metadata columns and assays they share."""
     cols = [c for c in a.cells.columns if c in b.cells.columns]
