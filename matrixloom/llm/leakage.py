@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.relational import written
 from .space import batches
 
 #: Hashes of test windows that are sent along to prune document windows before the join. Beyond it, nothing is pruned.
@@ -184,14 +185,21 @@ UNITS = frozenset(
     "percent prozent pourcent cent ciento процента процентов процент hours hour h min minutes minuten sek s sec ms pmol nmol mmol "
     "µl μl ml l mg µg μg g kg nm mm cm mb gb kb °c c k x units einheiten unités unidades".split()
 )
-_WORD = regex.compile(r"\p{N}+(?:[.,:]\p{N}+)*|[\p{L}\p{M}][\p{L}\p{M}\p{N}]*(?:[-_.][\p{L}\p{N}]+)*|[%°]")
+# Scripts written without spaces between words: every character is a word.
+_DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
+_WORD = regex.compile(
+    rf"(?V1)\p{{N}}+(?:[.,:]\p{{N}}+)*|[{_DENSE}]|[[\p{{L}}\p{{M}}]--[{_DENSE}]][[\p{{L}}\p{{M}}\p{{N}}]--[{_DENSE}]]*(?:[-_.][[\p{{L}}\p{{N}}]--[{_DENSE}]]+)*|[%°]"
+)
+_IS_DENSE = regex.compile(f"[{_DENSE}]")
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
     """Words with numbers, units and names as typed placeholders, and the value behind each ('' for plain words).
 
     A name is a word that mixes letters with digits, has a capital after its first letter, or starts
-    with a capital inside a sentence; the first word of a sentence is plain unless it mixes.
+    with a capital inside a sentence; the first word of a sentence is plain unless it mixes or is
+    followed by a Han or Kana character, as these scripts start no sentence with a capital. Han and
+    Kana characters are a plain word each.
     """
     out, slots, end = [], [], 0
     for m in _WORD.finditer(text):
@@ -199,11 +207,11 @@ def template(text: str) -> tuple[list[str], list[str]]:
         first = end == 0 or bool(regex.search(r"[.!?。？！:\n]", between))
         end = m.end()
         low = w.lower()
-        if w[0].isnumeric():
+        if w[0].isnumeric() and not _IS_DENSE.match(w):
             kind = "<num>"
         elif low in UNITS and out and out[-1] == "<num>":
             kind = "<unit>"
-        elif any(c.isnumeric() for c in w) or any(c.isupper() for c in w[1:]) or (w[0].isupper() and not first):
+        elif not _IS_DENSE.match(w) and (any(c.isnumeric() for c in w) or any(c.isupper() for c in w[1:]) or (w[0].isupper() and (not first or _IS_DENSE.match(text, end)))):
             kind = "<name>"
         else:
             out.append(low)
@@ -214,57 +222,112 @@ def template(text: str) -> tuple[list[str], list[str]]:
     return out, slots
 
 
-#: Words of a template window, plain words in it at least, and windows of which one is chosen.
-SPAN, PLAIN, CHOICE = 14, 6, 5
-
+#: Words of a template window and plain words in it at least; the same where at least so many are Han or Kana characters.
+SPAN, PLAIN, DENSE_SPAN, DENSE_PLAIN = 14, 6, 24, 12
 
-def _template_windows(text: str, hash_: callable) -> list[tuple[int, str]]:
-    words, slots = template(unicodedata.normalize("NFKC", text))
-    seen = []
-    for i in range(len(words) - SPAN + 1):
-        part = words[i : i + SPAN]
-        if sum(not p.startswith("<") for p in part) >= PLAIN:
-            seen.append((hash_(" ".join(part)), i))
-        else:
-            seen.append(None)
-    chosen = {}
-    for i in range(max(len(seen) - CHOICE + 1, min(len(seen), 1))):
-        best = min((x for x in seen[i : i + CHOICE] if x), default=None)
-        if best:
-            chosen[best[1]] = best[0]
-    return [(h, "\x1f".join(s for s in slots[i : i + SPAN] if s)) for i, h in sorted(chosen.items())]
 
+def template_texts(df: DataFrame, key: str, text: str, only: _Sent | None = None) -> DataFrame:
+    """(key, copy, hash, pos, span, slots) of every text with a template window: all its windows and the slots of its words.
 
-def template_windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hash, slots) of the chosen template windows of every text."""
+    ``copy`` is a hash of the text, as an id may come with several; the same text of an id comes once.
+    ``only``: sorted hashes; other windows are dropped at once.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         import xxhash
 
-        def hash_(s: str) -> int:
-            return xxhash.xxh64_intdigest(s) - (1 << 63)
-
-        rows = [(i, h, s) for i, x in enumerate(t[text].to_pylist()) for h, s in _template_windows(x, hash_)]
-        return pa.table([t[key].take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=[key, "hash", "slots"])
+        code: dict[str, int] = {}
+        texts = t[text].to_pylist()
+        values: list[list[str]] = []
+        codes: list[int] = []
+        plain: list[int] = []  # 1: a word, 2: a character, 0: a placeholder
+        for x in texts:
+            words, slots = template(unicodedata.normalize("NFKC", x))
+            values.append(slots)
+            for w in words:
+                if w not in code:
+                    code[w] = xxhash.xxh64_intdigest(w)
+                codes.append(code[w])
+            plain += [0 if s else 2 if _IS_DENSE.match(w) else 1 for w, s in zip(words, slots, strict=True)]
+        sizes = np.array([len(v) for v in values], int)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        owner, c, kind = np.repeat(np.arange(len(texts)), sizes), np.array(codes, np.uint64), np.array(plain, int)
+        at, hashes, spans = [], [], []
+        for span, least, which in ((SPAN, PLAIN, 1), (DENSE_SPAN, DENSE_PLAIN, 2)):
+            if len(c) < span:
+                continue
+            n = np.concatenate([[0], np.cumsum(kind == which)])
+            ok = np.nonzero((owner[span - 1 :] == owner[: len(owner) - span + 1]) & (n[span:] - n[:-span] >= least))[0]
+            h = _hashes(c ^ np.uint64(span), span).view(np.int64)[ok]
+            if only is not None:
+                keep = np.isin(h, only[0])
+                ok, h = ok[keep], h[keep]
+            at.append(ok)
+            hashes.append(h)
+            spans.append(np.full(len(h), span))
+        at, hashes, spans = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (at, hashes, spans))
+        order = np.argsort(at, kind="stable")
+        at, hashes, spans = at[order], hashes[order], spans[order]
+        rows, first = np.unique(owner[at], return_index=True) if len(at) else (np.zeros(0, int), np.zeros(0, int))
+        off = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(off, pa.array(x, k)) for x, k in ((hashes, pa.int64()), (at - starts[owner[at]] if len(at) else at, pa.int32()), (spans, pa.int32()))]
+        copy = pa.array([xxhash.xxh64_intdigest(texts[r].encode("utf-8", "surrogatepass")) - (1 << 63) for r in rows], pa.int64())
+        return pa.table([t[key].take(pa.array(rows, pa.int64())), copy, *lists, pa.array([values[r] for r in rows], pa.list_(pa.string()))], names=[key, "copy", "hash", "pos", "span", "slots"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(lambda it: batches(run, it), f"{key} {kind}, hash long, slots string")
+    out = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
+    out = out.mapInArrow(lambda it: batches(run, it), f"{key} {kind}, copy long, hash array<long>, pos array<int>, span array<int>, slots array<string>")
+    return out.dropDuplicates([key, "copy"])
+
+
+def _consistent(t: pa.Table) -> pa.Table:
+    """The occurrences in which every value of the item turns into one value of the document, with their slots."""
+    rows, slots, changed = [], [], []
+    for r, (a, b, at, spans) in enumerate(zip(*[t[c].to_pylist() for c in ("a", "b", "at", "spans")], strict=True)):
+        turned: dict[str, str] = {}
+        low, end = min(at), 0
+        for p, n in sorted(zip(at, spans, strict=True)):
+            for k in range(max(p, end), p + n):
+                if b[k] and turned.setdefault(b[k], a[k - low]) != a[k - low]:
+                    break
+            else:
+                end = max(end, p + n)
+                continue
+            break
+        else:
+            rows.append(r)
+            slots.append(len(turned))
+            changed.append(sum(x != y for x, y in turned.items()))
+    t = t.select(["doc_id", "item_id", "windows"]).take(pa.array(rows, pa.int64()))
+    return t.append_column("slots", pa.array(slots, pa.int64())).append_column("changed", pa.array(changed, pa.int64()))
 
 
 def reparameterised(documents: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
     """Documents that hold a test item's wording with other values: (doc_id, item_id, windows, slots, changed).
 
-    Numbers, units and names become typed placeholders; windows of 14 such words are joined by hash.
-    Items that share a wording cannot be told apart by it: windows stand for the smallest ``item_id``
-    that has them. A pair comes out if ``least`` windows agree and the slots are consistent (one value
-    of the item always turns into the same value of the document) and ``changed`` of them at least
-    one; pairs with equal values throughout are :func:`leaks`. Null and short texts give nothing.
+    Numbers, units and names become typed placeholders; all windows of 14 such words, or of 24 where
+    12 or more are Han or Kana characters, are joined by hash, each with every item that has it. Windows at
+    one distance between their places in document and item are an occurrence; it counts if its slots are
+    consistent (one value of the item always turns into the same value of the document). A pair comes
+    out if its occurrences hold ``least`` windows and one of them turns a value into another; pairs with
+    equal values throughout are :func:`leaks`. ``slots`` and ``changed`` (distinct values of the item) are those of the
+    occurrence with most changes. Null and short texts give nothing; repeated ids count as one.
     """
-    theirs = template_windows(items, "item_id", "item_text").groupBy("hash").agg(F.min(F.struct("item_id", "slots")).alias("i"))
-    ours = template_windows(documents, "doc_id", "text").groupBy("doc_id", "hash").agg(F.min("slots").alias("slots"))
-    both = ours.join(theirs, "hash").select("doc_id", F.col("i.item_id").alias("item_id"), "hash", F.split("slots", "\x1f").alias("a"), F.split(F.col("i.slots"), "\x1f").alias("b"))
-    pair = both.select("doc_id", "item_id", "hash", F.explode(F.arrays_zip("b", "a")).alias("z")).select("doc_id", "item_id", "hash", "z.a", "z.b")
-    per = pair.groupBy("doc_id", "item_id", "b").agg(F.countDistinct("a").alias("k"), F.min("a").alias("a"))
-    slots = per.groupBy("doc_id", "item_id").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("slots"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
-    n = both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"))
-    return n.join(slots, ["doc_id", "item_id"]).where((F.col("windows") >= least) & (F.col("k") == 1) & (F.col("changed") > 0)).select("doc_id", "item_id", "windows", "slots", "changed")
+    theirs = written(template_texts(items, "item_id", "item_text"), "item_windows")
+    known = theirs.select(F.explode("hash").alias("hash")).distinct().limit(MOST_HASHES + 1).toArrow()
+    # one copy per executor
+    only = _Sent(documents.sparkSession.sparkContext.broadcast({0: np.sort(known["hash"].to_numpy())})) if known.num_rows <= MOST_HASHES else None
+    ours = written(template_texts(documents, "doc_id", "text", only), "document_windows")
+    d = ours.select("doc_id", F.col("copy").alias("doc_copy"), F.explode(F.arrays_zip("hash", "pos")).alias("z")).select("doc_id", "doc_copy", "z.hash", F.col("z.pos").alias("doc_pos"))
+    i = theirs.select("item_id", F.col("copy").alias("item_copy"), F.explode(F.arrays_zip("hash", "pos", "span")).alias("z")).select("item_id", "item_copy", "z.hash", "z.pos", "z.span")
+    keys = ["doc_id", "doc_copy", "item_id", "item_copy"]
+    found = d.join(i, "hash").groupBy(*keys, (F.col("doc_pos") - F.col("pos")).alias("off"))
+    found = found.agg(F.collect_list(F.struct("pos", "span")).alias("z")).select(*keys, "off", F.col("z.pos").alias("at"), F.col("z.span").alias("spans"), F.size("z").cast("long").alias("windows"))
+    found = found.join(theirs.select("item_id", F.col("copy").alias("item_copy"), F.col("slots").alias("b")), ["item_id", "item_copy"])
+    found = found.join(ours.select("doc_id", F.col("copy").alias("doc_copy"), "slots"), ["doc_id", "doc_copy"])
+    reached = F.array_max(F.zip_with("at", "spans", lambda p, n: p + n)) - F.array_min("at")
+    found = found.withColumn("a", F.slice("slots", F.col("off") + F.array_min("at") + 1, reached)).drop("slots", "off")
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k, df in (("doc_id", documents), ("item_id", items))]
+    kept = found.mapInArrow(lambda it: batches(_consistent, it), ", ".join([*kinds, "windows long, slots long, changed long"]))
+    pairs = kept.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max(F.struct("changed", "slots")).alias("z"))
+    return pairs.where((F.col("windows") >= least) & (F.col("z.changed") > 0)).select("doc_id", "item_id", "windows", "z.slots", "z.changed")

@@ -169,3 +169,20 @@ def test_reparameterised_questions(spark):
     i = spark.createDataFrame([(7, item, "en"), (8, None, "en")], "item_id long, item_text string, lang string")
     got = {r["doc_id"]: r for r in leakage.reparameterised(d, i).collect()}
     assert set(got) == {1, 5} and got[1]["item_id"] == 7 and got[1]["changed"] == 4 and got[5]["changed"] == 1
+
+
+def test_reparameterised_items_of_one_wording_and_scripts(spark):
+    item = "In the Vaktrudol cohort, Tolnim stained 153 sections with Zermup-117 and found that Trux2 fell from 5.2 to 1.9 within 860 hours, whereas Fenbri nuclei kept 315 transcripts each."
+    sister = item.replace("153", "400").replace("5.2", "1.9")  # the document turns 1.9 into two values
+    new = item.replace("153", "99")
+    twice = item.replace("153", "98") + " " + item.replace("153", "97")
+    inside = " ".join(item.split()[8:24]).replace("5.2", "7.7")  # 16 words
+    zh = "Kelfen流程从399个液滴中保留702个条码，去除17.7的Keljorrus碎片，其余归入707个Vakwimoth克隆。"
+    ja = "ZibdragraコホートではUshnarbri班がPelwextru122で51枚の切片を染め、Gene_1461は31.28から25.907に下がった。"
+    docs = [(1, new), (2, twice), (3, "It is so that sections with Xan-1 and " + inside), (4, zh.replace("399", "12")), (5, "前文。" + ja.replace("51枚", "9枚")), (6, zh), (1, new)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, item), (8, sister), (9, zh), (10, ja), (11, item.replace("153", "5")), (7, item)], "item_id long, item_text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leakage.reparameterised(d, i).collect()}
+    assert {p for p in got if p[0] in (1, 2)} == {(1, 7), (1, 11), (2, 7), (2, 11)}  # not 8, whose 1.9 is both 5.2 and 1.9
+    assert {(3, 7), (3, 11)} <= set(got) and {p for p in got if p[0] > 3} == {(4, 9), (5, 10)}
+    assert got[2, 7]["changed"] == got[1, 7]["changed"] == 1 and got[2, 7]["windows"] == 2 * got[1, 7]["windows"]
