@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
@@ -252,33 +252,122 @@ def group_members(groups: DataFrame, least: int = 10) -> DataFrame:
     return big.unionByName(rest).select("cluster_key", "cell_id", "node")
 
 
+def degrees(rows: DataFrame, near: float) -> DataFrame:
+    """(cell_id, degree): how many rows of the same group lie within ``near`` of each row, itself included.
+
+    Exact: a row is compared with the rows of every Voronoi cell that its ball meets, in blocks.
+    """
+    n = rows.count()
+    x = sample(rows, n)
+    dims = x.shape[1] if len(x) else 1
+    cells = kmeans(x, max(1, min(MOST_CELLS, n // CHUNK_ROWS))) if len(x) else np.zeros((1, dims))
+
+    def spread(t: pa.Table) -> pa.Table:
+        m = matrix(t["coords"], dims)
+        own, at, to = reach(m, cells, near)
+        return pa.table([t["cluster_key"], t["cell_id"], t["coords"], pa.array(own, pa.int32()), ragged(at, to, len(m))], names=["cluster_key", "cell_id", "coords", "own", "cells"])
+
+    out = "cluster_key string, cell_id string, coords array<double>, own int, cells array<int>"
+    placed = written(rows.select("cluster_key", "cell_id", "coords").mapInArrow(lambda it: batches(spread, it), out), "reached")
+    asked = placed.select("cluster_key", F.explode("cells").alias("cell"), "cell_id", "coords")
+    owned = placed.select("cluster_key", F.col("own").alias("cell"), "cell_id", "coords")
+    keys = ["cluster_key", "cell"]
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias(name))
+    plan = written(blocks(owned, "chunks").join(blocks(asked, "parts"), keys), "blocks")
+    h = F.xxhash64("cell_id")
+    have = owned.join(plan, keys).select(*keys, F.pmod(h, "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "cell_id", "coords")
+    want = asked.join(plan, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(h, "parts").alias("part"), F.lit(True).alias("asks"), "cell_id", "coords")
+
+    def count(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        m = matrix(t["coords"], dims)
+        m = m - m.mean(0)
+        a, b = m[asks], m[~asks]
+        k = np.zeros(len(a), np.int64)
+        for i in range(0, len(a), 512):
+            k[i : i + 512] = (sq_distances(a[i : i + 512], b) <= near**2 + 1e-9).sum(1)
+        return pa.table([t["cell_id"].take(pa.array(np.nonzero(asks)[0])), pa.array(k)], names=["cell_id", "k"])
+
+    counted = have.unionByName(want).groupBy(*keys, "chunk", "part").applyInArrow(count, "cell_id string, k long")
+    return counted.groupBy("cell_id").agg(F.sum("k").alias("degree"))
+
+
+#: New medoids of a loose part in a round, and rows of highest degree among which they are chosen. More rounds follow as needed.
+NEW_MEDOIDS, AMONG = 8, 256
+
+
+def _spread(dims: int) -> Column:
+    """The root mean square distance of vectors from their mean."""
+    return F.sqrt(sum((F.var_pop(F.get("coords", F.lit(i))) for i in range(dims)), F.lit(0.0)))
+
+
+def split(rows: DataFrame, loose: float, dims: int) -> DataFrame:
+    """(cluster_key, path, cell_id) of the rows of loose groups, in parts whose root mean square distance from the mean is ``loose`` at most.
+
+    The first medoid of a group is the row of highest degree. In each round every part that is still
+    too loose gets further medoids: its rows of highest degree among those further than ``loose`` from
+    its medoid, and from each other. All its rows then go to the nearest. As a part without rows so far
+    from its medoid is not loose, each loose part is split further, until there is none.
+    """
+    keys = ["cluster_key", "path"]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("degree").desc(), "cell_id"))
+    far = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
+    rows = written(rows.select("cluster_key", "cell_id", "coords").join(degrees(rows, loose), "cell_id"), "degrees")
+    first = rows.withColumn("_i", rank("cluster_key")).where("_i = 1").select("cluster_key", F.col("coords").alias("medoid"))
+    now = rows.join(first, "cluster_key").withColumn("path", F.lit("0")).withColumn("d", far("coords", "medoid"))
+    done = []
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("degree", "descending"), ("cell_id", "ascending")])
+        m = matrix(t["coords"], len(t["coords"][0]))
+        taken: list[int] = []
+        for i in range(len(m)):
+            if len(taken) < NEW_MEDOIDS and (not taken or ((m[taken] - m[i]) ** 2).sum(1).min() > loose**2):
+                taken.append(i)
+        new = pa.array([m[taken].tolist()], pa.list_(pa.list_(pa.float64())))
+        return pa.table([t["cluster_key"][:1], t["path"][:1], new], names=["cluster_key", "path", "new"])
+
+    while True:
+        now = written(now.select(*keys, "cell_id", "coords", "degree", "medoid", "d"), "split")
+        per = now.groupBy(*keys).agg(_spread(dims).alias("s"))
+        # a part with all rows near its medoid is within the limit, whatever the rounding
+        wide = now.groupBy(*keys).agg(F.max("d").alias("m")).where(F.col("m") > loose**2)
+        wide = written(per.where(F.col("s") > loose).join(wide, keys).select(*keys), "wide")
+        done.append(now.join(wide, keys, "left_anti").select(*keys, "cell_id"))
+        if wide.isEmpty():
+            break
+        now = now.join(wide, keys)
+        top = now.where(F.col("d") > loose**2).withColumn("_i", rank(*keys)).where(F.col("_i") <= AMONG).select(*keys, "cell_id", "degree", "coords")
+        new = top.groupBy(*keys).applyInArrow(choose, "cluster_key string, path string, new array<array<double>>")
+        new = written(new, "medoids")
+        at = F.array_min(F.transform("all", lambda y, i: F.struct(far("coords", y).alias("d"), i.alias("i"))))
+        now = now.join(new, keys).withColumn("all", F.concat(F.array("medoid"), "new")).withColumn("_b", at)
+        now = now.select("cluster_key", F.concat_ws(".", "path", F.col("_b.i").cast("string")).alias("path"), "cell_id", "coords", "degree", F.get("all", F.col("_b.i")).alias("medoid"), F.col("_b.d").alias("d"))
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def describe_groups(members: DataFrame, vectors: DataFrame, levels: DataFrame, loose: float, typical: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups by size, most typical members and levels: (parts, level counts).
 
     ``parts``: (cluster_key, part, size, spread, medoids). A group whose rows lie further than ``loose``
-    from its mean (root mean square) is split around the medoids of highest degree: every lump of the
-    group with at least a tenth of its rows is such a medoid, as all its rows are within reach of
-    each other, and lends its part its number; rows outside the lumps go to part -1 of their group.
+    from its mean (root mean square) is split around the medoids of highest degree until every part is
+    within ``loose`` (:func:`split`); its parts are numbered from 1. Other groups are part 0.
     Medoids are the ``typical`` rows nearest to the mean of their part. ``level counts``: (cluster_key,
     level, n) with null for unknown levels.
     """
-    m = written(members.join(vectors.select("cell_id", "coords"), "cell_id"), "members")
-    dims = F.posexplode("coords").alias("i", "x")
-
-    def spread(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        per = df.select(*keys, dims).groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
-        rows = per.groupBy(*keys).agg(F.max("n").alias("size"), F.sqrt(F.sum("var")).alias("spread"), F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("c"))
-        return rows.withColumn("centre", F.transform("c", lambda s: s["mean"])).drop("c"), per
-
-    whole, _ = spread(m, ["cluster_key"])
-    lumps = m.groupBy("cluster_key", "node").agg(F.count(F.lit(1)).alias("k")).where(F.col("node").startswith("#"))
-    big = lumps.join(whole.where(F.col("spread") > loose).select("cluster_key", "size"), "cluster_key").where("k * 10 >= size")
-    big = big.select("cluster_key", "node", F.substring("node", 2, 9).cast("int").alias("part"))
-    is_loose = whole.select("cluster_key", (F.col("spread") > loose).alias("is_loose"))
-    m = m.join(F.broadcast(big), ["cluster_key", "node"], "left").join(is_loose, "cluster_key")
-    m = m.withColumn("part", F.when(F.col("is_loose"), F.coalesce("part", F.lit(-1))).otherwise(F.lit(0)))
-    m = written(m.select("cluster_key", "part", "cell_id", "coords"), "parts")
-    parts, _ = spread(m, ["cluster_key", "part"])
+    m = written(members.join(vectors.select("cell_id", "coords"), "cell_id").select("cluster_key", "cell_id", "coords"), "members")
+    dims = (m.select(F.size("coords")).first() or (0,))[0]
+    wide = written(m.groupBy("cluster_key").agg(_spread(dims).alias("spread")).where(F.col("spread") > loose).select("cluster_key"), "loose")
+    paths = written(split(m.join(wide, "cluster_key"), loose, dims), "paths")
+    numbers = paths.select("cluster_key", "path").distinct()
+    numbers = numbers.withColumn("part", F.row_number().over(Window.partitionBy("cluster_key").orderBy("path")))
+    own = paths.join(numbers, ["cluster_key", "path"]).select("cell_id", "part")
+    m = written(m.join(own, "cell_id", "left").select("cluster_key", F.coalesce("part", F.lit(0)).alias("part"), "cell_id", "coords"), "parts")
+    centre = F.array(*[F.avg(F.get("coords", F.lit(i))) for i in range(dims)]).cast("array<double>")
+    parts = m.groupBy("cluster_key", "part").agg(F.count(F.lit(1)).alias("size"), _spread(dims).alias("spread"), centre.alias("centre"))
     far = F.aggregate(F.zip_with("coords", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
     near = m.join(parts.select("cluster_key", "part", "centre"), ["cluster_key", "part"]).select("cluster_key", "part", "cell_id", far.alias("d"))
     top = near.withColumn("_i", F.row_number().over(Window.partitionBy("cluster_key", "part").orderBy("d", "cell_id"))).where(F.col("_i") <= typical)

@@ -302,6 +302,26 @@ def test_groups_are_described(spark):
     assert {(r["level"], r["n"]) for r in counts.where("cluster_key = 'c00000'").collect()} == {(None, 10), ("S", 70)}
 
 
+def test_loose_groups_are_split_until_tight(spark):
+    rng = np.random.default_rng(2)
+    # 14 lumps of a chain, each below a tenth of the group, and thin rows between them
+    x = np.vstack([rng.normal(0, 0.2, (12, 3)) + [2.4 * i, 0, 0] for i in range(14)] + [[[2.4 * i + 1.2, 1.0, 0]] for i in range(13)])
+    df = vectors(spark, x)
+    groups = clusters.group_members(clusters.chained_groups(df, 3.0), 5)
+    parts, _ = clusters.describe_groups(groups, df, df.select("cell_id", F.lit("S").alias("level")), 1.5)
+    p = parts.collect()
+    assert {r["cluster_key"] for r in p} == {"c00000"} and sum(r["size"] for r in p) == len(x)
+    assert len(p) >= 7 and max(r["spread"] for r in p) <= 1.5
+    want = (((x[:, None] - x[None]) ** 2).sum(-1) <= 1.5**2).sum(1)
+    rows = df.withColumn("cluster_key", F.lit("k"))
+    old, clusters.CHUNK_ROWS = clusters.CHUNK_ROWS, 20
+    try:
+        got = {r["cell_id"]: r["degree"] for r in clusters.degrees(rows, 1.5).collect()}
+    finally:
+        clusters.CHUNK_ROWS = old
+    assert [got[r["cell_id"]] for r in df.orderBy("cell_id").collect()] == want.tolist()
+
+
 # problem 7
 
 
