@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relational import written
 
-#: Rows of a block at the leaves of the tournament; nominees that one node of the tree holds.
+#: Rows of a block at the leaves of the tournament; nominees looked for at a time when isolation is checked.
 BLOCK_ROWS, NODE_ROWS = 2_048, 8_192
 
 
@@ -120,7 +120,7 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
     count once; other columns are ignored.
 
     Blocks of about 2,048 records nominate; the nominees of two blocks at a time are pivoted anew, up a
-    tree, as long as a node stays within 8,192 rows. Whether a nominee is alone is told by its own
+    tree to a single root, whatever the number of nominees. Whether a nominee is alone is told by its own
     block first and, only where a request has several blocks, by the others after the tournament.
     """
     r = requests.select(
@@ -136,10 +136,8 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
     got = leaf.select(*cols).groupBy("request_id", "block").applyInPandas(_nominate(True), _ROW)
     if most > 1:
         got = written(got, "nominees")
-        size = got.groupBy("request_id").agg(F.count(F.lit(1)).alias("c")).join(n, "request_id")
-        # so many halvings that a node holds about NODE_ROWS nominees at most
-        free = F.greatest(F.lit(1.0), F.ceil(F.col("c") / NODE_ROWS))
-        ups = size.select("request_id", F.greatest(F.lit(0), F.ceil(F.log2(F.col("blocks") / free))).cast("int").alias("ups"), "blocks")
+        # so many halvings that a single root is left
+        ups = n.select("request_id", F.ceil(F.log2("blocks")).cast("int").alias("ups"), "blocks")
         tree = got.join(ups.where("blocks > 1"), "request_id")
         for level in range(1, math.ceil(math.log2(most)) + 1):
             node = F.shiftright("block", level)
@@ -166,8 +164,7 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
 def varied_subset(chosen: DataFrame) -> DataFrame:
     """The first k nominees of each request: (request_id, cell_id, position, lone).
 
-    Records that nothing else stands for come first, then the others as pivoted. Where nominees are too
-    many for a single root, the roots take turns by place.
+    Records that nothing else stands for come first, then the others as pivoted at the root.
     """
     w = Window.partitionBy("request_id").orderBy(F.col("lone").desc(), "place", "node", "cell_id")
     return chosen.withColumn("position", F.row_number().over(w)).where("position <= k").select("request_id", "cell_id", "position", "lone")

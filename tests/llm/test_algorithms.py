@@ -125,6 +125,22 @@ def test_subset(spark, block, node):
         subset.BLOCK_ROWS, subset.NODE_ROWS = old
 
 
+def test_subset_has_a_single_root(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-6, 6, (240, 2))
+    rec = spark.createDataFrame([(f"c{i}", "A", "S", x[i].tolist()) for i in range(len(x))], "cell_id string, batch string, category string, coords array<double>")
+    req = spark.createDataFrame([(1, "A", 5, 2.0)], "request_id long, batch string, subset_size int, radius double")
+    old, subset.BLOCK_ROWS, subset.NODE_ROWS = (subset.BLOCK_ROWS, subset.NODE_ROWS), 40, 20
+    try:
+        n = subset.nominees(rec, req).collect()
+    finally:
+        subset.BLOCK_ROWS, subset.NODE_ROWS = old
+    c = x[[int(r["cell_id"][1:]) for r in n]]
+    d = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)) + 99 * np.eye(len(c))
+    assert d.min() > 2.0 and sorted(r["place"] for r in n) == list(range(len(n)))
+    assert len(n) > 5 and (np.sqrt(((x[:, None] - c[None]) ** 2).sum(-1)).min(1) <= 4.0).all()
+
+
 # problem 3
 
 
