@@ -548,7 +548,7 @@ def mds(spark, d):
 
 @query()
 def nmf(spark, d):
-    return _rows(D.calculate_nmf(_basket(spark, d), ntop=100, assay_type="counts")[0])
+    return _rows(D.calculate_nmf(_basket(spark, d), assay_type="counts")[0])
 
 
 @query()

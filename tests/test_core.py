@@ -423,3 +423,12 @@ def test_streams(spark, tmp_path, toy):
     assert as_dict(spark.table("out_n"), "cell_id", "n") == {f"c{j}": int((m[:, j] > 0).sum()) for j in range(4)}
     assert as_dict(spark.table("out_t"), "feature_id", "total")["g0"] == 8
     assert as_dict(spark.table("out_w"), "cell_id", "total")["c0"] == 15
+
+
+def test_nmf_query_takes_the_default_features(spark, monkeypatch):
+    from matrixloom.plans import catalog
+
+    asked = {}
+    monkeypatch.setattr(catalog.D, "calculate_nmf", lambda b, **kw: asked.update(kw) or (spark.createDataFrame([("c", [1.0, 2.0])], "cell_id string, coords array<double>"), {}))
+    catalog.QUERIES["nmf"](spark, "/root/testdata/sf0.001")
+    assert "ntop" not in asked
