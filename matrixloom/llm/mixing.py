@@ -3,59 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .select import random_key, take_smallest
-
-#: Membership patterns of one mix that a flow is solved for at most; beyond it the mix is refused, not cut.
-MOST_PATTERNS = 20_000
-
-
-class Flow:
-    """Min-cost flow by successive shortest paths on a small network with whole capacities."""
-
-    def __init__(self, n: int):
-        self.out: list[list[int]] = [[] for _ in range(n)]
-        self.to: list[int] = []
-        self.cap: list[int] = []
-        self.cost: list[int] = []
-
-    def edge(self, a: int, b: int, cap: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.cap.append(c)
-            self.cost.append(w)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> None:
-        """As much flow as possible, at the least cost. Queue-based label correction finds each path."""
-        n = len(self.out)
-        while True:
-            dist, via, queued = [math.inf] * n, [-1] * n, [False] * n
-            dist[s], queue = 0, [s]
-            for a in queue:
-                queued[a] = False
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.cap[e] > 0 and dist[a] + self.cost[e] < dist[b]:
-                        dist[b], via[b] = dist[a] + self.cost[e], e
-                        if not queued[b]:
-                            queued[b] = True
-                            queue.append(b)
-            if dist[t] == math.inf:
-                return
-            push, x = math.inf, t
-            while x != s:
-                push, x = min(push, self.cap[via[x]]), self.to[via[x] ^ 1]
-            x = t
-            while x != s:
-                self.cap[via[x]] -= push
-                self.cap[via[x] ^ 1] += push
-                x = self.to[via[x] ^ 1]
+from ..functions.relational import written
+from .flow import Flow
+from .select import by_group, positions, random_key
 
 
 def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], repeats: dict[str, int]) -> dict:
@@ -63,72 +18,82 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], r
 
     The r-th use of a pattern's documents costs r - 1 a token, so that everything is used once before
     anything is used twice. Pattern p gives source s at most repeats[s] times its size and is used at
-    most max(repeats of its sources) times in all.
+    most max(repeats of its sources) times in all. As only the first edge of a path costs anything, the least cost
+    comes from letting in one use after the other, each with as much flow as there is room for.
     """
     names = sorted(quotas)
-    n = 2 + len(patterns) + len(names)
-    f, at = Flow(n), {s: 2 + len(patterns) + i for i, s in enumerate(names)}
-    uses = {}
-    for s in names:
-        f.edge(at[s], 1, quotas[s], 0)
-    for i, (members, size) in enumerate(patterns):
-        for r in range(max((repeats[s] for s in members), default=0)):
-            f.edge(0, 2 + i, size, r)
-        for s in members:
-            uses[i, s] = f.edge(2 + i, at[s], size * repeats[s], 0)
-    f.run(0, 1)
+    f, at = Flow(2 + len(patterns) + len(names)), {s: 2 + len(patterns) + i for i, s in enumerate(names)}
+    ends = [f.edge(at[s], 1, quotas[s]) for s in names]
+    starts = [f.edge(0, 2 + i, 0) for i in range(len(patterns))]
+    uses = {(i, s): f.edge(2 + i, at[s], size * repeats[s]) for i, (members, size) in enumerate(patterns) for s in members}
+    most = [max((repeats[s] for s in members), default=0) for members, _ in patterns]
+    for r in range(max(most, default=0)):
+        if not any(f.cap[e] for e in ends):
+            break
+        for i, e in enumerate(starts):
+            f.cap[e] += patterns[i][1] if r < most[i] else 0
+        f.run(0, 1)
     return {k: f.cap[e ^ 1] for k, e in uses.items() if f.cap[e ^ 1] > 0}
 
 
-_PLAN = "mix_id int, source string, pattern string, wanted double, quota long, size long, n_docs long, routed long"
+_PLAN = "mix_id int, source string, members string, wanted double, quota long, size long, n_docs long, routed long, low long, high long"
 
 
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    mix = pdf["mix_id"].iloc[0]
-    src = pdf[pdf["source"].notna()]
-    pats = pdf[pdf["pattern"].notna()].sort_values("pattern")
-    if len(pats) > MOST_PATTERNS:
-        raise ValueError(f"mix {mix} has more than {MOST_PATTERNS} membership patterns")
-    names, sizes, docs = list(src["source"]), [int(x) for x in pats["size"]], [int(x) for x in pats["n_docs"]]
-    members = [tuple(s for s in p.split("\x1f") if s in set(names)) for p in pats["pattern"]]
+def _solve(rows: list[dict]) -> list[dict]:
+    src = sorted((r for r in rows if r["source"] is not None), key=lambda r: r["source"])
+    pats = sorted((r for r in rows if r["members"] is not None), key=lambda r: r["members"])
+    mix = rows[0]["mix_id"]
+    names = [r["source"] for r in src]
+    members = [tuple(r["members"].split("\x1f")) for r in pats]
     # T adds a document of several sources once for each, as each may use it
-    have = {s: sum(z for m, z in zip(members, sizes, strict=True) if s in m) for s in names}
+    have = {s: sum(r["size"] for m, r in zip(members, pats, strict=True) if s in m) for s in names}
     total = sum(have.values())
-    wanted = {s: float(a) * float(b) * total for s, a, b in zip(names, src["target_share"].fillna(0), src["total_ratio"].fillna(0), strict=True)}
-    repeats = {s: max(int(r), 0) for s, r in zip(names, src["max_repeats"].fillna(0), strict=True)}
-    got = route(list(zip(members, sizes, strict=True)), {s: math.ceil(wanted[s]) for s in names}, repeats)
-    rows = [(mix, s, None, wanted[s], math.ceil(wanted[s]), have[s], 0, 0) for s in names]
-    rows += [(mix, s, pats["pattern"].iloc[i], wanted[s], 0, sizes[i], docs[i], v) for (i, s), v in got.items()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _PLAN.split(", ")])
+    wanted = {r["source"]: (r["target_share"] or 0.0) * (r["total_ratio"] or 0.0) * total for r in src}
+    repeats = {r["source"]: max(r["max_repeats"] or 0, 0) for r in src}
+    got = route([(m, r["size"]) for m, r in zip(members, pats, strict=True)], {s: math.ceil(wanted[s]) for s in names}, repeats)
+    out = [{"mix_id": mix, "source": s, "wanted": wanted[s], "quota": math.ceil(wanted[s]), "size": have[s], "n_docs": 0, "routed": 0} for s in names]
+    for i, r in enumerate(pats):
+        mine = [(s, got[i, s]) for s in names if (i, s) in got]
+        for (s, v), high in zip(mine, accumulate(v for _, v in mine), strict=True):
+            out.append({"mix_id": mix, "source": s, "members": r["members"], "wanted": wanted[s], "quota": 0, "size": r["size"], "n_docs": r["n_docs"], "routed": v, "low": high - v, "high": high})
+    return out
+
+
+def _pattern() -> Column:
+    return F.array_join(F.array_sort(F.array_distinct("sources")), "\x1f")
+
+
+def _patterns(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_id, pattern, members, size, n_docs): the membership patterns of documents and the sources of a mix among them."""
+    pats = docs.where("size > 0 AND size(sources) > 0").groupBy(_pattern().alias("pattern")).agg(
+        F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n_docs")
+    )
+    one = pats.withColumn("source", F.explode(F.split("pattern", "\x1f"))).join(targets.select("mix_id", "source").distinct(), "source")
+    one = one.groupBy("mix_id", "pattern", "size", "n_docs").agg(F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("members"))
+    return one.select("mix_id", "pattern", "members", "size", "n_docs")
 
 
 def mix_plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """The routed tokens of every mix: one row per (mix, source) with a null ``pattern``, holding
-    ``wanted``, ``quota`` and the available ``size``, and one per (mix, source, pattern) with the
-    tokens ``routed``.
+    """The routed tokens of every mix: one row per (mix, source) with null ``members``, holding
+    ``wanted``, ``quota`` and the available ``size``, and one per (mix, source, members) with the
+    tokens ``routed`` and the places ``low`` to ``high`` they take in the repeated documents of the pattern.
 
     ``docs``: ``doc_id``, ``sources`` (array of source names), ``size`` (tokens); ``targets`` as in
     ``mix_targets``. Documents without known source, or of null or zero size, carry no tokens. A
     source without documents has size 0. Null shares, ratios and repeats count as 0; repeated rows of
-    a key are one. Documents are aggregated by membership pattern on the map side: what is shuffled
-    and solved grows with the patterns, not with the documents.
+    a key are one. Documents are aggregated by membership pattern on the map side, and patterns with the same
+    sources of a mix are one to it: what is shuffled and solved grows with the patterns, not with the documents.
     """
-    targets = targets.select("mix_id", "source", "target_share", "max_repeats", "total_ratio").dropDuplicates(["mix_id", "source"])
-    pattern = F.array_join(F.array_sort(F.array_distinct("sources")), "\x1f")
-    pats = docs.where("size > 0 AND size(sources) > 0").groupBy(pattern.alias("pattern")).agg(
-        F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n_docs")
-    )
-    used = pats.withColumn("source", F.explode(F.split("pattern", "\x1f"))).join(targets.select("mix_id", "source"), "source")
-    used = used.dropDuplicates(["mix_id", "pattern"]).select("mix_id", F.lit(None).cast("string").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in (("target_share", "double"), ("max_repeats", "int"), ("total_ratio", "double"))], "pattern", "size", "n_docs")
-    both = targets.withColumn("pattern", F.lit(None).cast("string")).withColumn("size", F.lit(None).cast("long")).withColumn("n_docs", F.lit(None).cast("long")).unionByName(used)
-    return both.groupBy("mix_id").applyInPandas(_solve, _PLAN)
+    targets = targets.select(F.col("mix_id").cast("int").alias("mix_id"), "source", "target_share", "max_repeats", "total_ratio").where("source IS NOT NULL").dropDuplicates(["mix_id", "source"])
+    used = _patterns(docs, targets).groupBy("mix_id", "members").agg(F.sum("size").alias("size"), F.sum("n_docs").alias("n_docs"))
+    return by_group(targets.unionByName(used, allowMissingColumns=True), "mix_id", _solve, _PLAN)
 
 
 def mix_report(plan: DataFrame) -> DataFrame:
     """Per (mix, source): tokens wanted, available and routed, the share reached and whether it falls short."""
     got = plan.groupBy("mix_id", "source").agg(
         F.max("wanted").alias("wanted"),
-        F.max(F.when(F.col("pattern").isNull(), F.col("size"))).alias("available"),
+        F.max(F.when(F.col("members").isNull(), F.col("size"))).alias("available"),
         F.sum("routed").alias("routed"),
     )
     per_mix = got.groupBy("mix_id").agg(F.sum("routed").alias("_all"))
@@ -142,19 +107,22 @@ def mix_report(plan: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of every mix with their number of uses: (mix_id, source, doc_id, size, uses).
 
-    Of a pattern that gives a source f tokens out of A, every document is used f // A times and those
-    with the smallest random keys once more, until the remainder is reached to within half a document.
+    The documents of a pattern are laid out in a random order, over and over; each source takes its stretch from
+    ``low`` to ``high``, and a document goes to the source that holds the middle of one of its turns. So a document is used
+    at most ``max_repeats`` times by a source and at most as often as the largest of its sources' ``max_repeats`` in all,
+    none is used twice before all are used once, and a source's total is within half a document at each end of a stretch.
+    Rows that repeat a ``doc_id`` are documents of their own.
     """
-    p = plan.where("pattern IS NOT NULL AND routed > 0").select("mix_id", "source", "pattern", "routed", F.col("size").alias("_a"), F.col("n_docs").alias("n_rows"))
-    pattern = F.array_join(F.array_sort(F.array_distinct("sources")), "\x1f")
-    salts = 16  # a pattern may hold a third of all documents
-    d = docs.where("size > 0 AND size(sources) > 0").select("doc_id", "size", pattern.alias("pattern"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_s"))
-    p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = d.join(p, ["pattern", "_s"]).drop("_s")
-    base = F.floor(F.col("routed") / F.col("_a")).cast("long")
-    all_ = d.where(base > 0).select("mix_id", "source", "doc_id", "size", base.alias("uses"))
-    more = d.select("mix_id", "source", "pattern", "doc_id", "size").withColumn("_key", random_key(seed, "mix_id", "source", "doc_id"))
-    quota = p.where("_s = 0").select("mix_id", "source", "pattern", "n_rows", F.expr("routed % _a").alias("quota"))
-    more = take_smallest(more, quota, ["mix_id", "source", "pattern"], "_key", "doc_id", "size")
-    out = all_.unionByName(more.select("mix_id", "source", "doc_id", "size", F.lit(1).cast("long").alias("uses")))
-    return out.groupBy("mix_id", "source", "doc_id").agg(F.max("size").alias("size"), F.sum("uses").alias("uses"))
+    plan = written(plan, "plan")  # a few rows for each mix, read several times
+    p = plan.where("members IS NOT NULL AND routed > 0")
+    cut = F.explode(F.array(F.expr("low % size"), F.expr("high % size")))
+    cuts = p.select("mix_id", "members", cut.alias("c")).where("c > 0").groupBy("mix_id", "members").agg(F.array_sort(F.collect_set("c")).alias("cuts"))
+    takes = p.groupBy("mix_id", "members").agg(F.first("size").alias("_all"), F.first("n_docs").alias("n_rows"), F.collect_list(F.struct("source", "low", "high")).alias("_takes"))
+    takes = takes.join(cuts, ["mix_id", "members"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>")))
+    groups = written(_patterns(docs, plan.where("members IS NULL").select("mix_id", "source")).select("mix_id", "members", "pattern").join(takes, ["mix_id", "members"]), "takes")
+    d = docs.where("size > 0 AND size(sources) > 0").select("doc_id", F.col("size").cast("long").alias("_size"), _pattern().alias("pattern"))
+    d = positions(d, groups, "pattern", ["mix_id", "members"], random_key(seed, "mix_id", "doc_id"), "doc_id", "_size")
+    d = d.select("mix_id", "doc_id", "_size", "_mid", "_all", F.explode("_takes").alias("t"))
+    turns = lambda c: F.greatest(F.ceil((F.col(c) - F.col("_mid")) / F.col("_all")), F.lit(0))
+    d = d.select("mix_id", "t.source", "doc_id", F.col("_size").alias("size"), (turns("t.high") - turns("t.low")).cast("long").alias("uses"))
+    return d.where("uses > 0")

@@ -14,7 +14,7 @@ QUARTILES = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = proportions.stratum_report(tables.cells(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
+    r = proportions.stratum_report(proportions.sampling_plan(tables.cells(spark, sf_dir), table(spark, sf_dir, "sample_targets")))
     return r.select("request_id", "stratum_no", "available", "wanted", "shortfall")
 
 
@@ -22,9 +22,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_report(spark, sf_dir).where("shortfall > 0").select("request_id", "stratum_no")
 
 
-def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p1_drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = written(tables.cells(spark, sf_dir), "cells")  # gone over twice
-    return proportions.stratified_sample(c, proportions.stratum_report(c, table(spark, sf_dir, "sample_targets")))
+    plan = written(proportions.sampling_plan(c, table(spark, sf_dir, "sample_targets")), "plan")
+    return c, plan, proportions.stratified_sample(c, plan)
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p1_drawn(spark, sf_dir)[2]
+
+
+def p1_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample against its plan: cells missing from the quota, drawn twice, or of another stratum (all 0)."""
+    c, plan, drawn = _p1_drawn(spark, sf_dir)
+    r = proportions.stratum_report(plan)
+    keys = ["request_id", "stratum_no"]
+    twice = drawn.groupBy("request_id", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.min("stratum_no").alias("stratum_no"))
+    twice = twice.where("n > 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("doubled"))
+    have = drawn.join(c.select("cell_id", *[F.col(x).alias(f"_{x}") for x in ("batch", "treatment", "mutation_status")]), "cell_id").join(r, keys)
+    fits = F.col("_batch") == F.col("batch")
+    for x in ("treatment", "mutation_status"):
+        fits = fits & (F.col(x).isNull() | F.coalesce(F.col(x) == F.col(f"_{x}"), F.lit(False)))
+    got = have.groupBy(*keys).agg(F.count(F.lit(1)).alias("drawn"), F.count_if(~fits).alias("misplaced"))
+    out = r.join(got, keys, "left").join(twice, keys, "left")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return out.select(*keys, "available", "wanted", (F.col("quota") - zero("drawn")).alias("missing"), zero("misplaced").alias("misplaced"), zero("doubled").alias("doubled"))
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +141,34 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(*_p7(spark, sf_dir))
 
 
+def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes of distinct texts, each a member of all sources that deliver it: what the selection makes of the plan.
+
+    ``over``: documents used too often by a source or in all; ``off``: tokens that stretches of whole documents cannot explain (all 0).
+    """
+    docs = written(tables.sourced_texts(spark, sf_dir), "texts")
+    targets = table(spark, sf_dir, "mix_targets")
+    plan = written(mixing.mix_plan(docs, targets), "plan")
+    used = mixing.mix_documents(docs, plan).join(targets.select("mix_id", "source", "max_repeats"), ["mix_id", "source"])
+    used = used.join(docs.select("doc_id", "sources"), "doc_id")
+    most = targets.select("mix_id", F.col("source").alias("_s"), F.col("max_repeats").alias("_r"))
+    caps = used.select("mix_id", "doc_id", F.explode("sources").alias("_s")).distinct().join(most, ["mix_id", "_s"]).groupBy("mix_id", "doc_id").agg(F.max("_r").alias("_cap"))
+    all_ = used.groupBy("mix_id", "doc_id").agg(F.sum("uses").alias("_uses")).join(caps, ["mix_id", "doc_id"]).where("_uses > _cap").select("mix_id", "doc_id", F.lit(True).alias("_over"))
+    used = used.join(all_, ["mix_id", "doc_id"], "left")
+    got = used.groupBy("mix_id", "source").agg(F.count_if((F.col("uses") > F.col("max_repeats")) | F.coalesce("_over", F.lit(False))).alias("over"), F.sum(F.col("size") * F.col("uses")).alias("_tokens"))
+    ends = plan.where("members IS NOT NULL").groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("_stretches"))
+    longest = docs.agg(F.max("size")).scalar()
+    out = mixing.mix_report(plan).join(got, ["mix_id", "source"], "left").join(ends, ["mix_id", "source"], "left")
+    off = F.abs(F.coalesce("_tokens", F.lit(0)) - F.col("routed")) - F.coalesce("_stretches", F.lit(0)) * longest
+    return out.select("mix_id", "source", "wanted", "available", F.coalesce("over", F.lit(0)).alias("over"), F.greatest(off, F.lit(0)).cast("long").alias("off"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p8_found)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
@@ -178,8 +222,13 @@ k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b
 SELECT x.a AS cell_id_a, x.b AS cell_id_b FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
     "p1_report": _P1 + "SELECT request_id, stratum_no, available, wanted, greatest(wanted - available, 0) AS shortfall FROM have",
     "p1_found": _P1 + "SELECT request_id, stratum_no FROM have WHERE available < wanted",
+    "p1_delivery": _P1 + "SELECT request_id, stratum_no, available, wanted, 0::BIGINT AS missing, 0::BIGINT AS misplaced, 0::BIGINT AS doubled FROM have",
     "p4_percentiles": _P4 + "SELECT field_name, group_key, n_values, " + ", ".join(f"round({q}, 6) AS {q}" for q in QUARTILES) + " FROM q",
     "p4_found": _P4 + "SELECT field_name, group_key FROM q WHERE (field_name = 'rle' AND (abs(q50) > 0.5 OR q75 - q25 > 2.5 OR q95 > 5 OR q05 < -5)) OR (field_name = 'logcounts' AND q50 > 5)",
     "p7_report": _P7 + "SELECT mix_id, source, wanted, available, routed, round(routed::DOUBLE / sum(routed) OVER (PARTITION BY mix_id), 6) AS share_reached, routed < wanted AS short FROM r",
+    "p7_overlap": f"""WITH d AS (SELECT DISTINCT {_LEVEL.format('source')} AS k, text FROM documents WHERE text IS NOT NULL),
+a AS (SELECT mix_id, m.source, any_value(target_share * total_ratio) AS f, coalesce(sum(strlen(text)), 0)::BIGINT AS available
+  FROM mix_targets m LEFT JOIN d ON k = {_LEVEL.format('m.source')} GROUP BY 1, 2)
+SELECT mix_id, source, f * sum(available) OVER (PARTITION BY mix_id) AS wanted, available, 0::BIGINT AS over, 0::BIGINT AS off FROM a""",
     "p7_found": _P7 + "SELECT mix_id, source FROM w WHERE wanted > max_repeats * available",
 }

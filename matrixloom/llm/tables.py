@@ -40,3 +40,10 @@ def sourced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     src = level_of(F.col("source"), names)
     return d.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.when(src.isNotNull(), F.array(src)).otherwise(F.array().cast("array<string>")).alias("sources"))
+
+
+def sourced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts under the smallest id of their documents, with the mix sources of all of these."""
+    d = sourced_documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("text IS NOT NULL")
+    one = d.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
+    return one.select("doc_id", "size", "sources")

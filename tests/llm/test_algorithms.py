@@ -21,31 +21,29 @@ DIRTY = [None, [], [1.0] * 3, [float("nan")] * 20, [None] * 20, [float("inf")] +
 # take_smallest and problem 1
 
 
-def test_take_smallest_is_exact_with_slices(spark):
-    old, select.SLICE_ROWS = select.SLICE_ROWS, 10
+def test_positions_are_exact_at_the_cuts(spark):
+    old = select.SLICE_ROWS, select.SALT_ROWS
+    select.SLICE_ROWS, select.SALT_ROWS = 10, 100
     try:
         rng = random.Random(1)
         rows = [("hot" if i % 3 else f"g{i % 7}", i, rng.randint(1, 5)) for i in range(900)]
-        d = spark.createDataFrame(rows, "g string, id long, w long").withColumn("key", select.random_key(5, "id"))
-        full = d.toPandas()
+        d = spark.createDataFrame(rows, "g string, id long, w long")
+        full = d.withColumn("key", select.random_key(5, "id")).toPandas()
         for unit in (True, False):
-            quota = {g: (len(p) // 3 if unit else int(p.w.sum()) // 3) for g, p in full.groupby("g")}
-            quota["g1"] = 0
-            q = spark.createDataFrame([(g, k, int((full.g == g).sum())) for g, k in quota.items()], "g string, quota long, n_rows long")
+            full["v"] = 1 if unit else full.w
+            cuts = {g: sorted({int(p.v.sum()) // 5, int(p.v.sum()) // 2, int(p.v.sum())}) for g, p in full.groupby("g")}
+            groups = spark.createDataFrame([("x", g, int((full.g == g).sum()), c) for g, c in cuts.items()], "r string, g string, n_rows long, cuts array<long>")
             dd = d.withColumn("w", F.lit(1).cast("long")) if unit else d
-            got = select.take_smallest(dd, q, ["g"], "key", "id", "w").toPandas()
+            got = select.positions(dd, groups, "g", ["r", "g"], select.random_key(5, "id"), "id", "w").toPandas().set_index("id")
+            assert len(got) == 900
             for g, p in full.groupby("g"):
-                cum, want = 0, []
+                cum = 0
                 for r in p.sort_values(["key", "id"]).itertuples():
-                    w = 1 if unit else r.w
-                    if cum + w / 2 <= quota[g] and quota[g] > 0:
-                        want.append(r.id)
-                        cum += w
-                    else:
-                        break
-                assert sorted(got[got.g == g].id) == sorted(want)
+                    mid = cum + r.v / 2
+                    assert sum(c <= mid for c in cuts[g]) == sum(c <= got._mid[r.id] for c in cuts[g])
+                    cum += r.v
     finally:
-        select.SLICE_ROWS = old
+        select.SLICE_ROWS, select.SALT_ROWS = old
 
 
 def test_allocation():
@@ -71,14 +69,14 @@ def p1_tables(spark):
 
 def test_proportions(spark):
     c, s, cells, targets = p1_tables(spark)
-    report = {(r["request_id"], r["stratum_no"]): r for r in proportions.stratum_report(c, s).collect()}
+    report = {(r["request_id"], r["stratum_no"]): r for r in proportions.stratum_report(proportions.sampling_plan(c, s)).collect()}
     assert len(report) == 7
     for q, n, b, t, m, share, size, least in targets:
         have = sum(1 for x in cells.values() if x[1] == b and (t is None or x[2] == t) and (m is None or x[3] == m))
         want = max(math.floor((share or 0) * (size or 0) + 0.5), least or 0)
         r = report[q, n]
         assert (r["available"], r["wanted"], r["shortfall"]) == (have, want, max(want - have, 0)) and r["quota"] <= have
-    rep = proportions.stratum_report(c, s)
+    rep = proportions.sampling_plan(c, s)
     got = proportions.stratified_sample(c, rep, 3).collect()
     assert len({(r[0], r[2]) for r in got}) == len(got)
     for r in got:
@@ -86,8 +84,23 @@ def test_proportions(spark):
         assert x[1] == t[2] and t[3] in (None, x[2]) and t[4] in (None, x[3])
     assert sum(r[0] == 1 for r in got) == 20 and sum(r[0] == 2 for r in got) == 100
     assert sorted(map(tuple, got)) == sorted(map(tuple, proportions.stratified_sample(c.repartition(7), rep, 3).collect()))
-    assert proportions.stratum_report(c.limit(0), s).where("available = 0").count() == 7
-    assert proportions.stratum_report(c, s.limit(0)).count() == 0
+    for (q, n), r in report.items():
+        assert r["quota"] == sum(x[:2] == (q, n) for x in got)
+    assert proportions.stratum_report(proportions.sampling_plan(c.limit(0), s)).where("available = 0").count() == 7
+    assert proportions.sampling_plan(c, s.limit(0)).count() == 0
+
+
+def test_overlapping_strata_get_what_they_are_told(spark):
+    kind = "cell_id string, batch string, treatment string, mutation_status string"
+    c = spark.createDataFrame([(f"c{i}", "B", "t1", "m1") for i in range(100)], kind)
+    t = spark.createDataFrame([(1, 1, "B", "t1", "m1", 0.2, 50, 0), (1, 2, "B", None, None, 0.8, 50, 0)], "request_id long, stratum_no int, batch string, treatment string, mutation_status string, target_share double, sample_size int, min_cells int")
+    plan = proportions.sampling_plan(c, t)
+    got = proportions.stratified_sample(c, plan).groupBy("stratum_no").count().collect()
+    assert dict(map(tuple, got)) == {1: 10, 2: 40}
+    # 10 cells for two strata that want 10 and 8 of the same: one is held to what is left, and the report tells
+    rep = {r["stratum_no"]: r for r in proportions.stratum_report(proportions.sampling_plan(c.limit(10), t.withColumn("sample_size", F.lit(10)).withColumn("min_cells", F.lit(8)))).collect()}
+    assert sum(r["quota"] for r in rep.values()) == 10 and sum(r["unfilled"] for r in rep.values()) == 6 and not any(r["shortfall"] for r in rep.values())
+    assert proportions.share_out([3, 2], [0, 2], [3], [[True], [True]]) == [[1], [2]]  # floors first
 
 
 # problem 2
@@ -365,3 +378,16 @@ def test_mix(spark):
         assert abs(sum(g["size"] * g["uses"] for g in mine) - r["routed"]) <= 3 * 25
         assert all(g["uses"] <= {"a": 2, "b": 1, "c": 9}[s] for g in mine)
     assert mixing.mix_report(mixing.mix_plan(d.limit(0), t)).count() == 6 and mixing.mix_plan(d, t.limit(0)).count() == 0
+
+
+def test_a_document_of_two_sources_is_used_once(spark):
+    d = spark.createDataFrame([(i, ["a", "b", "other"] if i % 2 else ["b", "a"], 10) for i in range(200)], "doc_id long, sources array<string>, size long")
+    t = spark.createDataFrame([(1, s, 0.25, 1, 1.0) for s in "ab"], "mix_id int, source string, target_share double, max_repeats int, total_ratio double")
+    got = mixing.mix_documents(d, mixing.mix_plan(d, t)).collect()
+    assert len({g["doc_id"] for g in got}) == len(got) == 200 and all(g["uses"] == 1 for g in got)
+    assert sum(g["source"] == "a" for g in got) == 100
+    more = mixing.mix_documents(d, mixing.mix_plan(d, t.withColumn("max_repeats", F.lit(3)).withColumn("total_ratio", F.lit(2.5)))).collect()
+    uses = {}
+    for g in more:
+        uses[g["doc_id"]] = uses.get(g["doc_id"], 0) + g["uses"]
+    assert set(uses.values()) == {2, 3} and sum(uses.values()) == 500
