@@ -6,31 +6,35 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, matrix, nearest, ragged, reach, same_length, sample, usable
+from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, nearest, pack, packed, packed_sample, ragged, reach, unpacked, usual_length
 
 #: Vectors aimed at in a list and held by one task of it, queries of a list in one task, lists at most.
-LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 4_000, 8_000, 40_000, 16_384
-#: Codewords of a subspace, dimensions of one, rows whose table sums are added up at a time.
-CODEWORDS, SUBSPACE, ADC_ROWS = 256, 4, 512
+LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 2_000, 16_000, 40_000, 16_384
+#: Codewords of a subspace, dimensions of one, subspaces after which sums are broken off; rows of a part of a list within a task; queries whose tables are held at a time.
+CODEWORDS, SUBSPACE, EARLY, PART_ROWS, TABLE_QUERIES = 64, 2, 4, 256, 4_096
+#: Groups of copies up to which their keys (16 bytes each) are sent to all executors; more are joined by shuffle.
+MOST_SENT = 500_000
+#: Copies of a vector that meet its neighbours in one task.
+COPY_ROWS = 100_000
 
 
 class Index:
     """Coarse centroids and one codebook of residuals per subspace. Fitted on a bounded sample."""
 
     def __init__(self, x: np.ndarray, n_lists: int):
-        self.centroids = kmeans(x, n_lists)
+        self.centroids = kmeans(x, n_lists, spread=True)
         r = x - self.centroids[nearest(x, self.centroids)]
         self.cuts = [slice(i, min(i + SUBSPACE, x.shape[1])) for i in range(0, x.shape[1], SUBSPACE)]
         self.books = [kmeans(r[:, s], CODEWORDS, 6) for s in self.cuts]
 
-    def encode(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of vectors of list ``at``, and how far each is from what its code stands for."""
-        r = x - self.centroids[at]
-        codes = np.stack([nearest(r[:, s], b) for s, b in zip(self.cuts, self.books, strict=True)], 1)
+    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of vectors of the lists ``own``, and how far each is from what its code stands for."""
+        r = x - self.centroids[own]
+        codes = np.stack([nearest(r[:, s], b) for s, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         rebuilt = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
         return codes, np.sqrt(((r - rebuilt) ** 2).sum(1))
 
@@ -45,146 +49,237 @@ class Index:
             out.append(t.astype(np.float32))
         return out
 
-    def search(self, q: np.ndarray, x: np.ndarray, at: int, same: np.ndarray, k: int, radius: float | None, rerank: int) -> tuple:
-        """(query, row, distance) of the best ``k`` rows of list ``at`` for each query.
+    def within(self, q: np.ndarray, x: np.ndarray, codes: np.ndarray, err: np.ndarray, at: int, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all pairs whose table distance, less the row's own coding error, is within the query's radius.
 
-        ``same``: the row of x that is the query itself, or -1. With a radius every row that may be
-        within it, as its table distance less its own coding error tells, is compared exactly;
-        without one the ``rerank`` rows of least table distance are.
+        The list is divided once more into parts, and a query looks into those that its ball meets. Sums of
+        table rows are broken off after a few subspaces for the pairs that are too far by then.
         """
-        codes, err = self.encode(x, at)
-        out: list[tuple] = []
-        bound = None if radius is None else ((radius + err) ** 2 * (1 + 1e-4) + 1e-3).astype(np.float32)
-        # sums of table rows stay in buffers of cache size, a block of rows and queries at a time
-        step = ADC_ROWS if radius is not None else max(len(x), 1)
-        total, part = np.empty((step, 256), np.float32), np.empty((step, 256), np.float32)
-        for i in range(0, len(q), 256):
-            qb = q[i : i + 256]
+        small = kmeans(x[:: max(1, len(x) // 4_000)], max(1, len(x) // PART_ROWS), 4)
+        of, radius = nearest(x, small), np.minimum(radius, 1e150)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(small) + 1))
+        rows_, cols_ = [], []
+        for i in range(0, len(q), TABLE_QUERIES):
+            qb, rb = q[i : i + TABLE_QUERIES], radius[i : i + TABLE_QUERIES]
             t = self.tables(qb, at)
-            rows_, cols_ = [], []
-            for j in range(0, len(x), step):
-                c = codes[j : j + step]
-                adc, one = total[: len(c), : len(qb)], part[: len(c), : len(qb)]
-                np.take(t[0], c[:, 0], 0, out=adc, mode="clip")
-                for m in range(1, len(t)):
-                    np.take(t[m], c[:, m], 0, out=one, mode="clip")
-                    adc += one
-                if radius is not None:
-                    row, col = np.nonzero(adc <= bound[j : j + step, None])
-                else:
-                    n = min(rerank, len(x))
-                    row = np.argpartition(adc, n - 1, 0)[:n].ravel()
-                    col = np.tile(np.arange(len(qb)), n)
-                rows_.append(row + j)
-                cols_.append(col)
-            row, col = np.concatenate(rows_), np.concatenate(cols_)
-            keep = same[i + col] != row
-            row, col = row[keep], col[keep]
-            d = np.sqrt(((x[row] - qb[col]) ** 2).sum(1))
-            if radius is not None:
-                row, col, d = row[d <= radius], col[d <= radius], d[d <= radius]
-            order = np.lexsort((row, d, col))
-            row, col, d = row[order], col[order], d[order]
-            first = np.r_[0, np.nonzero(np.diff(col))[0] + 1] if len(col) else np.zeros(0, int)
-            rank = np.arange(len(col)) - np.repeat(first, np.diff(np.r_[first, len(col)]))
-            top = rank < k
-            out.append((col[top] + i, row[top], d[top]))
-        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
-
-
-def _searched(base: DataFrame, k: int, radius: float | None, probes: int, query: str | None, rerank: int) -> DataFrame:
-    """(a, b, distance) candidates between distinct vectors; ``base`` is a written table of cell_id, coords."""
-    schema = "a string, b string, distance double"
-    n = base.count()
-    n_lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS)))
-    x = sample(base, n, max(SAMPLE_ROWS, ROWS_EACH * n_lists))
-    if not len(x):
-        return base.sparkSession.createDataFrame([], schema)
-    dims = x.shape[1]
-    ix = Index(x, n_lists)
-
-    def place(t: pa.Table) -> pa.Table:
-        v = matrix(t["coords"], dims)
-        own, rows, cells = reach(v, ix.centroids, radius or 0.0, probes)
-        asks = np.asarray(t["asks"].to_numpy(zero_copy_only=False), bool)
-        keep = asks[rows]
-        return pa.table([t["cell_id"], t["coords"], pa.array(own, pa.int32()), ragged(rows[keep], cells[keep], len(v))], names=["cell_id", "coords", "own", "probes"])
-
-    asks = F.expr(query) if query else F.lit(True)
-    placed = base.select("cell_id", "coords", F.coalesce(asks, F.lit(False)).alias("asks")).mapInArrow(
-        lambda it: batches(place, it), "cell_id string, coords array<double>, own int, probes array<int>"
-    )
-    placed = written(placed, "lists")
-    spark = base.sparkSession
-    n_lists = len(ix.centroids)  # at most MOST_LISTS rows come to the driver
-    rows_of = {r[0]: r[1] for r in placed.groupBy("own").count().collect()}
-    asks_of = {r[0]: r[1] for r in placed.select(F.explode("probes").alias("p")).groupBy("p").count().collect()}
-    chunks = [max(1, math.ceil(rows_of.get(j, 0) / CHUNK_ROWS)) for j in range(n_lists)]
-    parts = [max(1, math.ceil(asks_of.get(j, 0) / QUERY_ROWS)) for j in range(n_lists)]
-    sizes = F.broadcast(spark.createDataFrame([(j, chunks[j], parts[j]) for j in range(n_lists)], "list int, chunks int, parts int"))
-    h = F.xxhash64("cell_id")
-    one = placed.withColumn("list", F.col("own")).join(sizes, "list")
-    one = one.select(
-        "list", F.pmod(h, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(False).alias("asks"), "cell_id", "coords",
-    )
-    many = placed.select(F.explode("probes").alias("list"), "cell_id", "coords").join(sizes, "list")
-    many = many.select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(h, "parts").cast("int").alias("part"),
-        F.lit(True).alias("asks"), "cell_id", "coords",
-    )
-
-    def find(t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids = t["cell_id"].to_numpy(zero_copy_only=False)
-        v = matrix(t["coords"], dims)
-        x, q, xi, qi = v[~asks], v[asks], ids[~asks], ids[asks]
-        if not len(x) or not len(q):
-            return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["a", "b", "distance"])
-        order = np.argsort(xi, kind="stable")  # so that ties go to the smaller id
-        x, xi = x[order], xi[order]
-        at = np.minimum(np.searchsorted(xi, qi), len(xi) - 1)
-        same = np.where(xi[at] == qi, at, -1)
-        a, b, d = ix.search(q, x, t["list"][0].as_py(), same, k, radius, rerank)
-        return pa.table([pa.array(qi[a], pa.string()), pa.array(xi[b], pa.string()), pa.array(d, pa.float64())], names=["a", "b", "distance"])
-
-    return one.unionByName(many).groupBy("list", "chunk", "part").applyInArrow(find, schema)
+            _, who, part = reach(qb, small, rb)
+            by = np.argsort(part, kind="stable")
+            who, starts = who[by], np.searchsorted(part[by], np.arange(len(small) + 1))
+            for j in range(len(small)):
+                mine, own = who[starts[j] : starts[j + 1]], order[ends[j] : ends[j + 1]]
+                if not len(mine) or not len(own):
+                    continue
+                c, e = codes[own], err[own]
+                for k in range(0, len(mine), 1_024):
+                    some = mine[k : k + 1_024]
+                    r = rb[some]
+                    far = e[:, None] + (r[:1] if r[0] == r[-1] and (r == r[0]).all() else r)[None]
+                    bound = np.minimum(far * far * (1 + 1e-4) + 1e-3, 3e38).astype(np.float32)
+                    adc = np.take(np.take(t[0], some, 1), c[:, 0], 0)
+                    for m in range(1, min(EARLY, len(t))):
+                        adc += np.take(np.take(t[m], some, 1), c[:, m], 0)
+                    row, col = np.divmod(np.flatnonzero(adc <= bound), len(some))
+                    if len(row) and len(t) > EARLY:
+                        rest = adc[row, col]
+                        for m in range(EARLY, len(t)):
+                            rest += t[m][c[row, m], some[col]]
+                        ok = rest <= (bound[row, col] if bound.shape[1] > 1 else bound[row, 0])
+                        row, col = row[ok], col[ok]
+                    rows_.append(own[row])
+                    cols_.append(some[col] + i)
+        z = np.zeros(0, np.int64)
+        return np.concatenate([z, *cols_]), np.concatenate([z, *rows_])
+
+    def closest(self, q: np.ndarray, codes: np.ndarray, at: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the ``rerank`` rows of least table distance to each query."""
+        n, rows_, cols_ = min(rerank, len(codes)), [], []
+        for i in range(0, len(q), 256):
+            t = self.tables(q[i : i + 256], at)
+            adc = np.take(t[0], codes[:, 0], 0)
+            for m in range(1, len(t)):
+                adc += np.take(t[m], codes[:, m], 0)
+            rows_.append(np.argpartition(adc, n - 1, 0)[:n].ravel())
+            cols_.append(np.tile(np.arange(adc.shape[1]), n) + i)
+        return np.concatenate(cols_), np.concatenate(rows_)
+
+    def search(self, q: np.ndarray, x: np.ndarray, codes: np.ndarray, err: np.ndarray, at: int, same: np.ndarray, k: int, radius: np.ndarray | None, rerank: int) -> tuple:
+        """(query, row, distance) of the best ``k`` rows of list ``at`` for each query.
+
+        ``same``: the row of x that is the query itself, or -1. With radii every row that may be within the
+        query's, as its table distance less its own coding error tells, is compared exactly;
+        without them the ``rerank`` rows of least table distance are.
+        """
+        col, row = self.within(q, x, codes, err, at, radius) if radius is not None else self.closest(q, codes, at, rerank)
+        keep = same[col] != row
+        row, col = row[keep], col[keep]
+        d = np.concatenate([np.zeros(0), *(np.sqrt(((x[row[i : i + 65_536]] - q[col[i : i + 65_536]]) ** 2).sum(1)) for i in range(0, len(row), 65_536))])
+        if radius is not None:
+            near = d <= radius[col]
+            row, col, d = row[near], col[near], d[near]
+        order = np.lexsort((row, d, col))
+        row, col, d = row[order], col[order], d[order]
+        first = np.r_[0, np.nonzero(np.diff(col))[0] + 1] if len(col) else np.zeros(0, int)
+        rank = np.arange(len(col)) - np.repeat(first, np.diff(np.r_[first, len(col)]))
+        top = rank < k
+        return col[top], row[top], d[top]
+
+
+_FOUND = "a string, b string, distance double"
+
+
+class Lists:
+    """A written inverted file: every vector with its list, its code and the code's error, encoded once."""
+
+    def __init__(self, base: DataFrame, dims: int, radius: float | None, probes: int):
+        """``base``: rows of cell_id, vec and asks. Rows that ask get the lists to look into."""
+        n = base.count()
+        n_lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS)))
+        x = packed_sample(base, n, dims, max(SAMPLE_ROWS, ROWS_EACH * n_lists))
+        self.base, self.dims, self.radius = base, dims, radius
+        self.ix = ix = Index(x, n_lists)
+        count = len(ix.centroids)
+
+        def place(t: pa.Table) -> pa.Table:
+            v = unpacked(t["vec"], dims)
+            asks = np.asarray(t["asks"].to_numpy(zero_copy_only=False), bool)
+            own, rows, cells = reach(v, ix.centroids, radius or 0.0, probes)
+            keep = asks[rows] & (cells != own[rows])
+            codes, err = ix.encode(v, own)
+            return pa.table([t["cell_id"], t["vec"], t["asks"], pa.array(own, pa.int32()), packed(codes), pa.array(err), ragged(rows[keep], cells[keep], len(v))], names=["cell_id", "vec", "asks", "own", "code", "err", "probes"])
+
+        schema = "cell_id string, vec binary, asks boolean, own int, code binary, err double, probes array<int>"
+        self.placed = written(base.select("cell_id", "vec", "asks").mapInArrow(lambda it: batches(place, it), schema), "lists")
+        # at most MOST_LISTS rows come to the driver
+        self.rows_of = {r[0]: r[1] for r in self.placed.groupBy("own").count().collect()}
+        self.lists = range(count)
+
+    def search(self, asks: DataFrame, k: int, rerank: int, own: bool, exact: bool) -> DataFrame:
+        """(a, b, distance) for ``asks``: cell_id, vec, own, probes, radius. With ``own`` the rows that ask in the index also ask their own list.
+
+        Every row of a list is sent to its block once (and again only where a list has more queries than a task takes), with its code;
+        a query goes to the blocks of the other lists it probes.
+        """
+        spark, ix, dims = self.base.sparkSession, self.ix, self.dims
+        asked = {r[0]: r[1] for r in asks.select(F.explode("probes").alias("p")).groupBy("p").count().collect()}
+        held = {j: self.rows_of.get(j, 0) for j in self.lists}
+        plan = [(j, max(1, math.ceil(held[j] / CHUNK_ROWS)), max(1, math.ceil((asked.get(j, 0) + own * held[j]) / QUERY_ROWS))) for j in self.lists if held[j] and (own or asked.get(j))]
+        plan = F.broadcast(spark.createDataFrame(plan, "list int, chunks int, parts int"))  # MOST_LISTS rows
+        h = F.xxhash64("cell_id")
+        chunk, part = F.pmod(h, "chunks").cast("int"), F.pmod(F.shiftrightunsigned(h, 20), "parts").cast("int")
+        span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        radius = F.lit(None).cast("double") if not exact else F.col("radius")
+        base = self.placed.withColumn("list", F.col("own")).join(plan, "list")
+        base = base.select("list", chunk.alias("chunk"), span("parts").alias("part"), part.alias("_p"), "cell_id", "vec", "asks", "code", "err")
+        base = base.select("list", "chunk", "part", F.lit(True).alias("base"), (F.lit(own) & F.col("asks") & (F.col("part") == F.col("_p"))).alias("asks"), "cell_id", "vec", "code", "err", F.lit(self.radius if own else None).cast("double").alias("radius"))
+        others = asks.select(F.explode("probes").alias("list"), "cell_id", "vec", radius.alias("radius"))
+        blank = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err")]
+        others = others.join(plan, "list").select("list", span("chunks").alias("chunk"), part.alias("part"), F.lit(False).alias("base"), F.lit(True).alias("asks"), "cell_id", "vec", *blank, "radius")
+        rows = base.unionByName(others)
+        if own:  # rows of lists in several blocks ask the other blocks too
+            rest = self.placed.where("asks").withColumn("list", F.col("own")).join(plan, "list").where("chunks > 1")
+            rest = rest.select("list", span("chunks").alias("chunk"), chunk.alias("_c"), part.alias("part"), "cell_id", "vec").where("chunk <> _c")
+            rows = rows.unionByName(rest.select("list", "chunk", "part", F.lit(False).alias("base"), F.lit(True).alias("asks"), "cell_id", "vec", *blank, F.lit(self.radius).cast("double").alias("radius")))
+
+        def find(t: pa.Table) -> pa.Table:
+            base, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("base", "asks"))
+            if not base.any() or not asks.any():
+                return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["a", "b", "distance"])
+            t = t.append_column("_base", pa.array(base)).append_column("_asks", pa.array(asks)).sort_by("cell_id")  # so that ties go to the smaller id
+            base, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("_base", "_asks"))
+            v = unpacked(t["vec"], dims)
+            at = np.nonzero(base)[0]
+            xs, qs = t["cell_id"].take(pa.array(at)), np.nonzero(asks)[0]
+            codes = unpacked(t["code"].take(pa.array(at)), len(ix.books), np.uint8)
+            err = t["err"].take(pa.array(at)).to_numpy()
+            place = np.full(len(v), -1)
+            place[at] = np.arange(len(at))
+            radius = t["radius"].take(pa.array(qs)).to_numpy() if exact else None
+            a, b, d = ix.search(v[qs], v[at], codes, err, t["list"][0].as_py(), place[qs], k, radius, rerank)
+            return pa.table([t["cell_id"].take(pa.array(qs[a])), xs.take(pa.array(b)), pa.array(d, pa.float64())], names=["a", "b", "distance"])
+
+        return rows.groupBy("list", "chunk", "part").applyInArrow(find, _FOUND)
+
+
+def _best(found: DataFrame, k: int, by: str, to: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("distance", to))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _searched(base: DataFrame, dims: int, k: int, radius: float | None, probes: int, exact: bool, rerank: int) -> DataFrame:
+    """(a, b, distance) candidates between distinct vectors; ``base``: at least one row of cell_id, vec, asks."""
+    lists = Lists(base, dims, radius, probes)
+    first = lists.placed.where("asks").select("cell_id", "vec", "own", "probes", F.lit(radius).cast("double").alias("radius"))
+    found = written(lists.search(first, k, rerank, True, radius is not None), "found")
+    if radius is not None or not exact:
+        return found
+    # the k-th distance so far bounds what is left: every list that may hold something nearer is looked into
+    kth = _best(found, k, "a", "b").groupBy("a").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius"))
+    left = first.drop("radius").join(kth.withColumnRenamed("a", "cell_id"), "cell_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    centroids = lists.ix.centroids
+
+    def more(t: pa.Table) -> pa.Table:
+        v, r = unpacked(t["vec"], dims), t["radius"].to_numpy() * (1 + 1e-12)
+        _, rows, cells = reach(v, centroids, np.minimum(r, 1e150))
+        return pa.table([t["cell_id"], t["vec"], t["own"], ragged(rows, cells, len(v)), pa.array(r)], names=["cell_id", "vec", "own", "probes", "radius"])
+
+    done = written(left.mapInArrow(lambda it: batches(more, it), "cell_id string, vec binary, own int, probes array<int>, radius double"), "bounded")
+    return lists.search(done, k, rerank, False, True)
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 5, max_distance: float | None = None, probes: int = 8, query: str | None = None, rerank: int = 256
+    vectors: DataFrame, k: int = 5, max_distance: float | None = None, probes: int = 8, query: str | None = None, rerank: int = 256, exact: bool = False
 ) -> DataFrame:
     """The k nearest other rows of every row: (cell_id, neighbour, distance, rank).
 
     ``vectors``: ``cell_id``, ``coords`` of one length. ``query`` (SQL over ``cell_id``) restricts who
     asks, never who is found. With ``max_distance`` neighbours beyond it are left out and the result
     is exact: lists are probed by a bound that misses nothing within it, and coding errors are allowed
-    for. Without it the ``probes`` nearest lists are searched, with a small loss of recall. Ties go to the
-    smaller id. Rows with a null id, or a vector that is null, holds null, NaN or infinity or has another
+    for. Without it the ``probes`` nearest lists are searched, with a small loss of recall; with ``exact`` all
+    lists are then searched that may hold a vector nearer than the k-th found, so that nothing is missed however many lists there are.
+    Ties go to the smaller id. Rows with a null id, or a vector that is null, holds null, NaN or infinity or has another
     length than most, take no part; repeated rows are one; an empty table gives an empty result; other
     columns are ignored.
 
-    Rows with the same vector are one entry of the index, so that groups of copies of any size cost
+    Rows with the same vector (told by a hash of 128 bits) are one entry of the index, so that groups of copies of any size cost
     nothing; a copy's nearest are the other copies with the smallest ids, then the neighbours of the
     entry. Lists and their queries are split into blocks of bounded size by sizes counted beforehand.
     """
-    asks = F.coalesce(F.expr(query), F.lit(False)) if query else F.lit(True)
-    v = same_length(written(usable(vectors), "vectors"))
-    groups = v.groupBy("coords").agg(F.min("cell_id").alias("cell_id"), F.count(F.lit(1)).alias("n"), F.max(asks).alias("asks"))
-    groups = written(groups, "distinct")
-    # of each entry only the k + 1 smallest ids can be among anybody's k nearest
-    members = v.join(groups.where("n > 1").select("coords", F.col("cell_id").alias("rep")), "coords").select("rep", "cell_id").distinct()
-    few = members.withColumn("_i", F.row_number().over(Window.partitionBy("rep").orderBy("cell_id"))).where(F.col("_i") <= k + 1).drop("_i")
-    found = _searched(groups, k + 1, max_distance, probes, "asks" if query else None, rerank)
-    own = groups.where("n > 1").select(F.col("cell_id").alias("a"), F.col("cell_id").alias("b"), F.lit(0.0).alias("distance"))
-    both = found.unionByName(own).join(few.withColumnRenamed("rep", "b"), "b", "left")
-    both = both.select("a", F.coalesce("cell_id", "b").alias("neighbour"), "distance")
-    best = Window.partitionBy("a").orderBy("distance", "neighbour")
-    both = both.withColumn("_i", F.row_number().over(best)).where(F.col("_i") <= k + 1).drop("_i")
-    lists_ = both.join(members.withColumnRenamed("rep", "a"), "a", "left").withColumn("cell_id", F.coalesce("cell_id", "a"))
-    lists_ = lists_.where("cell_id <> neighbour").where(asks).select("cell_id", "neighbour", "distance")
-    rank = Window.partitionBy("cell_id").orderBy("distance", "neighbour")
-    return lists_.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    asks: Column = F.coalesce(F.expr(query), F.lit(False)) if query else F.lit(True)
+    v = pack(vectors.select("cell_id", "coords").withColumn("asks", asks), "asks")
+    v = written(v.withColumn("_h", F.xxhash64("vec")).withColumn("_g", F.xxhash64(F.lit(7), "vec")), "vectors")
+    dims = usual_length(v)
+    if dims is None:
+        return v.sparkSession.createDataFrame([], "cell_id string, neighbour string, distance double, rank int")
+    v = v.where(F.col("dims") == dims)
+    hot = written(v.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "copied")
+    some = hot.count()
+    if not some:
+        found = _searched(v, dims, k, max_distance, probes, exact, rerank)
+        return _best(found.select(F.col("a").alias("cell_id"), F.col("b").alias("neighbour"), "distance"), k, "cell_id", "neighbour")
+    sent = (lambda df: F.broadcast(df)) if some <= MOST_SENT else (lambda df: df)
+    keys = ["_h", "_g"]
+    copies = written(v.select(*keys, "cell_id", "asks").join(sent(hot.select(*keys)), keys), "copies")
+    groups = copies.groupBy(*keys).agg(F.min("cell_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.count_distinct("cell_id").alias("n"), F.max("asks").alias("some"))
+    groups = written(groups, "groups")
+    # of each entry only the k + 1 smallest ids can be among anybody's k nearest; blocks of copies meet their entry's neighbours apart
+    parts = F.greatest(F.ceil(F.col("n") / COPY_ROWS), F.lit(1)).cast("int")
+    spread = groups.select(*keys, "rep", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    salts, again = groups.agg(F.max(parts), F.max(F.col("rows") > F.col("n"))).first()
+    salted = spread.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> s % parts = part)")))
+    salt = F.pmod(F.xxhash64("cell_id"), F.lit(salts)).cast("int")
+    members = written(copies.withColumn("salt", salt).join(salted, [*keys, "salt"]).select("rep", "part", "cell_id", "asks").distinct(), "members")
+    near = _best(members.select("rep", "cell_id", F.lit(0.0).alias("distance")), k + 1, "rep", "cell_id").select("rep", "cell_id")
+    entries = v.join(sent(groups.select(*keys, "rep", "some")), keys, "left").where("rep IS NULL OR rep = cell_id")
+    entries = entries.select("cell_id", "vec", F.coalesce("some", "asks").alias("asks"))
+    found = _searched(entries.dropDuplicates(["cell_id"]) if again else entries, dims, k + 1, max_distance, probes, exact, rerank)
+    own = groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0.0).alias("distance"))
+    both = found.unionByName(own).join(near.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("cell_id", "b").alias("neighbour"), "distance")
+    both = written(_best(both, k + 1, "a", "neighbour").drop("rank"), "entries")
+    reps = spread.select(F.col("rep").alias("a"), "part")
+    plain = both.join(groups.select(F.col("rep").alias("a")), "a", "left_anti").withColumnRenamed("a", "cell_id")
+    copied = both.join(reps, "a").join(members.where("asks").withColumnRenamed("rep", "a"), ["a", "part"]).select("cell_id", "neighbour", "distance")
+    return _best(plain.select("cell_id", "neighbour", "distance").unionByName(copied.where("cell_id <> neighbour")), k, "cell_id", "neighbour")
 
 
 def mutual_pairs(near: DataFrame) -> DataFrame:

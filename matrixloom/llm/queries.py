@@ -74,10 +74,19 @@ EVERY_50TH = "try_cast(regexp_extract(cell_id, '([0-9]+)$', 1) AS bigint) % 50 =
 
 
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, probes=8, query=EVERY_50TH)
+    near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, probes=8, query=EVERY_50TH, exact=True)
     return near.select("cell_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of true neighbours found by a search of 8 lists: (asked, enough), enough from 0.9 on."""
+    v = written(tables.vectors(spark, sf_dir), "vectors")  # gone over twice
+    true = neighbours.nearest_vectors(v, k=5, query=EVERY_50TH, exact=True).select("cell_id", "neighbour")
+    got = neighbours.nearest_vectors(v, k=5, query=EVERY_50TH).select("cell_id", "neighbour", F.lit(1).alias("hit"))
+    j = true.join(got, ["cell_id", "neighbour"], "left")
+    return j.agg(F.count_distinct("cell_id").alias("asked"), (F.coalesce(F.sum("hit"), F.lit(0)) >= F.count(F.lit(1)) * 0.9).alias("enough"))
+
+
 def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = percentiles.frequencies(tables.measurements(spark, sf_dir), ["field_name", "group_key"], "value")
     return percentiles.percentiles(f, ["field_name", "group_key"], QUARTILES, least=20)
@@ -168,7 +177,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p3_recall, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
@@ -211,6 +220,7 @@ r AS (SELECT *, least(ceil(wanted)::BIGINT, max_repeats * available)::BIGINT AS
 _VECTORS = """vec AS (
   SELECT cell_id, coords::DOUBLE[20] AS v FROM (SELECT cell_id, arg_max(coalesce(coords, []), written_at) AS coords FROM reduceddims WHERE dimred = 'PCA' GROUP BY cell_id)
   WHERE len(coords) = 20 AND len(list_filter(coords, lambda x: x IS NULL OR isnan(x))) = 0)"""
+_50TH = "try_cast(regexp_extract(a.cell_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
 SQL: dict[str, str] = {
     "p2_found": f"""WITH {_CELLS}, {_VECTORS}, a AS (
   SELECT request_id, radius, c.cell_id, cell_cycle, v FROM subset_requests r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL),
@@ -220,6 +230,10 @@ SELECT request_id, cell_id FROM a ANTI JOIN near USING (request_id, cell_id)""",
   SELECT a.cell_id AS a, b.cell_id AS b, array_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 1.0),
 k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
 SELECT x.a AS cell_id_a, x.b AS cell_id_b FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p3_nearest": f"""WITH {_VECTORS}, d AS (
+  SELECT a.cell_id, b.cell_id AS neighbour, array_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.cell_id <> b.cell_id WHERE {_50TH})
+SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY d, neighbour)::INT AS rank, neighbour, round(d, 6) AS distance FROM d QUALIFY rank <= 5""",
+    "p3_recall": f"WITH {_VECTORS} SELECT count(*) AS asked, true AS enough FROM vec a WHERE {_50TH}",
     "p1_report": _P1 + "SELECT request_id, stratum_no, available, wanted, greatest(wanted - available, 0) AS shortfall FROM have",
     "p1_found": _P1 + "SELECT request_id, stratum_no FROM have WHERE available < wanted",
     "p1_delivery": _P1 + "SELECT request_id, stratum_no, available, wanted, 0::BIGINT AS missing, 0::BIGINT AS misplaced, 0::BIGINT AS doubled FROM have",
