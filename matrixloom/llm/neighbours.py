@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,10 +193,14 @@ class Lists:
             xs, qs = t["cell_id"].take(pa.array(at)), np.nonzero(asks)[0]
             codes = unpacked(t["code"].take(pa.array(at)), len(ix.books), np.uint8)
             err = t["err"].take(pa.array(at)).to_numpy()
-            place = np.full(len(v), -1)
-            place[at] = np.arange(len(at))
+            if own:  # a query in the block of its own row is that row
+                place = np.full(len(v), -1)
+                place[at] = np.arange(len(at))
+                same = place[qs]
+            else:
+                same = pc.fill_null(pc.index_in(t["cell_id"].take(pa.array(qs)), value_set=xs), -1).to_numpy()
             radius = t["radius"].take(pa.array(qs)).to_numpy() if exact else None
-            a, b, d = ix.search(v[qs], v[at], codes, err, t["list"][0].as_py(), place[qs], k, radius, rerank)
+            a, b, d = ix.search(v[qs], v[at], codes, err, t["list"][0].as_py(), same, k, radius, rerank)
             return pa.table([t["cell_id"].take(pa.array(qs[a])), xs.take(pa.array(b)), pa.array(d, pa.float64())], names=["a", "b", "distance"])
 
         return rows.groupBy("list", "chunk", "part").applyInArrow(find, _FOUND)

@@ -391,3 +391,21 @@ def test_a_document_of_two_sources_is_used_once(spark):
     for g in more:
         uses[g["doc_id"]] = uses.get(g["doc_id"], 0) + g["uses"]
     assert set(uses.values()) == {2, 3} and sum(uses.values()) == 500
+
+
+def test_exact_neighbours_without_a_distance(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(rng.uniform(-5, 5, 12), 1.0, (120, 12)) for _ in range(5)])
+    x = np.vstack([x, np.repeat(x[3:4], 9, 0)])
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    old = neighbours.LIST_ROWS, neighbours.CHUNK_ROWS, neighbours.QUERY_ROWS
+    neighbours.LIST_ROWS, neighbours.CHUNK_ROWS, neighbours.QUERY_ROWS = 40, 25, 30
+    try:
+        got = neighbours.nearest_vectors(vectors(spark, x), 4, probes=1, rerank=8, query="cast(substring(cell_id, 2) AS int) % 7 = 3", exact=True).collect()
+    finally:
+        neighbours.LIST_ROWS, neighbours.CHUNK_ROWS, neighbours.QUERY_ROWS = old
+    want = {i: w for i, w in brute_knn(x, ids, 4).items() if int(i[1:]) % 7 == 3}
+    assert {r["cell_id"] for r in got} == set(want)
+    for i, w in want.items():
+        mine = sorted((r["rank"], r["neighbour"]) for r in got if r["cell_id"] == i)
+        assert [b for _, b in mine] == [b for _, b in w], i
