@@ -1,9 +1,9 @@
 """Problem 5: groups of vectors chained by distance, told by size, typical members and factor levels.
 
-The named method (MinHash bands, exact Jaccard, components) decides set overlap; a chain of Euclidean
-distances is not a function of set overlap, so its stages are kept with their measure exchanged: bands
-become lumps and cells around landmarks, Jaccard becomes the distance, components and the splitting of
-loose groups around the medoids of highest degree stay.
+MinHash decides the overlap of sets, so every vector gets a set: tokens stand for places in space (lumps around
+landmarks, and single rows), and a vector has the tokens it is linked to for certain. Two vectors that share a token
+are in one group, whatever their distance. Bands of MinHash values give candidate pairs of sets, exact Jaccard
+verifies them, connected components form groups, and exact distances then check what tokens cannot tell.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
-from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, local_components, matrix, ragged, reach, same_length, sample, sq_distances, usable
+from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, local_components, matrix, pack, packed_sample, ragged, reach, sample, sq_distances, unpacked, usual_length
 
-#: Landmarks and witnesses of one at most; rows of a task; rows aimed at in a cell of the thin rest; its cells at most.
+#: Landmarks (and as many single rows) and witnesses of one at most; rows of a task; rows aimed at in a cell of the thin rest; its cells at most.
 MOST_LANDMARKS, WITNESSES, CHUNK_ROWS, CELL_ROWS, MOST_CELLS = 2_048, 24, 8_000, 1_500, 16_384
+#: MinHash values of a token set; each is a band of its own, as any shared token is enough.
+BANDS = 16
 
 
 class Landmarks:
@@ -63,6 +65,13 @@ class Landmarks:
                     old, new = max(root[a], root[b]), min(root[a], root[b])
                     root = [new if r == old else r for r in root]
         self.root = np.array(root, int)
+        # single rows of the sample outside all lumps, none within the radius of another
+        thin = x[self.own(x)[0] < 0] if root else x
+        pivots = np.zeros((0, x.shape[1]))
+        while len(thin) and len(pivots) < MOST_LANDMARKS:
+            pivots = np.vstack([pivots, thin[:1]])
+            thin = thin[sq_distances(thin[:1], thin)[0] > radius**2]
+        self.pivots = pivots
 
     def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lump of each row, or -1, and the squared distances to all centres."""
@@ -71,29 +80,38 @@ class Landmarks:
         exact = ((x - self.centres[a]) ** 2).sum(1)
         return np.where(exact <= self.half**2, a, -1), d
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-        """Own lump of each row; (row, lump) pairs that are joined for certain; pairs left in doubt."""
-        if not len(self.centres):
-            return np.full(len(x), -1), [], []
-        own, d = self.own(x)
-        # a lump lies within half the radius of its centre
-        near = d <= (1.5 * self.radius) ** 2 + 1e-6
-        near[own >= 0] &= self.root[own[own >= 0]][:, None] != self.root[None]
-        sure, doubt = [], []
-        for j in np.nonzero(near.any(0))[0]:
-            rows = np.nonzero(near[:, j])[0]
-            w = self.witness[j]
-            hit = (sq_distances(x[rows], w) <= self.radius**2 - 1e-6).any(1) if len(w) else np.zeros(len(rows), bool)
-            sure += [(int(r), int(j)) for r in rows[hit]]
-            doubt += [(int(r), int(j)) for r in rows[~hit]]
-        known: dict[int, set[int]] = {}
-        for r, j in sure:
-            known.setdefault(r, set()).add(int(self.root[j]))
-        doubt = [(r, j) for r, j in doubt if int(self.root[j]) not in known.get(r, ())]
-        return own, sorted(sure), sorted(doubt)
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own lump of each row; sorted (row, token) pairs that are linked for certain; (row, lump) pairs left in doubt.
+
+        Tokens are the lumps (those known to be one go by their smallest number) and, for rows of no lump, the single
+        rows of the sample, numbered on.
+        """
+        own, linked, doubt = np.full(len(x), -1), [np.zeros((0, 2), int)], [np.zeros((0, 2), int)]
+        if len(self.centres):
+            own, d = self.own(x)
+            inside = np.nonzero(own >= 0)[0]
+            linked.append(np.stack([inside, self.root[own[inside]]], 1))
+            # a lump lies within half the radius of its centre
+            near = d <= (1.5 * self.radius) ** 2 + 1e-6
+            near[inside] &= self.root[own[inside]][:, None] != self.root[None]
+            for j in np.nonzero(near.any(0))[0]:
+                rows, w = np.nonzero(near[:, j])[0], self.witness[j]
+                hit = (sq_distances(x[rows], w) <= self.radius**2 - 1e-6).any(1) if len(w) else np.zeros(len(rows), bool)
+                linked.append(np.stack([rows[hit], np.full(hit.sum(), self.root[j])], 1))
+                doubt.append(np.stack([rows[~hit], np.full((~hit).sum(), j)], 1))
+        outside = np.nonzero(own < 0)[0]
+        if len(outside) and len(self.pivots):
+            r, j = np.nonzero(sq_distances(x[outside], self.pivots) <= self.radius**2 - 1e-6)
+            linked.append(np.stack([outside[r], j + len(self.centres)], 1))
+        linked, doubt = np.unique(np.concatenate(linked), axis=0), np.concatenate(doubt)
+        if len(doubt):
+            n = len(self.centres) + len(self.pivots)
+            doubt = doubt[~np.isin(doubt[:, 0] * n + self.root[doubt[:, 1]], linked[:, 0] * n + linked[:, 1])]
+            doubt = doubt[np.lexsort((doubt[:, 1], doubt[:, 0]))]
+        return own, linked, doubt
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) string edges: (id, root), root the smallest id of the component.
 
     Alternates large-star and small-star steps. Minima are combined on the map side, every round is
@@ -101,7 +119,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -114,71 +132,110 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _joined(x: list[tuple[int, int]], n: int, root: np.ndarray) -> np.ndarray:
-    """The roots of n lumps after joining further pairs."""
-    r = list(root)
-    for a, b in x:
-        ra, rb = r[a], r[b]
-        if ra != rb:
-            r = [min(ra, rb) if y in (ra, rb) else y for y in r]
-    return np.array(r, int)
+def token_groups(sets: DataFrame) -> dict[int, int]:
+    """The group of every token, told by its smallest token, when sets that share a token are joined.
+
+    ``sets``: ``tokens`` (distinct sorted arrays of ints, none empty). Every set has a MinHash value in each of ``BANDS`` bands; the sets
+    of a bucket are paired with its smallest one only, pairs are verified by their exact Jaccard similarity (any overlap joins),
+    and components come from star contraction. A token that is still in several groups, because all bands missed a pair,
+    joins them in a further round, so the result is exact. The tokens, and so what is returned, number 4,096 at most.
+    """
+    s = written(sets.select(F.array_join("tokens", ",").alias("id"), "tokens").distinct(), "sets")
+    one = lambda band: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(band))))
+    bands = s.select("id", "tokens", F.posexplode(F.array(*[one(b) for b in range(BANDS)])).alias("band", "value"))
+    least = bands.groupBy("band", "value").agg(F.min("id").alias("rep"))
+    pairs = bands.join(least, ["band", "value"]).where("id <> rep").select("id", "tokens", "rep").distinct()
+    pairs = pairs.join(s.select(F.col("id").alias("rep"), F.col("tokens").alias("_t")), "rep")
+    jaccard = F.size(F.array_intersect("tokens", "_t")) / F.size(F.array_union("tokens", "_t"))
+    edges = pairs.where(jaccard > 0).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    while True:
+        roots = components(edges)
+        per = s.join(roots, "id", "left").select(F.explode("tokens").alias("token"), F.coalesce("root", "id").alias("root"))
+        per = written(per.groupBy("token").agg(F.min("root").alias("root"), F.max("root").alias("other")), "tokens")
+        missed = per.where("root <> other").select(F.col("root").alias("u"), F.col("other").alias("v"))
+        if missed.isEmpty():
+            break
+        edges = written(edges.unionByName(missed), "pairs")
+    low = per.groupBy("root").agg(F.min("token").alias("low"))
+    return dict(map(tuple, per.join(low, "root").select("token", "low").collect()))
+
+
+def _union(pairs: list[tuple[int, int]], group: dict[int, int]) -> dict[int, int]:
+    """Groups of tokens after joining further pairs of groups."""
+    up = {g: g for g in group.values()}
+
+    def top(g: int) -> int:
+        while up[g] != g:
+            up[g] = g = up[up[g]]
+        return g
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {t: top(g) for t, g in group.items()}
 
 
 def chained_groups(vectors: DataFrame, radius: float) -> DataFrame:
     """The group of every row: (cell_id, node, label).
 
     Rows at most ``radius`` apart, or joined by a chain of such rows, share a ``label``; a row without
-    any near row has its own. ``node`` is the lump a row lies in (a string ``#n``) or its own id.
+    any near row has its own. ``node`` is the lump a row lies in (``#n``) or ``=`` and its own id.
     Exact for any data. Rows with a null id, or a vector that is null, holds null, NaN or infinity or has
     another length than most, take no part; a repeated row comes out as often as it comes in; an empty
     table gives an empty result; other columns are ignored.
 
-    1. Lumps around at most 2,048 landmarks of a sample take the dense part: no two of their rows are
-       ever compared. A row near another lump is joined to it if it is near one of its witnesses.
-    2. Rows near a lump but near no witness are compared with the lump's rows, in blocks.
-    3. The thin rest goes to cells of a Voronoi partition together with all rows within the radius of
-       the cell, whose components are found locally; stars of these are joined by star contraction.
-    4. The lumps that parts of the rest connect are joined: at most one pair for any two of them.
+    1. Every row gets its tokens: lumps around at most 2,048 landmarks of a sample, no two of whose rows are
+       ever compared, and single rows of the sample. Rows sharing a token are in one group (:func:`token_groups`).
+    2. Rows near a lump of another group but near no witness of it are compared with its rows, in blocks.
+    3. The rows of no lump go to cells of a Voronoi partition together with all such rows within the radius of
+       the cell, unless all of these are in one group already. What is near each other there is joined;
+       the rows of the cell's largest group are split into blocks, as they need no comparison with each other.
+    4. Groups and rows that cells connect are joined by star contraction.
     """
     spark = vectors.sparkSession
-    v = same_length(written(usable(vectors), "vectors"))
-    out = "cell_id string, node string, label string"
-    x = sample(v, v.count())
-    if not len(x):
-        return spark.createDataFrame([], out)
-    dims = x.shape[1]
-    marks = Landmarks(x, radius)
+    v = written(pack(vectors), "vectors")
+    dims = usual_length(v)
+    if dims is None:
+        return spark.createDataFrame([], "cell_id string, node string, label string")
+    v = v.where(F.col("dims") == dims)
+    marks = Landmarks(packed_sample(v, v.count(), dims), radius)
 
     def place(t: pa.Table) -> pa.Table:
-        m = matrix(t["coords"], dims)
-        own, sure, doubt = marks.place(m)
-        lists = [ragged(np.array([r for r, _ in z], int), np.array([j for _, j in z], int), len(m)) for z in (sure, doubt)]
-        return pa.table([t["cell_id"], t["coords"], pa.array(own, pa.int32()), *lists], names=["cell_id", "coords", "lump", "sure", "doubt"])
+        m = unpacked(t["vec"], dims)
+        own, linked, doubt = marks.place(m)
+        lists = [ragged(z[:, 0], z[:, 1], len(m)) for z in (linked, doubt)]
+        return pa.table([t["cell_id"], t["vec"], pa.array(own, pa.int32()), *lists], names=["cell_id", "vec", "lump", "tokens", "doubt"])
 
-    placed = v.mapInArrow(lambda it: batches(place, it), "cell_id string, coords array<double>, lump int, sure array<int>, doubt array<int>")
+    placed = v.select("cell_id", "vec").mapInArrow(lambda it: batches(place, it), "cell_id string, vec binary, lump int, tokens array<int>, doubt array<int>")
     placed = written(placed, "placed")
+    group = token_groups(placed.where("size(tokens) > 0").select("tokens"))
+    n_tokens = len(marks.centres) + len(marks.pivots)
+    of_lump = {j: group.get(int(r), int(r)) for j, r in enumerate(marks.root)}
 
-    # 2. doubts, lump by lump; lumps are at most MOST_LANDMARKS
-    asked = placed.select(F.explode("doubt").alias("to"), "cell_id", "coords", "lump")
+    def label(token: Column, known: dict[int, int]) -> Column:
+        return F.get(F.array(*[F.lit(known.get(t, t)) for t in range(n_tokens)] or [F.lit(None).cast("int")]), token)
+
+    # 2. doubts about lumps of other groups, lump by lump
+    first = F.get("tokens", F.lit(0))
+    asked = placed.select(F.explode("doubt").alias("to"), "cell_id", "vec", label(first, group).alias("group"))
+    asked = asked.where(F.coalesce(F.col("group") != label(F.col("to"), of_lump), F.lit(True)))
     sizes = {r[0]: r[1] for r in placed.where("lump >= 0").groupBy("lump").count().collect()}
     n_asked = {r[0]: r[1] for r in asked.groupBy("to").count().collect()}
-    edges = placed.select("cell_id", "lump", F.explode("sure").alias("to"))
+    hits = spark.createDataFrame([], "cell_id string, group int, to int")
     if n_asked:
         plan = [(j, max(1, math.ceil(sizes.get(j, 0) / CHUNK_ROWS)), max(1, math.ceil(n / CHUNK_ROWS))) for j, n in sorted(n_asked.items())]
         plan = F.broadcast(spark.createDataFrame(plan, "to int, chunks int, parts int"))
         h = F.xxhash64("cell_id")
-        have = placed.where("lump >= 0").select(F.col("lump").alias("to"), "cell_id", "coords", "lump").join(plan, "to")
-        have = have.select("to", F.pmod(h, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "cell_id", "coords", "lump")
-        want = asked.join(plan, "to").select("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(h, "parts").cast("int").alias("part"), F.lit(True).alias("asks"), "cell_id", "coords", "lump")
+        have = placed.where("lump >= 0").select(F.col("lump").alias("to"), "cell_id", "vec").join(plan, "to")
+        have = have.select("to", F.pmod(h, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "cell_id", "vec", F.lit(None).cast("int").alias("group"))
+        want = asked.join(plan, "to").select("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(h, "parts").cast("int").alias("part"), F.lit(True).alias("asks"), "cell_id", "vec", "group")
 
         def test(t: pa.Table) -> pa.Table:
             asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-            m = matrix(t["coords"], dims)
+            m = unpacked(t["vec"], dims)
             mid = m.mean(0)
             a, b = m[asks] - mid, m[~asks] - mid
             hit = np.zeros(len(a), bool)
@@ -190,59 +247,66 @@ def chained_groups(vectors: DataFrame, radius: float) -> DataFrame:
                         close[p, q] = ((m[asks][i + p] - m[~asks][j + q]) ** 2).sum() <= radius**2 + 1e-9
                     hit[i : i + 512] |= close.any(1)
             keep = pa.array(np.nonzero(asks)[0][hit])
-            return pa.table([t["cell_id"].take(keep), t["lump"].take(keep), t["to"].take(keep)], names=["cell_id", "lump", "to"])
-
-        more = have.unionByName(want).groupBy("to", "chunk", "part").applyInArrow(test, "cell_id string, lump int, to int")
-        edges = edges.unionByName(more)
-    edges = written(edges.distinct(), "links")
-    n = len(marks.centres)
-    root = _joined([tuple(r) for r in edges.where("lump >= 0").select("lump", "to").distinct().collect()], n, marks.root)
-
-    # 3. the thin rest
-    thin = placed.where("lump < 0").select("cell_id", "coords")
+            return pa.table([t[c].take(keep) for c in ("cell_id", "group", "to")], names=["cell_id", "group", "to"])
+
+        more = have.unionByName(want).groupBy("to", "chunk", "part").applyInArrow(test, "cell_id string, group int, to int")
+        hits = written(more.withColumn("to", label(F.col("to"), of_lump)).distinct(), "hits")
+        # a row of no group joins the groups it is near, a row of one joins that group with them: at most one pair for any two groups
+        low = hits.groupBy("cell_id").agg(F.least(F.min("group"), F.min("to")).alias("low"))
+        both = hits.select("cell_id", F.col("to").alias("g")).unionByName(hits.where("group IS NOT NULL").select("cell_id", F.col("group").alias("g")))
+        group = _union([tuple(r) for r in both.join(low, "cell_id").where("g <> low").select("low", "g").distinct().collect()], {**of_lump, **group})
+    known = {**of_lump, **group}
+
+    # 3. the rows of no lump
+    near = hits.where("group IS NULL").groupBy("cell_id").agg(F.min("to").alias("_near"))
+    thin = placed.where("lump < 0").join(near, "cell_id", "left").select("cell_id", "vec", F.coalesce(label(first, known), label(F.col("_near"), known)).alias("group"))
+    thin = written(thin, "thin")
+    dense = placed.where("lump >= 0").select("cell_id", F.concat(F.lit("#"), F.col("lump").cast("string")).alias("node"), label(first, known).alias("group"))
     n_thin = thin.count()
-    links = edges.where("lump < 0").select("cell_id", "to")
-    label_of_lump = [f"#{r}" for r in root]
-    lump_label = F.get(F.array(*[F.lit(s) for s in label_of_lump] or [F.lit("")]), F.col("lump"))
-    dense = placed.where("lump >= 0").select("cell_id", F.concat(F.lit("#"), F.col("lump").cast("string")).alias("node"), lump_label.alias("label"))
+    named = lambda known: F.concat(F.lit("#"), label(F.col("group"), known).cast("string"))
     if not n_thin:
-        return dense
+        return dense.select("cell_id", "node", named(known).alias("label"))
     n_cells = max(1, min(MOST_CELLS, n_thin // CELL_ROWS))
-    y = sample(thin, n_thin, max(SAMPLE_ROWS, ROWS_EACH * n_cells))
+    y = packed_sample(thin, n_thin, dims, max(SAMPLE_ROWS, ROWS_EACH * n_cells))
     cells = kmeans(y, n_cells) if len(y) else np.zeros((1, dims))
 
     def spread(t: pa.Table) -> pa.Table:
-        m = matrix(t["coords"], dims)
+        m = unpacked(t["vec"], dims)
         _, rows, at = reach(m, cells, radius)
-        return pa.table([t["cell_id"], t["coords"], ragged(rows, at, len(m))], names=["cell_id", "coords", "cells"])
+        return pa.table([t["cell_id"], t["vec"], t["group"], ragged(rows, at, len(m))], names=["cell_id", "vec", "group", "cells"])
 
     def local(t: pa.Table) -> pa.Table:
         t = t.sort_by("cell_id")
-        lab = local_components(matrix(t["coords"], dims), radius)
-        return pa.table([t["cell_id"], t["cell_id"].take(pa.array(lab))], names=["u", "v"])
-
-    stars = thin.mapInArrow(lambda it: batches(spread, it), "cell_id string, coords array<double>, cells array<int>")
-    stars = stars.select(F.explode("cells").alias("cell"), "cell_id", "coords").groupBy("cell").applyInArrow(local, "u string, v string")
-    joined = components(stars).withColumnRenamed("id", "cell_id")
-    rest = written(thin.select("cell_id").join(joined, "cell_id", "left").withColumn("root", F.coalesce("root", "cell_id")), "rest")
-
-    # 4. lumps joined through the rest: per part its smallest lump and each of its others
-    pairs = rest.join(links, "cell_id").select("root", "to").distinct()
-    least = pairs.groupBy("root").agg(F.min("to").alias("low"))
-    through = [tuple(r) for r in pairs.join(least, "root").where("to <> low").select("low", "to").distinct().collect()]
-    root = _joined(through, n, root)
-    label_of_lump = [f"#{r}" for r in root]
-    names = F.array(*[F.lit(s) for s in label_of_lump] or [F.lit("")])
-    dense = placed.where("lump >= 0").select("cell_id", F.concat(F.lit("#"), F.col("lump").cast("string")).alias("node"), F.get(names, F.col("lump")).alias("label"))
-    rest = rest.join(least, "root", "left").select("cell_id", F.col("cell_id").alias("node"), F.when(F.col("low").isNotNull(), F.get(names, F.col("low"))).otherwise(F.col("root")).alias("label"))
-    return dense.unionByName(rest)
+        lab = local_components(unpacked(t["vec"], dims), radius)
+        return pa.table([t["node"], t["node"].take(pa.array(lab))], names=["u", "v"])
+
+    there = written(thin.mapInArrow(lambda it: batches(spread, it), "cell_id string, vec binary, group int, cells array<int>"), "cells")
+    node = F.coalesce(F.concat(F.lit("#"), F.col("group").cast("string")), F.concat(F.lit("="), "cell_id"))
+    reached = there.select(F.explode("cells").alias("cell"), "cell_id", "group")
+    per = reached.groupBy("cell", "group").agg(F.count(F.lit(1)).alias("n"))
+    biggest = F.max(F.when(F.col("group").isNotNull(), F.struct("n", "group"))).alias("z")
+    plan = per.groupBy("cell").agg(F.sum("n").alias("all"), biggest).select("cell", F.col("z.group").alias("main"), F.coalesce("z.n", F.lit(0)).alias("n"), "all")
+    plan = F.broadcast(plan.where("all > n").select("cell", "main", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.lit(1)).cast("int").alias("chunks")))  # MOST_CELLS rows
+    rows = there.select(F.explode("cells").alias("cell"), "cell_id", "vec", "group", node.alias("node")).join(plan, "cell")
+    chunk = F.when(F.col("group").eqNullSafe(F.col("main")) & F.col("main").isNotNull(), F.array(F.pmod(F.xxhash64("cell_id"), "chunks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    stars = rows.select("cell", F.explode(chunk).alias("chunk"), "cell_id", "vec", "node").groupBy("cell", "chunk").applyInArrow(local, "u string, v string")
+    joined = written(components(stars), "roots")
+
+    # 4. the groups of tokens that cells connect, at most 4,096, and the rows of no group
+    tied = joined.where(F.col("id").startswith("#")).select(F.substring("id", 2, 9).cast("int").alias("g"), "root")
+    low = tied.groupBy("root").agg(F.min("g").alias("low"))
+    final = _union([tuple(r) for r in tied.join(low, "root").where("g <> low").select("low", "g").collect()], known)
+    lone = thin.where("group IS NULL").withColumn("id", node).join(joined, "id", "left").withColumn("root", F.coalesce("root", "id")).join(low, "root", "left")
+    lone = lone.select("cell_id", F.col("id").alias("node"), F.coalesce(F.concat(F.lit("#"), label(F.col("low"), final).cast("string")), "root").alias("label"))
+    tokened = thin.where("group IS NOT NULL").select("cell_id", F.concat(F.lit("="), "cell_id").alias("node"), named(final).alias("label"))
+    return dense.select("cell_id", "node", named(final).alias("label")).unionByName(tokened).unionByName(lone)
 
 
 def group_members(groups: DataFrame, least: int = 10) -> DataFrame:
     """Members of groups of ``least`` rows or more: (cluster_key, cell_id, node), keyed by the smallest id.
 
-    Groups that contain lumps number 2,048 at most; their keys are joined by broadcast. The others hold
-    no lump and so no large share of the rows; they are joined by label.
+    Groups that contain tokens number 4,096 at most; their keys are joined by broadcast. The others hold
+    no row of the sample nor any near one, and so no large share of the rows; they are joined by label.
     """
     g = written(groups, "groups")
     stats = written(g.groupBy("label").agg(F.min("cell_id").alias("cluster_key"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "sizes")

@@ -226,6 +226,13 @@ SQL: dict[str, str] = {
   SELECT request_id, radius, c.cell_id, cell_cycle, v FROM subset_requests r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL),
 near AS (SELECT DISTINCT a.request_id, a.cell_id FROM a JOIN a b ON a.request_id = b.request_id AND a.cell_cycle = b.cell_cycle AND a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= a.radius)
 SELECT request_id, cell_id FROM a ANTI JOIN near USING (request_id, cell_id)""",
+    "p5_found": f"""WITH RECURSIVE {_VECTORS},
+e AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 15),
+c(cell_id, root) USING KEY (cell_id) AS (
+  SELECT cell_id, cell_id FROM vec
+  UNION SELECT e.b, min(c.root) FROM c JOIN e ON e.a = c.cell_id JOIN recurring.c AS p ON p.cell_id = e.b WHERE c.root < p.root GROUP BY e.b),
+n AS (SELECT root, count(*) AS n FROM c GROUP BY root)
+SELECT root AS cluster_key, cell_id FROM c JOIN n USING (root) WHERE n >= 10""",
     "p3_found": f"""WITH {_VECTORS}, d AS (
   SELECT a.cell_id AS a, b.cell_id AS b, array_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 1.0),
 k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
