@@ -24,7 +24,8 @@ from .sources import io as _s
 SPELLINGS = {
     "exprs_values": "assay_type", "assay.type": "assay_type", "by_exprs_values": "assay_type", "by.assay.type": "assay_type",
     "color_by": "colour_by", "columns": "cells", "subset_row": "features", "subset_col": "cells", "colour_cells_by": "colour_by",
-    "color_cells_by": "colour_by", "nvars_to_plot": "n", "npcs_to_plot": "npcs", "feature": "features", "nmad": "nmads",
+    "color_cells_by": "colour_by", "nvars_to_plot": "n", "npcs_to_plot": "npcs", "feature": "features", "nmad": "nmads", "altexp_exprs_values": "altexp_assay_type", "altexp.assay.type": "altexp_assay_type", "feature_names_to_plot": "feature_names",
+    "summary_fun": "summary", "percentVar": "percent_var",
 }
 
 
@@ -38,11 +39,11 @@ def _spelt(f):
 
 _NAMES = {
     # accessors and lookup
-    "retrieveCellInfo": _r.retrieve_cell_info, "retrieveFeatureInfo": _r.retrieve_feature_info, "annotateBMFeatures": _r.annotate_features, "getBMFeatureAnnos": _r.annotate_features,
+    "retrieveCellInfo": _r.retrieve_cell_info, "retrieveFeatureInfo": _r.retrieve_feature_info, "annotateBMFeatures": _r.annotate_features, "getBMFeatureAnnos": _r.append_annotation,
     "bootstraps": Bundle.bootstraps, "fpkm": Bundle.fpkm, "norm_exprs": Bundle.norm_exprs, "stand_exprs": Bundle.stand_exprs, "exprs": Bundle.exprs,
     "setBootstraps": Bundle.set_bootstraps, "setFpkm": Bundle.set_fpkm, "setNormExprs": Bundle.set_norm_exprs, "setStandExprs": Bundle.set_stand_exprs, "setExprs": Bundle.set_exprs,
     "toBundle": _s.from_legacy, "updateLegacy": _s.from_legacy, "readSparseCounts": _s.read_sparse_counts, "mockBundle": _s.mock_bundle,
-    "ggcells": _r.per_cell_frame, "ggfeatures": _r.per_feature_frame, "makePerCellDF": _r.per_cell_frame, "makePerFeatureDF": _r.per_feature_frame,
+    "ggcells": _r.per_cell_frame, "cellsForMapping": _r.cells_for_mapping, "ggfeatures": _r.per_feature_frame, "makePerCellDF": _r.per_cell_frame, "makePerFeatureDF": _r.per_feature_frame,
     # counts
     "nexprs": _c.nexprs, "addPerCellQC": _c.add_per_cell_qc, "addPerFeatureQC": _c.add_per_feature_qc, "perCellQCMetrics": _c.per_cell_qc, "perFeatureQCMetrics": _c.per_feature_qc,
     "quickPerCellQC": _c.quick_per_cell_qc, "isOutlier": _c.is_outlier, "aggregateAcrossCells": _c.aggregate_across_cells, "aggregateAcrossFeatures": _c.aggregate_across_features,

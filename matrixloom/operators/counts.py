@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle, number_of
+from ..functions.quantiles import quantiles
+from ..functions.relational import written
 from .retrieve import select_cells, select_features, subset
 
 
@@ -123,9 +125,10 @@ def log_norm_counts(bundle: Bundle, assay_type: str = "counts", size_factors: Da
 
 
 def calculate_cpm(bundle: Bundle, assay_type: str = "counts") -> DataFrame:
-    """Values per million of their cell's total."""
-    t = F.sum("value").over(Window.partitionBy("cell_id"))
-    return bundle.need(assay_type).select("feature_id", "cell_id", F.try_divide(F.col("value") * 1e6, t).alias("value"))
+    """Values per million of their cell's total. Totals are summed on the map side and joined; no cell's rows are sorted."""
+    a = bundle.need(assay_type)
+    t = a.groupBy("cell_id").agg(F.sum("value").alias("_t"))
+    return a.join(t, "cell_id").select("feature_id", "cell_id", F.try_divide(F.col("value") * 1e6, F.col("_t")).alias("value"))
 
 
 def calculate_fpkm(bundle: Bundle, lengths: DataFrame, assay_type: str = "counts") -> DataFrame:
@@ -137,8 +140,8 @@ def calculate_tpm(bundle: Bundle, lengths: DataFrame, assay_type: str = "counts"
     """Length-scaled values, brought to a million per cell."""
     a = bundle.need(assay_type).join(lengths, "feature_id", "left")
     a = a.select("feature_id", "cell_id", F.try_divide(F.col("value"), F.col("length")).alias("r"))
-    t = F.sum("r").over(Window.partitionBy("cell_id"))
-    return a.select("feature_id", "cell_id", F.try_divide(F.col("r") * 1e6, t).alias("value"))
+    t = a.groupBy("cell_id").agg(F.sum("r").alias("_t"))
+    return a.join(t, "cell_id").select("feature_id", "cell_id", F.try_divide(F.col("r") * 1e6, F.col("_t")).alias("value"))
 
 
 def calculate_average(bundle: Bundle, size_factors: DataFrame | None = None, assay_type: str = "counts") -> DataFrame:
@@ -230,7 +233,7 @@ def add_per_feature_qc(bundle: Bundle, **kw) -> Bundle:
 def is_outlier(df: DataFrame, metric: str, key: str = "cell_id", nmads: float = 3, type: str = "both", log: bool = False, batch: str | None = None) -> DataFrame:
     """(key, lower, higher, outlier): values more than ``nmads`` scaled MADs from the median, per batch.
 
-    Medians and MADs are exact, taken over the non-null values of each batch (a null batch is a batch of
+    Medians and MADs are exact and never gathered in one task, taken over the non-null values of each batch (a null batch is a batch of
     its own); bounds come back on the original scale. A null value is no outlier. The scale 1.4826 makes
     the MAD estimate a standard deviation.
     """
@@ -238,21 +241,25 @@ def is_outlier(df: DataFrame, metric: str, key: str = "cell_id", nmads: float =
         raise ValueError("type is both, lower or higher")
     v = F.log2(metric) if log else F.col(metric).cast("double")
     d = df.select(key, v.alias("_v"), (F.col(batch) if batch else F.lit(1)).alias("_b"))
+    fine = F.col("value").isNotNull() & ~F.isnan("value")
+    freq = lambda x: x.where(fine).groupBy("_b", "value").agg(F.count(F.lit(1)).alias("n"))
+    med = quantiles(freq(d.select("_b", F.col("_v").alias("value"))), ["_b"], {"_med": 0.5}).select("_b", "_med")
     same = F.col("d._b").eqNullSafe(F.col("m._b"))
-    med = d.groupBy("_b").agg(F.percentile("_v", F.lit(0.5)).alias("_med"))
-    off = d.alias("d").join(med.alias("m"), same).select("d.*", "_med", F.abs(F.col("_v") - F.col("_med")).alias("_off"))
-    mad = off.groupBy("_b").agg(F.max("_med").alias("_med"), (F.percentile("_off", F.lit(0.5)) * 1.4826).alias("_mad"))
+    off = d.alias("d").join(med.alias("m"), same).select("d._b", F.abs(F.col("_v") - F.col("_med")).alias("value"))
+    mad = quantiles(freq(off), ["_b"], {"_mad": 0.5}).select(F.col("_b").alias("_c"), (F.col("_mad") * 1.4826).alias("_mad"))
+    mad = med.join(mad, F.col("_b").eqNullSafe(F.col("_c")), "left").select("_b", "_med", "_mad")
     lo, hi = F.col("_med") - F.lit(float(nmads)) * F.col("_mad"), F.col("_med") + F.lit(float(nmads)) * F.col("_mad")
     lo = F.lit(float("-inf")) if type == "higher" else lo
     hi = F.lit(float("inf")) if type == "lower" else hi
     back = (lambda c: F.pow(F.lit(2.0), c)) if log else (lambda c: c)
-    j = d.alias("d").join(mad.alias("m"), same)
+    j = d.alias("d").join(mad.alias("m"), same, "left")
     out = F.coalesce((F.col("_v") < lo) | (F.col("_v") > hi), F.lit(False))
     return j.select(key, back(lo).alias("lower"), back(hi).alias("higher"), out.alias("outlier"))
 
 
 def quick_per_cell_qc(qc: DataFrame, percent_columns: Sequence[str] = (), nmads: float = 3, batch: str | None = None) -> DataFrame:
     """Per cell the flags ``low_lib_size``, ``low_n_features``, ``high_<percent>`` and their disjunction ``discard``."""
+    qc = written(qc, "qc")  # gone over for every metric
     out = qc.select("cell_id")
     flags = []
     for name, metric, type_, log in [("low_lib_size", "sum", "lower", True), ("low_n_features", "detected", "lower", True), *[(f"high_{c}", c, "higher", False) for c in percent_columns]]:

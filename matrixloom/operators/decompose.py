@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle, number_of
+from ..functions.relational import written
 from .counts import feature_variance, is_outlier, top_features
 from .retrieve import dimensions, select_features
 
@@ -137,7 +138,7 @@ def run_coldata_pca(bundle: Bundle, variables: Sequence[str], ncomponents: int =
     """Components of numeric cell metadata; ``percentVar`` is a fraction here. ``outliers`` flags cells in the metadata.
 
     Rows with a null variable take no part. ``scale`` drops variables of variance below 1e-8. A cell is an outlier if
-    its adjusted outlyingness lies more than ``nmads`` MADs above the median.
+    the adjusted outlyingness of its component scores lies more than ``nmads`` MADs above the median.
     """
     c = bundle.cells.select("cell_id", *[F.col(v).cast("double").alias(v) for v in variables]).dropna()
     stats = c.agg(*[F.var_samp(v).alias(v) for v in variables]).first()
@@ -149,40 +150,70 @@ def run_coldata_pca(bundle: Bundle, variables: Sequence[str], ncomponents: int =
     attrs["percentVar"] = [p / 100 for p in attrs["percentVar"]]
     out = bundle.with_reduced(name, coords, attrs)
     if outliers:
-        o = adjusted_outlyingness(rows, len(kept))
+        o = written(adjusted_outlyingness(coords, min(ncomponents, len(kept))), "outlyingness")
         flag = is_outlier(o, "outlyingness", nmads=nmads, type="higher").select("cell_id", "outlier")
-        out = out.with_cells(flag)
+        out = out.with_cells(flag.join(o, "cell_id"))
     return out
 
 
 def medcouple(x: np.ndarray) -> float:
-    """Robust skewness: the median of h over pairs on either side of the median."""
+    """Robust skewness: the median of h(a, b) = (a + b) / (a - b) over values a above and b below the median, taken from it.
+
+    As h grows with both, the pairs above a threshold are counted by binary search, and the median is found by
+    halving: n log n a step, no pair is formed. Pairs of two values at the median count as 0.
+    """
     x = np.sort(x) - np.median(x)
     up, down = x[x >= 0], x[x <= 0]
-    a, b = up[:, None], down[None]
-    gap = a - b
-    h = np.where(gap > 0, (a + b) / np.where(gap > 0, gap, 1), 0.0)
-    return float(np.median(h))
+    pairs = len(up) * len(down)
+    a = up[up > 0]
+    zeros = (len(up) - len(a)) * int((down == 0).sum())
+    flat = (len(up) - len(a)) * int((down < 0).sum())  # a value at the median against one below: -1
+
+    def below(t: float) -> int:
+        """Pairs with h < t."""
+        n = flat * (t > -1) + zeros * (t > 0)
+        if t >= 1:
+            return n + len(a) * int((down < 0).sum()) + (len(a) * int((down == 0).sum()) if t > 1 else 0)
+        return n + int(np.searchsorted(down, -a * (1 - t) / (1 + t), "left").sum()) if t > -1 else n
+
+    def at(rank: int) -> float:
+        lo, hi = -1.0, 1.0 + 1e-15
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if below(mid) <= rank else (lo, mid)
+        return lo
+
+    return (at((pairs - 1) // 2) + at(pairs // 2)) / 2
+
+
+#: Rows that medians, quartiles and skewness of the outlyingness are taken from at most.
+MOST_OUTLYING = 5_000
 
 
-def adjusted_outlyingness(rows: DataFrame, d: int, directions: int | None = None, sample: int = 1_000, seed: int = 1) -> DataFrame:
+def adjusted_outlyingness(rows: DataFrame, d: int, directions: int | None = None, most: int = MOST_OUTLYING, seed: int = 1) -> DataFrame:
     """(cell_id, outlyingness): the largest skewness-adjusted distance from the median over random directions.
 
-    Directions join two rows of a sample of at most ``sample`` rows; medians, quartiles and medcouples of the
-    projections are taken on it, and every row is measured against them in one pass.
+    Directions join two rows; medians, quartiles and medcouples of the projections are those of all rows, or beyond
+    ``most`` of them of as many chosen by a hash of their id (ranks then err by about 0.7 % of the rows, one standard error), and every row
+    is measured against them in one pass. One column has one direction.
     """
-    some = rows.orderBy(F.xxhash64("cell_id", F.lit(seed))).limit(sample).toPandas().sort_values("cell_id")
+    n = rows.count()
+    some = rows if n <= most else rows.where(F.shiftrightunsigned(F.xxhash64("cell_id", F.lit(seed)), 32) < int(most / n * 2**32))
+    some = some.toPandas().sort_values("cell_id")
     x = _stack(some["coords"], d)
     rng = np.random.default_rng(seed)
     dirs, med, up, down = [], [], [], []
-    for _ in range((directions or 250 * max(d, 1)) if len(x) > 1 else 0):
-        i, j = rng.choice(len(x), 2, replace=False)
-        v = x[i] - x[j]
+    for _ in range((directions or (1 if d == 1 else 250 * d)) if len(x) > 1 else 0):
+        if d == 1:
+            v = np.ones(1)
+        else:
+            i, j = rng.choice(len(x), 2, replace=False)
+            v = x[i] - x[j]
         if not (norm := float(np.linalg.norm(v))):
             continue
         p = x @ (v / norm)
         q1, q2, q3 = np.quantile(p, [0.25, 0.5, 0.75])
-        mc, iqr = medcouple(p[:400]), q3 - q1
+        mc, iqr = medcouple(p), q3 - q1
         lo = q1 - 1.5 * math.exp(-4 * mc if mc >= 0 else -3 * mc) * iqr
         hi = q3 + 1.5 * math.exp(3 * mc if mc >= 0 else 4 * mc) * iqr
         if hi > q2 > lo:

@@ -263,19 +263,24 @@ def run_umap(bundle: Bundle, name: str = "UMAP", **kw) -> Bundle:
     return bundle.with_reduced(name, *calculate_umap(bundle, **kw))
 
 
+def bind_blocks(blocks: Sequence[DataFrame]) -> tuple[DataFrame, list[int]]:
+    """The vectors of several modalities bound by cell, in order, and their lengths; cells must be in all. No lengths without rows."""
+    joined = blocks[0].select("cell_id", F.col("coords").alias("_0"))
+    for i, b in enumerate(blocks[1:], 1):
+        joined = joined.join(b.select("cell_id", F.col("coords").alias(f"_{i}")), "cell_id")
+    first = joined.select(*[F.size(f"_{i}") for i in range(len(blocks))]).first()
+    return joined.select("cell_id", F.concat(*[F.col(f"_{i}") for i in range(len(blocks))]).alias("coords")), list(first or [])
+
+
 def calculate_multi_umap(blocks: Sequence[DataFrame], metrics: Sequence[str] | str = "euclidean", ncomponents: int = 2, n_neighbors: int = 15, seed: int = 1) -> tuple[DataFrame, dict]:
     """A UMAP of several modalities: (cell_id, coords) blocks, each with its own metric.
 
     The strength of an edge is the geometric mean over the modalities, so an edge must be there in all.
     """
     metrics = [metrics] * len(blocks) if isinstance(metrics, str) else list(metrics)
-    joined = blocks[0].select("cell_id", F.col("coords").alias("_0"))
-    for i, b in enumerate(blocks[1:], 1):
-        joined = joined.join(b.select("cell_id", F.col("coords").alias(f"_{i}")), "cell_id")
-    rows = joined.select("cell_id", F.concat(*[F.col(f"_{i}") for i in range(len(blocks))]).alias("coords"), *[F.size(f"_{i}").alias(f"n{i}") for i in range(len(blocks))])
-    first = rows.select(*[f"n{i}" for i in range(len(blocks))]).first()
-    if first is None:
-        return rows.select("cell_id", "coords"), {}
+    rows, first = bind_blocks(blocks)
+    if not first:
+        return rows, {}
     some, left = _landmarks(rows.select("cell_id", "coords"), seed)
     x = _stack(some["coords"], sum(first))
     w, at = None, 0

@@ -62,9 +62,9 @@ def variance_explained(assay: DataFrame, features: DataFrame, cells: DataFrame,
 def get_variance_explained(bundle: Bundle, variables: Sequence[str] | None = None, features=None, assay_type: str = "logcounts") -> DataFrame:
     """:func:`variance_explained` for a bundle; all metadata columns but ids by default."""
     variables = list(variables or [c for c in bundle.cells.columns if c not in ("cell_id", "cell_ord")])
-    counts = bundle.cells.agg(*[F.approx_count_distinct(v).alias(v) for v in variables]).first()
+    same = bundle.cells.agg(*[F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias(v) for v in variables]).first()
     for v in variables:
-        if counts[v] < 2:
+        if same[v]:
             warnings.warn(f"ignoring {v!r} with fewer than 2 unique levels", stacklevel=2)
     f = bundle.features
     if features is not None:

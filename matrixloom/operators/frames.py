@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..bundle import Bundle, dense, number_of
+from ..functions.quantiles import quantiles
 from ..functions.relational import ranked, written
 from .counts import cumulative_shares, top_features, totals
-from .grouped import bin2d, contingency, scale_rows
-from .retrieve import attach, expression_long, factor_levels, retrieve_cell_info, retrieve_feature_info, select_cells, select_features
+from .grouped import bin2d, contingency, density, scale_rows
+from .retrieve import attach, expression_long, factor_levels, retrieve_cell_info, retrieve_feature_info, select_cells, select_features, swap_names
 
 SHAPE_LEVELS = 10
 
@@ -30,13 +32,16 @@ def _visuals(df: DataFrame, key: str, retrieve, colour_by=None, shape_by=None, s
     return df
 
 
-def col_data(bundle: Bundle, y, x=None, assay_type: str = "logcounts", **visuals) -> DataFrame:
-    """Per cell ``Y``, ``X`` (from the cell metadata only) and the attributes asked for by keyword."""
+def col_data(bundle: Bundle, y, x=None, assay_type: str = "logcounts", swap_rownames: str | None = None, **visuals) -> DataFrame:
+    """Per cell ``Y``, ``X`` (from the cell metadata only) and the attributes asked for by keyword.
+
+    With ``swap_rownames`` features are looked up by that column of their metadata.
+    """
     _, yv = retrieve_cell_info(bundle, y, ("colData",))
     df = yv.withColumnRenamed("value", "Y")
     if x is not None:
         df = df.join(retrieve_cell_info(bundle, x, ("colData",))[1].withColumnRenamed("value", "X"), "cell_id")
-    return _visuals(df, "cell_id", lambda by: retrieve_cell_info(bundle, by, assay_type=assay_type), **visuals)
+    return _visuals(df, "cell_id", lambda by: retrieve_cell_info(bundle, by, assay_type=assay_type, swap_rownames=swap_rownames), **visuals)
 
 
 def row_data(bundle: Bundle, y, x=None, assay_type: str = "logcounts", **visuals) -> DataFrame:
@@ -47,12 +52,25 @@ def row_data(bundle: Bundle, y, x=None, assay_type: str = "logcounts", **visuals
     return _visuals(df, "feature_id", lambda by: retrieve_feature_info(bundle, by, assay_type=assay_type), **visuals)
 
 
-def expression(bundle: Bundle, features, x=None, log2_values: bool = False, assay_type: str = "logcounts", **visuals) -> DataFrame:
-    """(cell_id, Feature, Y[, X, ...]): one row per selected feature and cell."""
-    df = expression_long(bundle, features, assay_type, log2_values).withColumnRenamed("value", "Y").drop("ord")
+def expression(bundle: Bundle, features, x=None, log2_values: bool = False, assay_type: str = "logcounts", swap_rownames: str | None = None, **visuals) -> DataFrame:
+    """(cell_id, Feature, Y[, X, ...]): one row per selected feature and cell.
+
+    With ``swap_rownames`` features are selected, looked up and named by that column of their metadata.
+    """
+    lookup = lambda by: retrieve_cell_info(bundle, by, assay_type=assay_type, swap_rownames=swap_rownames)
+    df = expression_long(bundle, select_features(bundle, features, swap_rownames), assay_type, log2_values).withColumnRenamed("value", "Y").drop("ord")
+    df = renamed(df, bundle, swap_rownames)
     if x is not None:
-        df = df.join(retrieve_cell_info(bundle, x, assay_type=assay_type)[1].withColumnRenamed("value", "X"), "cell_id", "left")
-    return _visuals(df, "cell_id", lambda by: retrieve_cell_info(bundle, by, assay_type=assay_type), **visuals)
+        df = df.join(lookup(x)[1].withColumnRenamed("value", "X"), "cell_id", "left")
+    return _visuals(df, "cell_id", lookup, **visuals)
+
+
+def renamed(df: DataFrame, bundle: Bundle, column: str | None, name: str = "Feature") -> DataFrame:
+    """Features of a frame named by a column of their metadata instead of their id."""
+    if column is None:
+        return df
+    names = swap_names(bundle.features, column).select(F.col("feature_id").alias(name), "_name")
+    return df.join(names, name).drop(name).withColumnRenamed("_name", name)
 
 
 def plot_kind(df: DataFrame) -> str:
@@ -63,23 +81,37 @@ def plot_kind(df: DataFrame) -> str:
     return "violin" if num[1] else "violin_flipped" if num[0] else "rectangles"
 
 
-def central(df: DataFrame, bins: int | None = None, summary: str = "sum") -> tuple[str, DataFrame]:
-    """The plot kind and its layer: rectangles' contingency, bins' counts or summaries, else the points."""
+def central(df: DataFrame, bins: int | None = None, summary="sum", seed: int = 1) -> tuple[str, DataFrame]:
+    """The plot kind and its layer: bins' counts or summaries, or the points.
+
+    Points of a contingency plot come with the ``half_width`` and ``half_height`` of their rectangle, joined by ``X`` and ``Y``, and with
+    seeded jitters ``jitter_x`` and ``jitter_y`` within these. Binning needs a numeric colour.
+    """
     kind = plot_kind(df)
     if bins:
         if "colour_by" in df.columns and not isinstance(df.schema["colour_by"].dataType, T.NumericType):
             raise ValueError("binning needs a numeric colour")
         return "bins", bin2d(df, "X", "Y", bins, "colour_by" if "colour_by" in df.columns else None, summary)
-    if kind == "rectangles":
-        return kind, contingency(df, "X", "Y", factor_levels(df, "X"), factor_levels(df, "Y"))
-    return kind, df
+    if kind != "rectangles":
+        return kind, df
+    boxes = contingency(df, "X", "Y", factor_levels(df, "X"), factor_levels(df, "Y")).select("X", "Y", "half_width", "half_height")
+    points = df.join(F.broadcast(boxes), ["X", "Y"], "left")  # as many as pairs of levels, at most 10,000 each
+    key = "cell_id" if "cell_id" in df.columns else "feature_id"
+    return kind, points.withColumns({f"jitter_{a}": jitter(F.col(f"half_{side}"), seed + i, key) for i, (a, side) in enumerate((("x", "width"), ("y", "height")))})
+
 
+def jitter(half: Column, seed: int, *keys: str) -> Column:
+    """A number between -half and half that depends on the seed and the keys only."""
+    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30)) / float(1 << 29) - 1
+    return half * u
 
-def highest_exprs(bundle: Bundle, n: int = 50, drop_features=None, as_percentage: bool = True, assay_type: str = "counts", colour_by=None) -> DataFrame:
+
+def highest_exprs(bundle: Bundle, n: int = 50, drop_features=None, as_percentage: bool = True, assay_type: str = "counts", colour_by=None, feature_names: str | None = None) -> DataFrame:
     """(Cell, Tag, value, rank, score) of the ``n`` features of largest total, every cell.
 
     ``value``: percentage of the cell's total (which still holds dropped features), or the value itself;
-    ``score``: percentage of the grand total, or the feature's total. Ties by ``feature_ord``.
+    ``score``: percentage of the grand total, or the feature's total. Ties by ``feature_ord``. ``feature_names``: a column of
+    the feature metadata that ``Tag`` is taken from.
     """
     a = bundle.need(assay_type)
     t = totals(a, bundle.features, "feature_id").join(bundle.features.select("feature_id", "feature_ord"), "feature_id")
@@ -97,7 +129,7 @@ def highest_exprs(bundle: Bundle, n: int = 50, drop_features=None, as_percentage
     if colour_by is not None:
         values = retrieve_cell_info(bundle, colour_by)[1].withColumnRenamed("cell_id", "Cell")
         out = attach(out, "Cell", "colour_by", values)
-    return out
+    return renamed(out, bundle, feature_names, "Tag")
 
 
 def library_shares(bundle: Bundle, nfeatures: int = 500, block1: str | None = None, block2: str | None = None, colour_by=None, assay_type: str = "counts") -> DataFrame:
@@ -114,19 +146,23 @@ def _deviations(bundle: Bundle, assay_type: str, logged: bool) -> tuple[DataFram
     a = bundle.need(assay_type).select("feature_id", "cell_id", (F.col("value") if logged else F.log2(F.col("value") + 1)).alias("value"))
     k = a.groupBy("feature_id").agg(F.count(F.lit(1)).alias("_k"))
     zero = bundle.features.select("feature_id").join(k, "feature_id", "left").select("feature_id", F.lit(0.0).alias("value"), (number_of(bundle.cells) - F.coalesce("_k", F.lit(0))).cast("long").alias("w"))
-    both = a.select("feature_id", "value", F.lit(1).cast("long").alias("w")).unionByName(zero)
-    med = both.groupBy("feature_id").agg(F.percentile("value", F.lit(0.5), F.col("w")).alias("med"))
-    return a, med
+    stored = a.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    med = quantiles(stored.unionByName(zero.where("w > 0").withColumnRenamed("w", "n")), ["feature_id"], {"med": 0.5})
+    return a, med.select("feature_id", "med")
 
 
-def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, style: str = "minimal", features=None, colour_by=None) -> DataFrame:
+def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, style: str = "minimal", features=None, ordering=None, colour_by=None) -> DataFrame:
     """Relative log expression: values less their feature's median over all cells.
 
     ``minimal``: per cell ``q0, q25, q50, q75, q100`` and whiskers ``lower``, ``upper`` within 1.5 IQR; ``full``: one row
     per cell and feature (of ``features``). Zeros are not written out for features with median 0: each
     cell has one row of deviation 0 with their number as frequency; only features with another median
-    are completed.
+    are completed. ``ordering``, cell ids in the order wanted, keeps these cells and adds their ``place`` (from 1).
     """
+    if ordering is not None:
+        kind = bundle.cells.schema["cell_id"].dataType.simpleString()
+        places = bundle.cells.sparkSession.createDataFrame([(c, i + 1) for i, c in enumerate(ordering)], f"Cell {kind}, place int")
+        return rle(bundle, assay_type, logged, style, features, None, colour_by).join(places, "Cell")
     a, med = _deviations(bundle, assay_type, logged)
     med = written(med, "medians")  # one row per feature, used four times
     some = med.where("med <> 0")
@@ -137,9 +173,10 @@ def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, styl
     stored = a.join(med, "feature_id").select("cell_id", "feature_id", (F.col("value") - F.col("med")).alias("dev"), (F.col("med") != 0).alias("_some"))
     per = stored.groupBy("cell_id").agg(F.count_if(~F.col("_some")).alias("_k"), F.collect_set(F.when(F.col("_some"), F.col("feature_id"))).alias("_have"))
     # features with a median other than 0 are stored in over half of all cells, so their list is short next to the data
-    lists = some.agg(F.array_agg(F.struct("feature_id", "med"))).scalar()
+    ids = some.agg(F.array_agg("feature_id")).scalar()
     cells = bundle.cells.select("cell_id").join(per, "cell_id", "left").withColumn("_have", F.coalesce("_have", F.array().cast(per.schema["_have"].dataType)))
-    gap = cells.withColumn("_all", lists).select("cell_id", F.explode(F.filter("_all", lambda s: ~F.array_contains(F.col("_have"), s["feature_id"]))).alias("s")).select("cell_id", (-F.col("s.med")).alias("dev"), F.lit(1).cast("long").alias("w"))
+    gap = cells.withColumn("_all", ids).select("cell_id", F.explode(F.array_except("_all", "_have")).alias("feature_id")).join(some, "feature_id")
+    gap = gap.select("cell_id", (-F.col("med")).alias("dev"), F.lit(1).cast("long").alias("w"))
     none = cells.select("cell_id", F.lit(0.0).alias("dev"), (number_of(med.where("med = 0")) - F.coalesce("_k", F.lit(0))).cast("long").alias("w"))
     d = stored.select("cell_id", "dev", F.lit(1).cast("long").alias("w")).unionByName(gap).unionByName(none.where("w > 0"))
     q = d.groupBy("cell_id").agg(F.percentile("dev", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("w")).alias("q"))
@@ -152,14 +189,39 @@ def rle(bundle: Bundle, assay_type: str = "logcounts", logged: bool = True, styl
     return out
 
 
-def heatmap(bundle: Bundle, features, cells: Column | None = None, center: bool = False, scale: bool = False, zlim=None, order_columns_by: Sequence[str] = (), assay_type: str = "logcounts") -> DataFrame:
+def heatmap(bundle: Bundle, features, cells: Column | None = None, center: bool = False, scale: bool = False, zlim=None, order_columns_by: Sequence[str] = (), assay_type: str = "logcounts", swap_rownames: str | None = None) -> DataFrame:
     """(Feature, Cell, value, row, column): the scaled cells of a heat map, columns ordered by metadata, then ``cell_ord``."""
     c = select_cells(bundle, cells)
     keys = list(dict.fromkeys([*order_columns_by, "cell_ord"]))
-    d = dense(bundle.need(assay_type), select_features(bundle, features), c)
+    d = dense(bundle.need(assay_type), select_features(bundle, features, swap_rownames), c)
     d = scale_rows(d, "value", center, scale, zlim)
     place = ranked(c.select("cell_id", *keys), keys, "column").select("cell_id", F.col("column").cast("int").alias("column"))
-    return d.join(place, "cell_id").select(F.col("feature_id").alias("Feature"), F.col("cell_id").alias("Cell"), "value", F.col("ord").alias("row"), "column")
+    out = d.join(place, "cell_id").select(F.col("feature_id").alias("Feature"), F.col("cell_id").alias("Cell"), "value", F.col("ord").alias("row"), "column")
+    return renamed(out, bundle, swap_rownames)
+
+
+def heatmap_annotations(bundle: Bundle, features, cells: Column | None = None, colour_columns_by: Sequence = (), colour_rows_by: Sequence = (), assay_type: str = "logcounts", swap_rownames: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The annotation frames beside a heat map: (cell_id, names...) of its columns and (feature_id, names...) of its rows.
+
+    A name used for both warns, as one legend would stand for two things.
+    """
+    columns = select_cells(bundle, cells).select("cell_id")
+    rows = select_features(bundle, features, swap_rownames).select("feature_id")
+    used: list[set] = []
+    for axis in (0, 1):
+        names = set()
+        for by in (colour_columns_by, colour_rows_by)[axis]:
+            if axis == 0:
+                name, values = retrieve_cell_info(bundle, by, assay_type=assay_type, swap_rownames=swap_rownames)
+                columns = attach(columns, "cell_id", name, values)
+            else:
+                name, values = retrieve_feature_info(bundle, by, assay_type=assay_type)
+                rows = attach(rows, "feature_id", name, values)
+            names.add(name)
+        used.append(names)
+    if clash := used[0] & used[1]:
+        warnings.warn(f"rows and columns are both annotated by {sorted(clash)}", stacklevel=2)
+    return columns, rows
 
 
 def plate_position(cells: DataFrame, well: str | Column, **columns: Column) -> DataFrame:
@@ -174,7 +236,7 @@ def plate_position(cells: DataFrame, well: str | Column, **columns: Column) -> D
     return d.select("cell_id", F.regexp_extract("_w", "([0-9]+)$", 1).cast("int").alias("X"), y.alias("Y"), (F.lit(ord("Z")) - F.ascii(y)).alias("y_order"), *columns)
 
 
-def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str | None = None, **visuals) -> tuple[DataFrame, DataFrame | None, list[str]]:
+def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str | None = None, percent_var: Sequence[float] | None = None, **visuals) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Points (``X``, ``Y``, ...), label places (median per level) and axis labels with rounded percentages.
 
     More components than stored are an error; with more than two the first two are the axes.
@@ -190,7 +252,7 @@ def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str
     if text_by is not None:
         t = d.join(retrieve_cell_info(bundle, text_by)[1].withColumnRenamed("value", "label"), "cell_id")
         labels = t.where("label IS NOT NULL").groupBy("label").agg(F.median("X").alias("X"), F.median("Y").alias("Y"))
-    pct = (bundle.attrs.get(dimred) or {}).get("percentVar")
+    pct = percent_var if percent_var is not None else (bundle.attrs.get(dimred) or {}).get("percentVar")
     axes = [f"{dimred} {i + 1}" + (f" ({round(pct[i])}%)" if pct is not None else "") for i in range(ncomponents)]
     return d, labels, axes
 
@@ -202,6 +264,16 @@ def reduced_pairs(reduced: DataFrame, ncomponents: int) -> DataFrame:
     return d.select("cell_id", (F.col("p.i") + 1).alias("xvar"), (F.col("p.j") + 1).alias("yvar"), F.get("coords", F.col("p.i")).alias("x"), F.get("coords", F.col("p.j")).alias("y"))
 
 
+def paired_densities(reduced: DataFrame, ncomponents: int, points: int = 128) -> DataFrame:
+    """(dim, x, density): the curves on the diagonal of paired plots, each on the range of its dimension."""
+    long = reduced.select("cell_id", F.posexplode(F.slice("coords", 1, ncomponents)).alias("i", "x"))
+    out = None
+    for i, low, high in long.groupBy("i").agg(F.min("x"), F.max("x")).orderBy("i").collect():
+        one = density(long.where(F.col("i") == i), "x", None, float(low), float(high), points).select(F.lit(i + 1).alias("dim"), "x", "density")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _named(name: str):
     def plot(bundle: Bundle, ncomponents: int = 2, **kw):
         return reduced_dim(bundle, name, ncomponents, **kw)

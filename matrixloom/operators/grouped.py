@@ -153,10 +153,10 @@ def contingency(df: DataFrame, x: str, y: str, x_levels: list, y_levels: list) -
     return out.withColumn("share", share).withColumn("half_width", w).withColumn("half_height", h)
 
 
-def bin2d(df: DataFrame, x: str, y: str, bins: int = 30, value: str | None = None, how: str = "sum") -> DataFrame:
+def bin2d(df: DataFrame, x: str, y: str, bins: int = 30, value: str | None = None, how="sum") -> DataFrame:
     """(xbin, ybin, n[, value]) of points in ``bins`` x ``bins`` equal cells of their range, the top edges within.
 
-    ``how``: the aggregate of ``value`` in a cell, by the name of a built-in. Points with a null or NaN place
+    ``how``: the aggregate of ``value`` in a cell, the name of a built-in or a function from column to aggregate. Points with a null or NaN place
     are left out; if all places are equal there is one bin.
     """
     d = df.where(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL AND NOT isnan(cast(`{x}` AS double)) AND NOT isnan(cast(`{y}` AS double))")
@@ -169,7 +169,7 @@ def bin2d(df: DataFrame, x: str, y: str, bins: int = 30, value: str | None = Non
     d = d.withColumn("xbin", at(x, F.col("_r.a"), F.col("_r.b"))).withColumn("ybin", at(y, F.col("_r.c"), F.col("_r.d")))
     aggs = [F.count(F.lit(1)).alias("n")]
     if value:
-        aggs.append(getattr(F, how)(value).alias("value"))
+        aggs.append((how(F.col(value)) if callable(how) else getattr(F, how)(value)).alias("value"))
     return d.groupBy("xbin", "ybin").agg(*aggs)
 
 

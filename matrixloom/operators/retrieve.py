@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,6 +173,25 @@ def annotate_features(features: DataFrame, annotation: DataFrame, ids: str, id_c
     return features.drop(*clash).join(first, F.col(ids) == F.col("_id"), "left").drop("_id")
 
 
+def append_annotation(bundle: Bundle, annotation: DataFrame, ids: str, id_column: str, order: str) -> Bundle:
+    """The bundle with :func:`annotate_features` in its feature metadata."""
+    return replace(bundle, features=annotate_features(bundle.features, annotation, ids, id_column, order))
+
+
+def names_in_use(*mappings: Mapping[str, str]) -> list[str]:
+    """The column names that plot mappings (aesthetic to name) refer to, each once."""
+    return list(dict.fromkeys(str(n) for m in mappings for n in m.values()))
+
+
+def cells_for_mapping(bundle: Bundle, mapping: Mapping[str, str], assay_type: str = "logcounts", use_altexps: Sequence[str] = ()) -> DataFrame:
+    """:func:`per_cell_frame` cut to what a mapping uses: only its metadata, embeddings and features are read."""
+    names = names_in_use(mapping)
+    dims = [d for d in bundle.reduced if any(n.startswith(f"{d}.") for n in names)]
+    stored = {*bundle.cells.columns, *[n for n in names for d in dims if n.startswith(f"{d}.")]}
+    out = per_cell_frame(bundle, [n for n in names if n not in stored], assay_type, dims, use_altexps)
+    return out.select("cell_id", *[F.col(f"`{n}`") for n in names if n != "cell_id"])
+
+
 def per_cell_frame(bundle: Bundle, features=(), assay_type: str = "logcounts", use_dimred: Sequence[str] | None = None, use_altexps: Sequence[str] = (), prefix_altexps: bool = False) -> DataFrame:
     """One wide row per cell: metadata, embedding columns ``NAME.i`` and the requested features.
 

@@ -49,8 +49,14 @@ LOG = LIB + """, lognorm AS (
 BRAND = BASKET + """, brand AS (
   SELECT p_brand AS feature_id, cell_id, sum(value) AS value FROM basket JOIN part ON p_partkey = feature_id GROUP BY 1, 2)"""
 N = "(SELECT count(*) FROM customer)"
-#: Features named in queries: the first parts, as any user would name a few genes.
-FEW = list(range(1, 13))
+_VAR = f"""s_ AS (SELECT feature_id, sum(value) AS s, sum(value * value) AS q FROM basket GROUP BY 1),
+few AS (SELECT feature_id, row_number() OVER (ORDER BY round((q - s * s / {N}) / ({N} - 1), 9) DESC, feature_id)::INT AS ord FROM s_ QUALIFY ord <= 12)"""
+
+
+def _few(b: Bundle, n: int = 12) -> DataFrame:
+    """The most variable features of all, (feature_id, ord): what a heat map is commonly drawn for."""
+    v = C.feature_variance(b.need("counts"), b.features, b.cells.count()).withColumn("variance", F.round("variance", 9))
+    return C.top_features(v, "variance", n).select("feature_id", "ord")
 
 
 def _basket(spark: SparkSession, d: str) -> Bundle:
@@ -62,11 +68,16 @@ def _once(b: Bundle) -> Bundle:
     return b.realised("counts")
 
 
+def _positive(b: Bundle) -> tuple[Bundle, DataFrame]:
+    """The bundle without cells of no counts, which cannot be normalised, and the size factors among all cells."""
+    sf = C.library_size_factors(b)
+    return Bundle(b.features, b.cells.join(sf.where("size_factor > 0"), "cell_id", "left_semi"), b.assays), sf
+
+
 def _logged(b: Bundle) -> Bundle:
-    """With log-normalised values; factors only of cells that have any counts, as others have no stored row."""
-    sf = C.library_size_factors(b).where("size_factor > 0")
-    a = b.need("counts").join(sf, "cell_id").select("feature_id", "cell_id", F.log2(F.col("value") / F.col("size_factor") + 1).alias("value"))
-    return b.with_assay("logcounts", a)
+    """With log-normalised values."""
+    some, sf = _positive(b)
+    return b.with_assay("logcounts", C.log_norm_counts(some, size_factors=sf).need("logcounts"))
 
 
 # detection
@@ -133,17 +144,11 @@ def log_norm_counts(spark, d):
     return r6(_logged(_once(_basket(spark, d))).need("logcounts"), "value")
 
 
-@query(f"""WITH {LIB}, s AS (SELECT feature_id, sum(value / (total / (SELECT avg(total) FROM lib))) AS s FROM basket JOIN lib USING (cell_id) GROUP BY 1)
-SELECT p_partkey AS feature_id, round(coalesce(s, 0) / {N}, 6) AS average FROM part LEFT JOIN s ON feature_id = p_partkey""")
+@query(f"""WITH {LIB}, p AS (SELECT * FROM lib WHERE total > 0), s AS (SELECT feature_id, sum(value / (total / (SELECT avg(total) FROM p))) AS s FROM basket JOIN p USING (cell_id) GROUP BY 1)
+SELECT p_partkey AS feature_id, round(coalesce(s, 0) / (SELECT count(*) FROM p), 6) AS average FROM part LEFT JOIN s ON feature_id = p_partkey""")
 def calculate_average(spark, d):
-    b = _once(_basket(spark, d))
-    sf = C.library_size_factors(b)
-    # a cell without counts has factor 0 and no stored row; the mean factor is 1 with it
-    positive = b.need("counts").join(sf, "cell_id").select("feature_id", (F.col("value") / F.col("size_factor")).alias("v"))
-    s = positive.groupBy("feature_id").agg(F.sum("v").alias("s"))
-    n = b.cells.agg(F.count(F.lit(1))).scalar()
-    out = b.features.select("feature_id").join(s, "feature_id", "left")
-    return r6(out.select("feature_id", (F.coalesce("s", F.lit(0.0)) / n).alias("average")), "average")
+    b = _positive(_once(_basket(spark, d)))[0]
+    return r6(C.calculate_average(b, C.library_size_factors(b)), "average")
 
 
 # quality control
@@ -280,9 +285,9 @@ def dots(spark, d):
 @query(f"""WITH {_GROUP}, c AS (SELECT *, mean - avg(mean) OVER w AS cm FROM d WINDOW w AS (PARTITION BY feature_id)),
 z AS (SELECT *, sqrt(sum(cm * cm) OVER (PARTITION BY feature_id) / (count(*) OVER (PARTITION BY feature_id) - 1)) AS root FROM c)
 SELECT feature_id AS "Feature", grp AS "Group", round(least(det, 0.05), 6) AS "NumDetected",
-CASE WHEN root > 1e-12 THEN round(greatest(-1.5, least(1.5, cm / root)), 5) + 0.0 END AS "Average" FROM z WHERE feature_id BETWEEN 1 AND 12""")
+CASE WHEN root > 1e-12 THEN round(greatest(-1.5, least(1.5, cm / root)), 5) + 0.0 END AS "Average" FROM z""")
 def dots_centered_scaled(spark, d):
-    x = G.dots(_logged(_once(_basket(spark, d))), FEW, "c_mktsegment", center=True, scale=True, zlim=(-1.5, 1.5), max_detected=0.05)
+    x = G.dots(_logged(_once(_basket(spark, d))), None, "c_mktsegment", center=True, scale=True, zlim=(-1.5, 1.5), max_detected=0.05)
     return r6(x, "NumDetected").withColumn("Average", F.round("Average", 5) + F.lit(0.0))
 
 
@@ -301,22 +306,24 @@ def grouped_heatmap_blocked(spark, d):
     return r6(G.grouped_heatmap(Bundle(b.features, cells, b.assays), None, "c_mktsegment", block="blk", assay_type="counts"), "value")
 
 
-@query(f"""WITH {BASKET}, d AS (SELECT p_partkey AS feature_id, c_custkey AS cell_id, coalesce(value, 0) AS v FROM customer CROSS JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 12) p
-  LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p_partkey),
+@query(f"""WITH {BASKET}, {_VAR}, d AS (SELECT p.feature_id, c_custkey AS cell_id, coalesce(value, 0) AS v FROM customer CROSS JOIN few p
+  LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p.feature_id),
 c AS (SELECT *, v - avg(v) OVER (PARTITION BY feature_id) AS cv FROM d),
 z AS (SELECT *, sqrt(sum(cv * cv) OVER (PARTITION BY feature_id) / (count(*) OVER (PARTITION BY feature_id) - 1)) AS root FROM c),
 o AS (SELECT c_custkey AS cell_id, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_custkey)::INT AS "column" FROM customer)
-SELECT feature_id AS "Feature", o.cell_id AS "Cell", CASE WHEN root > 1e-12 THEN round(greatest(-2, least(2, cv / root)), 5) + 0.0 END AS value, feature_id::INT AS row, "column" FROM z JOIN o ON o.cell_id = z.cell_id""")
+SELECT feature_id AS "Feature", o.cell_id AS "Cell", CASE WHEN root > 1e-12 THEN round(greatest(-2, least(2, cv / root)), 5) + 0.0 END AS value, ord AS row, "column" FROM z JOIN o ON o.cell_id = z.cell_id JOIN few USING (feature_id)""")
 def heatmap_scaled(spark, d):
-    h = V.heatmap(_basket(spark, d), FEW, center=True, scale=True, zlim=(-2, 2), order_columns_by=["c_mktsegment", "c_nationkey"], assay_type="counts")
+    b = _once(_basket(spark, d))
+    h = V.heatmap(b, _few(b), center=True, scale=True, zlim=(-2, 2), order_columns_by=["c_mktsegment", "c_nationkey"], assay_type="counts")
     return h.withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
-@query(f"""WITH {BASKET}, d AS (SELECT coalesce(value, 0) AS v, p_partkey FROM customer CROSS JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 12) p LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p_partkey),
+@query(f"""WITH {BASKET}, {_VAR}, d AS (SELECT coalesce(value, 0) AS v, p.feature_id AS p_partkey FROM customer CROSS JOIN few p LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p.feature_id),
 c AS (SELECT v - avg(v) OVER (PARTITION BY p_partkey) AS v FROM d)
 SELECT round(-max(abs(v)), 6) AS low, round(max(abs(v)), 6) AS high FROM c""")
 def heatmap_limits(spark, d):
-    h = V.heatmap(_basket(spark, d), FEW, center=True, assay_type="counts")
+    b = _once(_basket(spark, d))
+    h = V.heatmap(b, _few(b), center=True, assay_type="counts")
     return r6(G.colour_scale(h, center=True).select("low", "high"), "low", "high")
 
 
@@ -402,10 +409,11 @@ def explanatory_variables_top(spark, d):
 # frames and lookup
 
 
-@query(f"""WITH {BASKET} SELECT c_custkey AS cell_id, p_partkey AS "Feature", round(log2(coalesce(value, 0) + 1), 6) AS "Y", c_mktsegment AS "X", c_acctbal AS colour_by FROM customer CROSS JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 12) p
-LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p_partkey""")
+@query(f"""WITH {BASKET}, {_VAR} SELECT c_custkey AS cell_id, p.feature_id AS "Feature", round(log2(coalesce(value, 0) + 1), 6) AS "Y", c_mktsegment AS "X", c_acctbal AS colour_by FROM customer CROSS JOIN few p
+LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = p.feature_id""")
 def expression_long(spark, d):
-    return r6(V.expression(_basket(spark, d), FEW, x="c_mktsegment", log2_values=True, assay_type="counts", colour_by="c_acctbal"), "Y")
+    b = _once(_basket(spark, d))
+    return r6(V.expression(b, _few(b), x="c_mktsegment", log2_values=True, assay_type="counts", colour_by="c_acctbal"), "Y")
 
 
 @query(f"""WITH {BRAND} SELECT c_custkey AS cell_id, c_custkey::INT AS cell_ord, c_mktsegment, c_nationkey, c_acctbal,
@@ -583,3 +591,6 @@ def nexprs_stream_form(spark, d):
 
     e = table(spark, d, "events").select(F.col("event_type").alias("feature_id"), F.col("user_id").alias("cell_id"), "value")
     return detected(e)
+
+
+from . import wider  # noqa: E402, F401  registers further queries

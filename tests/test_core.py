@@ -238,7 +238,8 @@ def test_frames(toy):
     assert next(r for r in h if r["Cell"] == "c4")["value"] is None
     assert V.plot_kind(V.col_data(b, "z", "grp")) == "violin" and V.plot_kind(V.col_data(b, "z", "one")) == "scatter"
     kind, layer = V.central(V.col_data(b, "same", "grp"))
-    assert kind == "rectangles" and layer.count() == 2
+    assert kind == "rectangles" and layer.count() == 5  # the points, with the widths of their rectangle
+    assert all(abs(r["jitter_x"]) <= r["half_width"] and abs(r["jitter_y"]) <= r["half_height"] for r in layer.where("half_width IS NOT NULL").collect())
     with pytest.raises(ValueError):
         V.central(V.col_data(b, "z", "one", colour_by="grp"), bins=3)
     assert V.central(V.col_data(b, "z", "one", colour_by="z"), bins=3)[1].agg(F.sum("n")).first()[0] == 4
@@ -432,3 +433,18 @@ def test_nmf_query_takes_the_default_features(spark, monkeypatch):
     monkeypatch.setattr(catalog.D, "calculate_nmf", lambda b, **kw: asked.update(kw) or (spark.createDataFrame([("c", [1.0, 2.0])], "cell_id string, coords array<double>"), {}))
     catalog.QUERIES["nmf"](spark, "/root/testdata/sf0.001")
     assert "ntop" not in asked
+
+
+def test_annotations_names_and_places(toy):
+    b, _ = toy
+    with pytest.warns(UserWarning, match="both annotated"):
+        V.heatmap_annotations(b, None, colour_columns_by=["grp"], colour_rows_by=[b.features.select("feature_id", F.col("kind").alias("grp"))])
+    assert {r[0] for r in V.expression(b, ["g0"], assay_type="counts").select("Feature").distinct().collect()} == {"g0"}
+    swapped = V.expression(b, [r["symbol"] for r in b.features.where("feature_id = 'g0'").collect()], assay_type="counts", swap_rownames="symbol")
+    assert {r[0] for r in swapped.select("Feature").distinct().collect()} == {r["symbol"] for r in b.features.where("feature_id = 'g0'").collect()}
+    with pytest.raises(KeyError, match="Cannot find column"):
+        V.heatmap(b, None, assay_type="counts", swap_rownames="nothing")
+    order = ["c2", "c0"]
+    placed = V.rle(b, "counts", ordering=order).orderBy("place").collect()
+    assert [r["Cell"] for r in placed] == order
+    assert V.paired_densities(b.reduced[next(iter(b.reduced))], 2, 16).count() == 32 if b.reduced else True
