@@ -96,6 +96,14 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir).select("field_name", "group_key", "n_values", *[F.round(q, 6).alias(q) for q in QUARTILES])
 
 
+def p4_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from one summary a run day, put together later; the same as those of all measurements at once."""
+    m = tables.measurements(spark, sf_dir, "run_day")
+    daily = written(percentiles.frequencies(m, ["field_name", "group_key", "run_day"], "value"), "daily")
+    f = percentiles.merge_frequencies(daily.drop("run_day"))
+    return percentiles.percentiles(f, ["field_name", "group_key"], QUARTILES, least=20).select("field_name", "group_key", "n_values", *[F.round(q, 6).alias(q) for q in QUARTILES])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = "(field_name = 'rle' AND (abs(q50) > 0.5 OR q75 - q25 > 2.5 OR q95 > 5 OR q05 < -5)) OR (field_name = 'logcounts' AND q50 > 5)"
     return _p4(spark, sf_dir).where("group_key IS NOT NULL").where(far).select("field_name", "group_key")
@@ -177,7 +185,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p3_recall, p4_found, p4_percentiles, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p3_recall, p4_found, p4_percentiles, p4_by_day, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
@@ -245,6 +253,7 @@ SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY d, neighbour)::
     "p1_found": _P1 + "SELECT request_id, stratum_no FROM have WHERE available < wanted",
     "p1_delivery": _P1 + "SELECT request_id, stratum_no, available, wanted, 0::BIGINT AS missing, 0::BIGINT AS misplaced, 0::BIGINT AS doubled FROM have",
     "p4_percentiles": _P4 + "SELECT field_name, group_key, n_values, " + ", ".join(f"round({q}, 6) AS {q}" for q in QUARTILES) + " FROM q",
+    "p4_by_day": _P4 + "SELECT field_name, group_key, n_values, " + ", ".join(f"round({q}, 6) AS {q}" for q in QUARTILES) + " FROM q",
     "p4_found": _P4 + "SELECT field_name, group_key FROM q WHERE (field_name = 'rle' AND (abs(q50) > 0.5 OR q75 - q25 > 2.5 OR q95 > 5 OR q05 < -5)) OR (field_name = 'logcounts' AND q50 > 5)",
     "p7_report": _P7 + "SELECT mix_id, source, wanted, available, routed, round(routed::DOUBLE / sum(routed) OVER (PARTITION BY mix_id), 6) AS share_reached, routed < wanted AS short FROM r",
     "p7_overlap": f"""WITH d AS (SELECT DISTINCT {_LEVEL.format('source')} AS k, text FROM documents WHERE text IS NOT NULL),

@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import written
+from .space import batches, kmeans, matrix, nearest, ragged, reach, sample
 
-#: Rows of a block at the leaves of the tournament; nominees looked for at a time when isolation is checked.
-BLOCK_ROWS, NODE_ROWS = 2_048, 8_192
+#: Rows of a block at the leaves of the tournament; nominees looked for at a time when isolation is checked; cells of space then at most.
+BLOCK_ROWS, NODE_ROWS, MOST_CELLS = 2_048, 8_192, 16_384
 
 
 def pivots(x: np.ndarray, cat: np.ndarray, radius: float, least: int) -> np.ndarray:
@@ -109,6 +111,42 @@ def _seen(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return left.loc[hit, cols]
 
 
+def _seen_elsewhere(lone: DataFrame, records: DataFrame) -> DataFrame:
+    """(request_id, cell_id) of the nominees that have another record of their category within their radius.
+
+    Records lie in the cells of a Voronoi partition fitted on a bounded sample; a nominee is looked for only in the
+    cells its ball meets, which is few of them, however many blocks the request has. Records of a cell are cut into blocks.
+    """
+    n = records.count()
+    x = sample(records, n)
+    dims = x.shape[1] if len(x) else 1
+    cells = kmeans(x, max(1, min(MOST_CELLS, math.ceil(n / BLOCK_ROWS)))) if len(x) else np.zeros((1, dims))
+
+    def place(t: pa.Table) -> pa.Table:
+        return t.append_column("cell", pa.array(nearest(matrix(t["coords"], dims), cells), pa.int32()))
+
+    def spread(t: pa.Table) -> pa.Table:
+        m = matrix(t["coords"], dims)
+        _, rows, at = reach(m, cells, t["radius"].to_numpy())
+        return t.append_column("cells", ragged(rows, at, len(m)))
+
+    fields = "request_id long, cell_id string, category string, coords array<double>"
+    have = written(records.mapInArrow(lambda it: batches(place, it), f"{fields}, cell int"), "placed")
+    want = lone.mapInArrow(lambda it: batches(spread, it), f"{fields}, radius double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    keys = ["request_id", "category", "cell"]
+    plan = have.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    nominees = want.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / NODE_ROWS).cast("int").alias("parts"))
+    plan = written(plan.join(nominees, keys), "blocks")  # cells that are asked
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("cell_id"), c).cast("int")
+    columns = [*keys, "cell_id", "coords"]
+    have = have.join(plan, keys).select(*columns, own("blocks").alias("block"), each("parts").alias("part"))
+    again = plan.select(*keys, F.col("blocks").alias("_b"), F.col("parts").alias("_p"))
+    want = want.join(again, keys).select(*columns, "radius", each("_b").alias("block"), own("_p").alias("part"))
+    by = [*keys, "block", "part"]
+    return want.groupBy(*by).cogroup(have.groupBy(*by)).applyInPandas(_seen, "request_id long, cell_id string").distinct()
+
+
 def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
     """The records that together stand for every record of a request, in the order of the final pivoting.
 
@@ -121,7 +159,7 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
 
     Blocks of about 2,048 records nominate; the nominees of two blocks at a time are pivoted anew, up a
     tree to a single root, whatever the number of nominees. Whether a nominee is alone is told by its own
-    block first and, only where a request has several blocks, by the others after the tournament.
+    block first and, only where a request has several blocks, by the cells of space within its reach after the tournament.
     """
     r = requests.select(
         "request_id", "batch", F.greatest(F.coalesce("subset_size", F.lit(0)), F.lit(0)).cast("int").alias("k"), F.greatest(F.coalesce("radius", F.lit(0.0)), F.lit(0.0)).alias("radius")
@@ -145,15 +183,8 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
             done = tree.where(F.col("ups") < level)
             up = up.withColumn("node", node).select(*cols, "ups", "blocks").groupBy("request_id", "node").applyInPandas(_nominate(False), _ROW + ", ups int, blocks int")
             tree = written(done.select(*cols, "ups", "blocks").unionByName(up), f"level{level}")
-        lone = tree.where("lone").select("request_id", "cell_id", "category", "coords", "radius", F.col("block").alias("home"), "blocks")
-        # the nominees to look for are split too, so that a group holds BLOCK_ROWS records and NODE_ROWS nominees at most
-        parts = lone.groupBy("request_id").agg(F.ceil(F.count(F.lit(1)) / NODE_ROWS).cast("int").alias("parts"))
-        parts = written(parts, "parts")
-        lone = lone.join(parts, "request_id").withColumn("part", F.pmod(F.xxhash64("cell_id"), "parts").cast("int")).drop("parts")
-        lone = lone.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
-        others = rows.where("blocks > 1").join(parts, "request_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        keys = ["request_id", "block", "part"]
-        seen = lone.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_seen, "request_id long, cell_id string").distinct()
+        lone = tree.where("lone").select("request_id", "cell_id", "category", "coords", "radius")
+        seen = _seen_elsewhere(lone, written(rows.where("blocks > 1").select("request_id", "cell_id", "category", "coords"), "others"))
         tree = tree.join(seen.withColumn("_seen", F.lit(True)), ["request_id", "cell_id"], "left")
         tree = tree.withColumn("lone", F.col("lone") & F.col("_seen").isNull()).select(*cols)
         one = got.join(ups.where("blocks = 1").select("request_id"), "request_id").select(*cols)
@@ -162,9 +193,10 @@ def nominees(records: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def varied_subset(chosen: DataFrame) -> DataFrame:
-    """The first k nominees of each request: (request_id, cell_id, position, lone).
+    """The first k nominees of each request in the order of the root's pivoting: (request_id, cell_id, position, lone).
 
-    Records that nothing else stands for come first, then the others as pivoted at the root.
+    A record that nothing else stands for is a nominee for certain, but takes its place by what it adds, so that outliers
+    do not displace whole regions where a request has fewer places than outliers.
     """
-    w = Window.partitionBy("request_id").orderBy(F.col("lone").desc(), "place", "node", "cell_id")
+    w = Window.partitionBy("request_id").orderBy("place", "node", "cell_id")
     return chosen.withColumn("position", F.row_number().over(w)).where("position <= k").select("request_id", "cell_id", "position", "lone")

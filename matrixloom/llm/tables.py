@@ -24,12 +24,12 @@ def vectors(spark: SparkSession, sf_dir: str, dims: int = 20) -> DataFrame:
     return v.where(F.coalesce(good, F.lit(False)))
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current measurements of both tables: field_name, group_key, value."""
-    rle = latest(table(spark, sf_dir, "plotrle"), ["cell_id", "feature_id"], "loaded_at", ["batch", "rle"])
-    log = latest(table(spark, sf_dir, "assay"), ["cell_id", "feature_id"], "loaded_at", ["logcounts"])
-    a = rle.select(F.lit("rle").alias("field_name"), F.col("batch").alias("group_key"), F.col("rle").alias("value"))
-    b = log.select(F.lit("logcounts").alias("field_name"), F.col("feature_id").alias("group_key"), F.col("logcounts").alias("value"))
+def measurements(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Current measurements of both tables: field_name, group_key, value and ``more`` of their columns."""
+    rle = latest(table(spark, sf_dir, "plotrle"), ["cell_id", "feature_id"], "loaded_at", ["batch", "rle", *more])
+    log = latest(table(spark, sf_dir, "assay"), ["cell_id", "feature_id"], "loaded_at", ["logcounts", *more])
+    a = rle.select(F.lit("rle").alias("field_name"), F.col("batch").alias("group_key"), F.col("rle").alias("value"), *more)
+    b = log.select(F.lit("logcounts").alias("field_name"), F.col("feature_id").alias("group_key"), F.col("logcounts").alias("value"), *more)
     return a.unionByName(b)
 
 
