@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.relational import written
 from .space import batches
 
-#: Hashes of test windows that are sent along to prune document windows before the join. Beyond it, nothing is pruned.
-MOST_HASHES = 2_000_000
+#: Bits (as a power of 2, here 8 MB) of the map of test hashes that is sent along to prune document windows before the join.
+MAP_BITS = 26
 #: Characters of a text handled at a time; longer texts are cut into overlapping segments.
 SEGMENT = 500_000
 
@@ -72,10 +72,10 @@ class Windows:
         self.need, self.k = need, need * 3 // 4
         self.w, self.pad = need - self.k + 1, need - self.k
 
-    def of(self, texts: list[str], filler: str, only: np.ndarray | None) -> tuple[list[int], np.ndarray, list[str]]:
+    def of(self, texts: list[str], filler: str, only: HashMap | None) -> tuple[list[int], np.ndarray, list[str]]:
         """Chosen windows of normalised texts: text number, hash, window with what is around it.
 
-        ``only``: sorted hashes; others are dropped at once. What lies beyond a text is ``filler``.
+        ``only``: known hashes; others are dropped at once. What lies beyond a text is ``filler``.
         """
         who, at, parts = [], [], []
         for i, s in enumerate(texts):
@@ -106,7 +106,7 @@ class Windows:
             chosen = np.nonzero(top == h)[0]
             signed = h[chosen].view(np.int64)
             if only is not None:
-                hit = np.isin(signed, only, assume_unique=False) if len(only) else np.zeros(len(signed), bool)
+                hit = only.holds(signed)
                 chosen, signed = chosen[hit], signed[hit]
             part = np.searchsorted(starts, chosen, "right") - 1
             for c, p in zip(chosen - starts[part], part, strict=True):
@@ -120,14 +120,14 @@ class Windows:
         return rows, np.concatenate(hashes) if hashes else np.zeros(0, np.int64), shown
 
 
-def windows(df: DataFrame, key: str, text: str, needs: list[int], filler: str, only: dict[int, np.ndarray] | None = None) -> DataFrame:
+def windows(df: DataFrame, key: str, text: str, needs: list[int], filler: str, only: HashMap | None = None) -> DataFrame:
     """(key, need, hash, shown) of the chosen windows of every text; null texts give none."""
 
     def run(t: pa.Table) -> pa.Table:
         texts = [letters(s) for s in t[text].to_pylist()]
         ids, out = t[key], []
         for need in needs:
-            who, h, shown = Windows(need).of(texts, filler, None if only is None else only[need])
+            who, h, shown = Windows(need).of(texts, filler, only)
             out.append(pa.table([ids.take(pa.array(who, pa.int64())), pa.array(np.full(len(h), need), pa.int32()), pa.array(h, pa.int64()), pa.array(shown, pa.string())], names=[key, "need", "hash", "shown"]))
         return pa.concat_tables(out)
 
@@ -146,20 +146,13 @@ def leaks(documents: DataFrame, items: DataFrame, need: int = 60, dense_need: in
     of any length are gone through whole; repeated ids count as one; other columns are ignored.
 
     Windows of documents without a match among the windows of the items are dropped before anything is
-    shuffled, if the items' hashes are few enough to send along; the rest are joined by hash.
+    shuffled, by a map of the items' hashes whose size does not depend on them; the rest are joined by hash.
     """
-    spark = documents.sparkSession
     is_dense = F.coalesce(F.col("lang").isin(*dense), F.lit(False))
     theirs = windows(items.where(~is_dense), "item_id", "item_text", [need], "\x02").unionByName(
         windows(items.where(is_dense), "item_id", "item_text", [dense_need], "\x02")
     )
-    known = theirs.select("need", "hash").distinct().limit(MOST_HASHES + 1).toArrow()
-    only = None
-    if known.num_rows <= MOST_HASHES:
-        n, h = known["need"].to_numpy(), known["hash"].to_numpy()
-        # one copy per executor
-        sent = spark.sparkContext.broadcast({m: np.sort(h[n == m]) for m in (need, dense_need)})
-        only = _Sent(sent)
+    only = hash_map(theirs)
     ours = windows(documents, "doc_id", "text", [need, dense_need], "\x01", only)
     d, i = ours.alias("d"), theirs.alias("i")
     both = d.join(i, ["need", "hash"]).select("doc_id", "item_id", "need", F.col("d.shown").alias("a"), F.col("i.shown").alias("b"))
@@ -170,14 +163,26 @@ def leaks(documents: DataFrame, items: DataFrame, need: int = 60, dense_need: in
     return both.where(run).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
-class _Sent:
-    """Hashes behind a broadcast variable, read when they are first needed."""
+class HashMap:
+    """A bit for the leading bits of every known hash, behind a broadcast variable; of one size whatever their number."""
 
     def __init__(self, sent):
         self.sent = sent
 
-    def __getitem__(self, need: int) -> np.ndarray:
-        return self.sent.value[need]
+    def holds(self, signed: np.ndarray) -> np.ndarray:
+        """False for hashes that are not known for certain."""
+        p = (signed.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return ((self.sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def hash_map(hashes: DataFrame) -> HashMap:
+    """The map of a ``hash`` column, put together from blocks of 4 KB."""
+    p = F.shiftrightunsigned("hash", 64 - MAP_BITS) + 1
+    blocks = hashes.select(F.bitmap_bucket_number(p).alias("b"), F.bitmap_bit_position(p).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for b, m in blocks.collect():
+        bits[(b - 1) * len(m) : b * len(m)] = np.frombuffer(bytes(m), np.uint8)
+    return HashMap(hashes.sparkSession.sparkContext.broadcast(bits))  # one copy per executor
 
 
 # Words that stand for a unit of measure after a number, in the languages of the data.
@@ -226,11 +231,11 @@ def template(text: str) -> tuple[list[str], list[str]]:
 SPAN, PLAIN, DENSE_SPAN, DENSE_PLAIN = 14, 6, 24, 12
 
 
-def template_texts(df: DataFrame, key: str, text: str, only: _Sent | None = None) -> DataFrame:
+def template_texts(df: DataFrame, key: str, text: str, only: HashMap | None = None) -> DataFrame:
     """(key, copy, hash, pos, span, slots) of every text with a template window: all its windows and the slots of its words.
 
     ``copy`` is a hash of the text, as an id may come with several; the same text of an id comes once.
-    ``only``: sorted hashes; other windows are dropped at once.
+    ``only``: known hashes; other windows are dropped at once.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -260,7 +265,7 @@ def template_texts(df: DataFrame, key: str, text: str, only: _Sent | None = None
             ok = np.nonzero((owner[span - 1 :] == owner[: len(owner) - span + 1]) & (n[span:] - n[:-span] >= least))[0]
             h = _hashes(c ^ np.uint64(span), span).view(np.int64)[ok]
             if only is not None:
-                keep = np.isin(h, only[0])
+                keep = only.holds(h)
                 ok, h = ok[keep], h[keep]
             at.append(ok)
             hashes.append(h)
@@ -314,9 +319,7 @@ def reparameterised(documents: DataFrame, items: DataFrame, least: int = 2) -> D
     occurrence with most changes. Null and short texts give nothing; repeated ids count as one.
     """
     theirs = written(template_texts(items, "item_id", "item_text"), "item_windows")
-    known = theirs.select(F.explode("hash").alias("hash")).distinct().limit(MOST_HASHES + 1).toArrow()
-    # one copy per executor
-    only = _Sent(documents.sparkSession.sparkContext.broadcast({0: np.sort(known["hash"].to_numpy())})) if known.num_rows <= MOST_HASHES else None
+    only = hash_map(theirs.select(F.explode("hash").alias("hash")))
     ours = written(template_texts(documents, "doc_id", "text", only), "document_windows")
     d = ours.select("doc_id", F.col("copy").alias("doc_copy"), F.explode(F.arrays_zip("hash", "pos")).alias("z")).select("doc_id", "doc_copy", "z.hash", F.col("z.pos").alias("doc_pos"))
     i = theirs.select("item_id", F.col("copy").alias("item_copy"), F.explode(F.arrays_zip("hash", "pos", "span")).alias("z")).select("item_id", "item_copy", "z.hash", "z.pos", "z.span")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -228,12 +229,33 @@ r AS (SELECT *, least(ceil(wanted)::BIGINT, max_repeats * available)::BIGINT AS
 _VECTORS = """vec AS (
   SELECT cell_id, coords::DOUBLE[20] AS v FROM (SELECT cell_id, arg_max(coalesce(coords, []), written_at) AS coords FROM reduceddims WHERE dimred = 'PCA' GROUP BY cell_id)
   WHERE len(coords) = 20 AND len(list_filter(coords, lambda x: x IS NULL OR isnan(x))) = 0)"""
+def _folds() -> str:
+    """SQL values (character, its compatibility form) of all characters that NFKC replaces by others of another kind, built by rule."""
+    rows = []
+    for i in range(0x110000):
+        c = chr(i)
+        k = unicodedata.normalize("NFKD", c) if not 0xD800 <= i < 0xE000 else c
+        if k != unicodedata.normalize("NFD", c) and (i < 0x10000 or 0x1D400 <= i < 0x1D800):
+            rows.append(f"({i}, '{k.replace(chr(39), chr(39) * 2)}')")
+    return ", ".join(rows)
+
+
+# documents and items in NFKC and lower case, letters and numbers only; every run of the needed length by its hash
+_P6 = f"""WITH f(i, k) AS (VALUES {_folds()}),
+t AS (SELECT true AS doc, doc_id AS id, NULL AS lang, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT false, item_id, lang, item_text FROM eval_items WHERE item_text IS NOT NULL),
+c AS (SELECT doc, id, any_value(lang) AS lang, unnest(any_value(list)) AS c, unnest(range(len(any_value(list)))) AS pos FROM (SELECT doc, id, lang, regexp_extract_all(text, '(?s).') AS list FROM t) GROUP BY doc, id),
+n AS (SELECT doc, id, any_value(lang) AS lang, regexp_replace(lower(nfc_normalize(string_agg(coalesce(k, c), '' ORDER BY pos))), '[^\\pL\\pN]+', '', 'g') AS s FROM c LEFT JOIN f ON unicode(c) = i GROUP BY doc, id),
+w AS (SELECT doc, id, need, hash(substr(s, p::BIGINT, need)) AS h FROM (SELECT doc, id, s, need, unnest(range(1, greatest(length(s) - need + 2, 1))) AS p
+  FROM n CROSS JOIN (SELECT unnest([60, 24]) AS need) WHERE doc OR need = CASE WHEN lang IN ('zh', 'ja') THEN 24 ELSE 60 END))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM w d JOIN (SELECT DISTINCT id, need, h FROM w WHERE NOT doc) i USING (need, h) WHERE d.doc"""
+
 _50TH = "try_cast(regexp_extract(a.cell_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
 SQL: dict[str, str] = {
     "p2_found": f"""WITH {_CELLS}, {_VECTORS}, a AS (
   SELECT request_id, radius, c.cell_id, cell_cycle, v FROM subset_requests r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL),
 near AS (SELECT DISTINCT a.request_id, a.cell_id FROM a JOIN a b ON a.request_id = b.request_id AND a.cell_cycle = b.cell_cycle AND a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= a.radius)
 SELECT request_id, cell_id FROM a ANTI JOIN near USING (request_id, cell_id)""",
+    "p6_found": _P6,
     "p5_found": f"""WITH RECURSIVE {_VECTORS},
 e AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 15),
 c(cell_id, root) USING KEY (cell_id) AS (
