@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +51,21 @@ FULL = "。！？｡।॥؟!?‼⁇⁈⁉"
 ENDS = frozenset(FULL + ".．…")
 # Characters that show nothing and may stand within a word.
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_EVENT = regex.compile(r"[.．…。！？｡।॥؟!?‼⁇⁈⁉()\[\]{}（）【】〔〕《》〈〉「」『』“”«»„‘’‚‹›\"]")
-_PAIRS = regex.compile(r"[()\[\]{}（）【】〔〕《》〈〉「」『』“”«»„‘’‚‹›\"]")
+_EVENT = re.compile(r"[.．…。！？｡।॥؟!?‼⁇⁈⁉()\[\]{}（）【】〔〕《》〈〉「」『』“”«»„‘’‚‹›\"]")
+_PAIRS = re.compile(r"[()\[\]{}（）【】〔〕《》〈〉「」『』“”«»„‘’‚‹›\"]")
 _THAI = regex.compile(r"\p{Thai}")
-_LINE = regex.compile(r"\r\n|\n|\r|\Z")
-_MARK = regex.compile(r"[^\S\r\n]*(?:[-*]|\p{Nd}+\.) ")
+_LINE = re.compile(r"\r\n|\n|\r|\Z")
+_MARK = re.compile(r"[^\S\r\n]*(?:[-*]|\d+\.) ")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_'’\-]+")
 # A word in small letters that starts a sentence all the same: mt-encoded, p-values, log-counts, iPlate, pH.
 _SMALL_START = regex.compile(r"(?:mt|p|log|q|t|k|x|y|z|e)-\p{L}{2,}|\p{Ll}{1,2}\p{Lu}|mt-\p{Lu}")
 _DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}\Z")
+_KANA, _HAN, _ARABIC, _NAGARI = (regex.compile(x) for x in (r"[\p{Hiragana}\p{Katakana}]", r"\p{Han}", r"\p{Arabic}", r"\p{Devanagari}"))
+_LETTERS, _FULL_NAGARI = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"[।॥!?.]")
+# What runs up to a full stop without a space, read from its end.
+_TOKEN = regex.compile(rf"(?r)[\p{{L}}\p{{N}}\p{{M}}_.\-'’{HIDDEN}]+")
+_AFTER_ORDINAL, _VOWEL = regex.compile(r"The|In|We|A\b"), regex.compile(r"[aeiouyäöüáéíóúàèêâîôûаеёиоуыэюя\p{N}]")
+_HIDDEN = re.compile(f"[{HIDDEN}]")
 
 
 #: Characters looked back at most for what a mark depends on, so that time stays linear in the text.
@@ -100,9 +108,12 @@ class Trie:
 TRIE = Trie({"inside": INSIDE, "numbered": NUMBERED, "either": EITHER})
 
 
-def _pairs(t: str, lo: int, hi: int) -> dict[int, int]:
-    """Places of opening marks in t[lo:hi] to those of the marks that close them; what never closes counts for nothing."""
-    stack: list[tuple[str, int]] = []
+def _pairs(t: str, lo: int, hi: int, stack: list[tuple[str, int]]) -> dict[int, int]:
+    """Places of opening marks in t[lo:hi] to those of the marks that close them; what never closes counts for nothing.
+
+    ``stack`` holds the open list levels; quotations and brackets are pushed onto them and never close across one.
+    """
+    base = len(stack)
     held: Counter[str] = Counter()
     out: dict[int, int] = {}
     for m in _PAIRS.finditer(t, lo, hi):
@@ -129,36 +140,48 @@ def _pairs(t: str, lo: int, hi: int) -> dict[int, int]:
             continue
         if not any(held[o] for o in CLOSED_BY.get(ch, ())):
             continue
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, base - 1, -1):
             if stack[k][0] in CLOSED_BY[ch]:
                 out[stack[k][1]] = i
                 for o, _ in stack[k:]:
                     held[o] -= 1
                 del stack[k:]
                 break
+    del stack[base:]
     return out
 
 
-def _blocks(t: str) -> list[tuple[int, int, int]]:
-    """(start, after the list mark, end) of every run of lines without a blank line or list item between."""
-    out: list[list[int]] = []
-    fresh, pos, n = True, 0, len(t)
+def _blocks(t: str, stack: list[tuple[str, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, after the list mark, end) of every run of lines without a blank line or list item between.
+
+    ``stack`` has the list levels open in the block, each with its indentation: an item closes those indented as far or further and
+    opens its own, a blank line closes all.
+    """
+    block: list[int] = []
+    pos, n = 0, len(t)
     while pos < n:
         m = _LINE.search(t, pos)
         end, after = m.start(), m.end()
-        if not t[pos:end].strip():
-            fresh = True
+        mark = _MARK.match(t, pos, end)
+        blank = not mark and not t[pos:end].strip()
+        if block and (blank or mark):
+            yield block[0], block[1], block[2]
+            block = []
+        if blank:
+            stack.clear()
+        elif mark:
+            width = len(mark.group()) - len(mark.group().lstrip())
+            while stack and stack[-1][1] >= width:
+                stack.pop()
+            stack.append((mark.group().strip(), width))
+            block = [pos, mark.end(), end]
+        elif block:
+            block[2] = end
         else:
-            mark = _MARK.match(t, pos, end)
-            if mark:
-                out.append([pos, mark.end(), end])
-            elif fresh or not out:
-                out.append([pos, pos, end])
-            else:
-                out[-1][2] = end
-            fresh = False
+            block = [pos, pos, end]
         pos = after if after > pos else n
-    return [(a, b, c) for a, b, c in out]
+    if block:
+        yield block[0], block[1], block[2]
 
 
 def _skip(t: str, i: int, hi: int) -> int:
@@ -200,15 +223,15 @@ def _after_quote(t: str, o: int, c: int, hi: int, at_start: bool) -> bool:
     if not ch.isalpha():
         return ch.isspace() or not ch.isnumeric() or i > j
     rest = t[i : i + 12]
-    if regex.match(r"[\p{Hiragana}\p{Katakana}]", ch):
+    if _KANA.match(ch):
         return not rest.startswith(GOES_ON["Kana"])
-    if regex.match(r"\p{Han}", ch):
+    if _HAN.match(ch):
         return not rest.startswith(GOES_ON["Han"])
-    if regex.match(r"\p{Arabic}", ch):
-        word = regex.match(r"[\p{L}\p{M}]+", t, pos=i).group()
+    if _ARABIC.match(ch):
+        word = _LETTERS.match(t, i).group()
         return word not in GOES_ON["Arabic"]
-    if regex.match(r"\p{Devanagari}", ch):
-        m = regex.compile(r"[।॥!?.]").search(t, i, hi)
+    if _NAGARI.match(ch):
+        m = _FULL_NAGARI.search(t, i, hi)
         return not any(w in t[i : m.start() if m else hi] for w in SAYING_HI)
     return True
 
@@ -234,10 +257,9 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
         return False
     if nxt and nxt in ",;:،؛、，；：":
         return False
-    k = dot
-    while k > max(lo, dot - BACK) and (t[k - 1].isalnum() or t[k - 1] in "_.-'’" or t[k - 1] in HIDDEN or regex.match(r"\p{M}", t[k - 1])):
-        k -= 1
-    token = "".join(c for c in t[k:dot] if c not in HIDDEN)
+    m = _TOKEN.match(t, max(lo, dot - BACK), dot)
+    k = m.start() if m else dot
+    token = t[k:dot] if t.isascii() else _HIDDEN.sub("", t[k:dot])
     if nxt and not nxt.isspace() and nxt not in CLOSE and nxt not in OPEN:
         if nxt.islower():
             m = _SMALL_START.match(t, j)
@@ -302,10 +324,10 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
         return _starts(t, i, hi)
     if token.isnumeric():
         before = t[max(lo, k - BACK) : k].split()
-        if before and before[-1].lower() in GERMAN_ORDINAL and len(token) <= 2 and first.isalpha() and not regex.match(r"The|In|We|A\b", t, pos=i):
+        if before and before[-1].lower() in GERMAN_ORDINAL and len(token) <= 2 and first.isalpha() and not _AFTER_ORDINAL.match(t, i):
             return False
         return not (first.islower() and before and before[-1].lower() in GERMAN_ORDINAL)
-    if first.islower() and 1 < len(token) <= 4 and not regex.search(r"[aeiouyäöüáéíóúàèêâîôûаеёиоуыэюя\p{N}]", token.lower()):
+    if first.islower() and 1 < len(token) <= 4 and not _VOWEL.search(token.lower()):
         return False  # short and without a vowel: an abbreviation, though not a known one
     return True
 
@@ -313,13 +335,14 @@ def _full_stop(t: str, lo: int, dot: int, hi: int) -> bool:
 def spans(t: str) -> list[tuple[int, int]]:
     """The units of a text as (start, end) in code points, end exclusive, without outer white space.
 
-    The control runs over the marks of a block (lines up to a blank line or the next list item) with the
-    stack of open quotations and brackets worked out first; marks within a pair are passed over, and when
+    One stack holds the open list levels and, above them, the open quotations and brackets of a block (lines up to a blank line
+    or the next list item). The control runs over the marks of the block; marks within a pair are passed over, and when
     the pair closes it is told whether the sentence is over with it.
     """
     out: list[tuple[int, int]] = []
-    for begin, body, hi in _blocks(t):
-        pairs = _pairs(t, body, hi)
+    stack: list[tuple[str, int]] = []
+    for begin, body, hi in _blocks(t, stack):
+        pairs = _pairs(t, body, hi, stack)
         thai = _THAI.search(t, body, hi) is not None
         event = _EVENT_THAI if thai else _EVENT
         lo = _skip(t, begin, hi)
@@ -397,7 +420,7 @@ def spans(t: str) -> list[tuple[int, int]]:
     return out
 
 
-_EVENT_THAI = regex.compile(r"\s+|" + _EVENT.pattern)
+_EVENT_THAI = re.compile(r"\s+|" + _EVENT.pattern)
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
