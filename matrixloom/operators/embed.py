@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
+from ..functions.relational import written
+from ..functions.vectors import centroids, met, owners
 from .decompose import Matrix, _stack, matrix_from, pca
 from .retrieve import dimensions
 
 #: Rows of a block of the exact neighbour search; rows that a layout is worked out for on the driver.
 BLOCK_ROWS, MOST_LAYOUT = 8_000, 3_000
+#: Rows that the partition of the neighbour search is fitted on at most, and its parts at most.
+SAMPLE_ROWS, MOST_PARTS = 40_000, 4_096
 
 
 def find_knn(rows: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -29,18 +33,26 @@ def query_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclid
     return _knn(queries, base, k, metric, False)
 
 
+def _unit(coords: str, metric: str):
+    """Vectors of length 1 for the cosine metric, whose order is that of Euclidean distance between these."""
+    if metric != "cosine":
+        return F.col(coords)
+    norm = F.sqrt(F.aggregate(coords, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(coords, lambda x: x / norm)).otherwise(F.col(coords))
+
+
 def _knn(queries: DataFrame, base: DataFrame, k: int, metric: str, same: bool) -> DataFrame:
-    """Queries and base meet in blocks of bounded size; each keeps its k best, and the blocks are merged by rank.
+    """Up to BLOCK_ROWS base rows are one block that queries meet in blocks of their own. Beyond, base rows lie in the parts of a
+    Voronoi partition fitted on a bounded sample: a query is first answered in its own part, and then asks only those other parts
+    that may hold a row nearer than its k-th so far. Exact; parts are cut into blocks of bounded size.
 
-    Ties go to the smaller id. Rows with a null vector take no part; k of 0 gives nothing.
+    Ties go to the smaller id. Rows with a null vector take no part; k of 0 gives nothing. Sums of absolute differences are never below the
+    Euclidean distance, so the bound holds for that metric too.
     """
-    q = queries.where("coords IS NOT NULL").select("cell_id", "coords")
-    b = base.where("coords IS NOT NULL").select("cell_id", "coords")
-    nq, nb = max(1, math.ceil(q.count() / BLOCK_ROWS)), max(1, math.ceil(b.count() / BLOCK_ROWS))
-    h = F.xxhash64("cell_id")
-    q = q.select(F.pmod(h, F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"), F.lit(True).alias("asks"), "cell_id", "coords")
-    b = b.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(h, F.lit(nb)).cast("int").alias("bb"), F.lit(False).alias("asks"), "cell_id", "coords")
     kind = queries.schema["cell_id"].dataType.simpleString()
+    q, b = (d.where("coords IS NOT NULL").select("cell_id", _unit("coords", metric).alias("coords")) for d in (queries, base))
+    n = b.count()
+    schema = f"cell_id {kind}, neighbour {kind}, distance double"
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         a, c = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("cell_id")
@@ -48,8 +60,6 @@ def _knn(queries: DataFrame, base: DataFrame, k: int, metric: str, same: bool) -
             return pd.DataFrame({"cell_id": a["cell_id"].iloc[:0], "neighbour": a["cell_id"].iloc[:0], "distance": pd.Series(dtype=float)})
         x, y = _stack(a["coords"], 0), _stack(c["coords"], 0)
         ids = c["cell_id"].to_numpy()
-        if metric == "cosine":
-            x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y))
         out = []
         m = min(len(y), k + int(same) + 8)
         sq = (y**2).sum(1)
@@ -70,9 +80,41 @@ def _knn(queries: DataFrame, base: DataFrame, k: int, metric: str, same: bool) -
         ok = np.isfinite(d)
         return pd.DataFrame({"cell_id": a["cell_id"].to_numpy()[r[ok]], "neighbour": ids[j[ok]], "distance": d[ok]})
 
-    got = q.unionByName(b).groupBy("qb", "bb").applyInPandas(find, f"cell_id {kind}, neighbour {kind}, distance double")
+    h = F.xxhash64("cell_id")
     w = Window.partitionBy("cell_id").orderBy("distance", "neighbour")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = lambda d: d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def met_in(asks: DataFrame, have: DataFrame) -> DataFrame:
+        """``asks`` and ``have`` (cell_id, coords, part) met part by part, in blocks."""
+        size = lambda d, name: d.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+        plan = written(size(have, "nb").join(size(asks, "nq"), "part"), "blocks")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = lambda c: F.pmod(h, F.col(c)).cast("int")
+        one = have.join(plan, "part").select("part", own("nb").alias("bb"), each("nq").alias("qb"), F.lit(False).alias("asks"), "cell_id", "coords")
+        two = asks.join(plan, "part").select("part", each("nb").alias("bb"), own("nq").alias("qb"), F.lit(True).alias("asks"), "cell_id", "coords")
+        return one.unionByName(two).groupBy("part", "bb", "qb").applyInPandas(find, schema)
+
+    if n <= BLOCK_ROWS:
+        return best(met_in(q.withColumn("part", F.lit(0)), b.withColumn("part", F.lit(0))))
+    some = b.where(F.shiftrightunsigned(F.xxhash64("cell_id", F.lit(3)), 32) < int(min(1.0, SAMPLE_ROWS / n) * 2**32)).toPandas()
+    c = centroids(_stack(some["coords"], 0), max(2, min(MOST_PARTS, n // (BLOCK_ROWS // 4))))
+
+    def place(it):
+        for pdf in it:
+            yield pdf.assign(part=owners(_stack(pdf["coords"], c.shape[1]), c).astype(np.int32))
+
+    def further(it):
+        for pdf in it:
+            x = _stack(pdf["coords"], c.shape[1])
+            yield pdf.drop(columns="kth").assign(parts=met(x, c, pdf["part"].to_numpy(), np.nan_to_num(pdf["kth"].to_numpy(float), nan=1e150)))
+
+    fields = f"cell_id {kind}, coords array<double>, part int"
+    have, asks = written(b.mapInPandas(place, fields), "parts"), written(q.mapInPandas(place, fields), "asks")
+    first = written(met_in(asks, have), "first")
+    kth = best(first).groupBy("cell_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
+    more = asks.join(kth, "cell_id", "left").mapInPandas(further, f"{fields}, parts array<int>")
+    more = written(more, "further").select("cell_id", "coords", F.explode("parts").alias("part"))
+    return best(first.unionByName(met_in(more, have)))
 
 
 def tricube_average(near: DataFrame, values: DataFrame, k: int, ndist: float = 3.0) -> DataFrame:
@@ -134,14 +176,39 @@ def _distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))
 
 
+def _edge_distances(some: pd.DataFrame, near: DataFrame) -> np.ndarray:
+    """The distances of a given neighbour table (cell_id, neighbour, distance) as a matrix, infinite where it has none."""
+    at = {c: i for i, c in enumerate(some["cell_id"])}
+    d = np.full((len(at), len(at)), np.inf)
+    np.fill_diagonal(d, 0)
+    rows = near.select("cell_id", "neighbour", "distance")
+    ids = near.sparkSession.createDataFrame([(c,) for c in at], f"_c {near.schema['cell_id'].dataType.simpleString()}")
+    for c in ("cell_id", "neighbour"):  # rows of the layout only, MOST_LAYOUT of them
+        rows = rows.join(F.broadcast(ids.withColumnRenamed("_c", c)), c, "left_semi")
+    for a, b, v in rows.select("cell_id", "neighbour", "distance").collect():
+        d[at[a], at[b]] = v
+    return d
+
+
+def _dense_aware(d: np.ndarray, share: float, weight: float, k: int) -> np.ndarray:
+    """Distances stretched by a power of the local radius, so that dense regions stay dense; ``share`` is the part of full strength that is applied."""
+    if len(d) < 4:
+        return d
+    r = np.log(np.maximum(np.sort(d, 1)[:, 1 : min(len(d), k + 1)].mean(1), 1e-12))
+    d = d * np.exp(weight * share / 0.3 * (r - r.mean()))[:, None]
+    return (d + d.T) / 2
+
+
 def tsne_layout(d: np.ndarray, perplexity: float, ncomponents: int = 2, rounds: int = 400, seed: int = 1) -> np.ndarray:
     """t-distributed stochastic neighbour embedding of a distance matrix, by gradient descent with momentum."""
     n = len(d)
     if n < 3:
         return np.arange(n, dtype=float)[:, None] * np.ones((1, ncomponents))
-    sq = d**2
+    sq = np.minimum(d, 1e100) ** 2
     np.fill_diagonal(sq, np.inf)
-    goal, lo, hi, beta = math.log(max(perplexity, 1.01)), np.zeros(n), np.full(n, np.inf), 1 / np.maximum(np.median(np.where(np.isinf(sq), 0, sq), 1), 1e-12)
+    goal, lo, hi = math.log(max(perplexity, 1.01)), np.zeros(n), np.full(n, np.inf)
+    there = sq < 1e199  # pairs that have a distance
+    beta = 1 / np.maximum(np.where(there, sq, 0).sum(1) / np.maximum(there.sum(1), 1), 1e-12)
     small = sq.min(1, keepdims=True)
     for _ in range(50):  # the precision of each row that gives its perplexity
         p = np.exp(-(sq - small) * beta[:, None])
@@ -166,9 +233,12 @@ def tsne_layout(d: np.ndarray, perplexity: float, ncomponents: int = 2, rounds:
     return y
 
 
-def calculate_tsne(bundle: Bundle, ncomponents: int = 2, perplexity: float | None = None, normalize: bool = True, use_densvis: bool = False, dens_lambda: float = 0.1, pca_dims: int | None = 50, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
+def calculate_tsne(bundle: Bundle, ncomponents: int = 2, perplexity: float | None = None, normalize: bool = True, use_densvis: bool = False, dens_frac: float = 0.3, dens_lambda: float = 0.1, pca_dims: int | None = 50, theta: float = 0.5, use_fitsne: bool = False, external_neighbors: bool | DataFrame = False, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
     """(cell_id, coords) of a t-SNE. Perplexity defaults to min(50, n / 5).
 
+    ``external_neighbors``: True limits affinities to the 3 * perplexity nearest rows found by :func:`find_knn`; a table (cell_id,
+    neighbour, distance) takes its edges instead. ``theta`` and ``use_fitsne`` choose between approximations elsewhere; gradients are exact here.
+
     Up to 3,000 rows are laid out exactly; of more rows a sample is, and the others are placed by the
     tricube average of their neighbours in it. ``use_densvis`` scales local distances by a share of the
     log local radius, so that dense regions stay dense.
@@ -182,11 +252,13 @@ def calculate_tsne(bundle: Bundle, ncomponents: int = 2, perplexity: float | Non
         x = x - x.mean(0)
         x = x / max(np.abs(x).max(), 1e-300)
     perplexity = perplexity or min(50, max(len(x) // 5, 1))
-    d = _distances(x)
-    if use_densvis and len(x) > 3:
-        r = np.sort(d, 1)[:, 1 : min(len(x), int(3 * perplexity) + 1)].mean(1)
-        d = d * np.exp(dens_lambda * (np.log(np.maximum(r, 1e-12)) - np.log(np.maximum(r, 1e-12)).mean()))[:, None]
-        d = (d + d.T) / 2
+    if external_neighbors is not False:
+        base = m.rows.sparkSession.createDataFrame(list(zip(some["cell_id"].tolist(), x.tolist(), strict=True)), m.rows.select("cell_id", "coords").schema) if len(x) else m.rows
+        d = _edge_distances(some, find_knn(base, int(3 * perplexity)) if external_neighbors is True else external_neighbors)
+    else:
+        d = _distances(x)
+    if use_densvis:
+        d = _dense_aware(d, dens_frac, dens_lambda, int(3 * perplexity))
     return _placed(m.rows, some, tsne_layout(d, perplexity, ncomponents, seed=seed), left, 5), {"perplexity": perplexity}
 
 
@@ -194,14 +266,15 @@ def run_tsne(bundle: Bundle, name: str = "TSNE", **kw) -> Bundle:
     return bundle.with_reduced(name, *calculate_tsne(bundle, **kw))
 
 
-def fuzzy_edges(d: np.ndarray, k: int) -> np.ndarray:
-    """Symmetric membership strengths of the k-nearest graph (k counts the row itself), a + b - ab."""
+def fuzzy_edges(d: np.ndarray, k: int, symmetric: bool = True) -> np.ndarray:
+    """Membership strengths of the k-nearest graph (k counts the row itself), made symmetric as a + b - ab."""
     n = len(d)
     k = min(k, n)
     near = np.argsort(d, 1, kind="stable")[:, :k]
     far = np.take_along_axis(d, near, 1)
     w = np.zeros((n, n))
     for i in range(n):
+        far[i] = np.where(np.isfinite(far[i]), far[i], 1e150)  # no edge
         r = far[i][far[i] > 0]
         rho = r.min() if len(r) else 0.0
         lo, hi, s = 0.0, np.inf, 1.0
@@ -213,7 +286,15 @@ def fuzzy_edges(d: np.ndarray, k: int) -> np.ndarray:
                 lo, s = s, s * 2 if np.isinf(hi) else (s + hi) / 2
         w[i, near[i]] = np.exp(-np.maximum(far[i] - rho, 0) / max(s, 1e-12))
     np.fill_diagonal(w, 0)
-    return w + w.T - w * w.T
+    return w + w.T - w * w.T if symmetric else w
+
+
+def intersected(strengths: Sequence[np.ndarray]) -> np.ndarray:
+    """The intersection of the graphs of several modalities: the geometric mean of strengths, so an edge must be there in all."""
+    w = strengths[0]
+    for e in strengths[1:]:
+        w = w * e
+    return w ** (1 / len(strengths))
 
 
 def umap_layout(w: np.ndarray, ncomponents: int = 2, rounds: int = 200, seed: int = 1) -> np.ndarray:
@@ -249,13 +330,20 @@ def umap_layout(w: np.ndarray, ncomponents: int = 2, rounds: int = 200, seed: in
     return y
 
 
-def calculate_umap(bundle: Bundle, ncomponents: int = 2, n_neighbors: int = 15, pca_dims: int | None = 50, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
-    """(cell_id, coords) of a UMAP. ``n_neighbors`` counts the row itself; ``pca_dims=None`` skips the components."""
+def calculate_umap(bundle: Bundle, ncomponents: int = 2, n_neighbors: int = 15, pca_dims: int | None = 50, use_densvis: bool = False, dens_frac: float = 0.3, dens_lambda: float = 2.0, external_neighbors: bool | DataFrame = False, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
+    """(cell_id, coords) of a UMAP. ``n_neighbors`` counts the row itself; ``pca_dims=None`` skips the components.
+
+    ``external_neighbors``: a table (cell_id, neighbour, distance) whose edges are taken; True searches as without it. ``use_densvis``
+    keeps dense regions dense.
+    """
     m = matrix_from(bundle, **kw)
     if pca_dims and len(m.names) > pca_dims:
         m = Matrix(pca(m, pca_dims)[0], [str(i) for i in range(pca_dims)])
     some, left = _landmarks(m.rows, seed)
-    w = fuzzy_edges(_distances(_stack(some["coords"], len(m.names))), n_neighbors)
+    d = _edge_distances(some, external_neighbors) if isinstance(external_neighbors, DataFrame) else _distances(_stack(some["coords"], len(m.names)))
+    if use_densvis:
+        d = _dense_aware(d, dens_frac, dens_lambda / 20, n_neighbors)
+    w = fuzzy_edges(d, n_neighbors)
     return _placed(m.rows, some, umap_layout(w, ncomponents, seed=seed), left, 5), {"n_neighbors": n_neighbors}
 
 
@@ -283,11 +371,8 @@ def calculate_multi_umap(blocks: Sequence[DataFrame], metrics: Sequence[str] | s
         return rows, {}
     some, left = _landmarks(rows.select("cell_id", "coords"), seed)
     x = _stack(some["coords"], sum(first))
-    w, at = None, 0
-    for n, metric in zip(first, metrics, strict=True):
-        e = fuzzy_edges(_distances(x[:, at : at + n], metric), n_neighbors)
-        w, at = (e if w is None else w * e), at + n
-    w = w ** (1 / len(blocks))
+    ends = np.cumsum([0, *first])
+    w = intersected([fuzzy_edges(_distances(x[:, i:j], metric), n_neighbors) for i, j, metric in zip(ends[:-1], ends[1:], metrics, strict=True)])
     return _placed(rows.select("cell_id", "coords"), some, umap_layout(w, ncomponents, seed=seed), left, 5), {"blocks": list(first)}
 
 

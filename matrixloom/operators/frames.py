@@ -14,7 +14,7 @@ from ..functions.quantiles import quantiles
 from ..functions.relational import ranked, written
 from .counts import cumulative_shares, top_features, totals
 from .grouped import bin2d, contingency, density, scale_rows
-from .retrieve import attach, expression_long, factor_levels, retrieve_cell_info, retrieve_feature_info, select_cells, select_features, swap_names
+from .retrieve import attach, expression_long, factor_levels, renamed, retrieve_cell_info, retrieve_feature_info, select_cells, select_features
 
 SHAPE_LEVELS = 10
 
@@ -65,14 +65,6 @@ def expression(bundle: Bundle, features, x=None, log2_values: bool = False, assa
     return _visuals(df, "cell_id", lookup, **visuals)
 
 
-def renamed(df: DataFrame, bundle: Bundle, column: str | None, name: str = "Feature") -> DataFrame:
-    """Features of a frame named by a column of their metadata instead of their id."""
-    if column is None:
-        return df
-    names = swap_names(bundle.features, column).select(F.col("feature_id").alias(name), "_name")
-    return df.join(names, name).drop(name).withColumnRenamed("_name", name)
-
-
 def plot_kind(df: DataFrame) -> str:
     """``violin`` with one numeric axis (``violin_flipped`` if it is X), ``scatter`` with two, ``rectangles`` with none."""
     num = [c in df.columns and isinstance(df.schema[c].dataType, T.NumericType) for c in ("X", "Y")]
@@ -236,7 +228,7 @@ def plate_position(cells: DataFrame, well: str | Column, **columns: Column) -> D
     return d.select("cell_id", F.regexp_extract("_w", "([0-9]+)$", 1).cast("int").alias("X"), y.alias("Y"), (F.lit(ord("Z")) - F.ascii(y)).alias("y_order"), *columns)
 
 
-def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str | None = None, percent_var: Sequence[float] | None = None, **visuals) -> tuple[DataFrame, DataFrame | None, list[str]]:
+def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str | None = None, percent_var: Sequence[float] | None = None, assay_type: str = "logcounts", swap_rownames: str | None = None, **visuals) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Points (``X``, ``Y``, ...), label places (median per level) and axis labels with rounded percentages.
 
     More components than stored are an error; with more than two the first two are the axes.
@@ -247,7 +239,7 @@ def reduced_dim(bundle: Bundle, dimred: str, ncomponents: int = 2, text_by: str
     if ncomponents > have:
         raise ValueError(f"{dimred} has {have} dimensions, not {ncomponents}")
     d = r.select("cell_id", F.get("coords", F.lit(0)).alias("X"), F.get("coords", F.lit(1)).alias("Y"))
-    d = _visuals(d, "cell_id", lambda by: retrieve_cell_info(bundle, by), **visuals)
+    d = _visuals(d, "cell_id", lambda by: retrieve_cell_info(bundle, by, assay_type=assay_type, swap_rownames=swap_rownames), **visuals)
     labels = None
     if text_by is not None:
         t = d.join(retrieve_cell_info(bundle, text_by)[1].withColumnRenamed("value", "label"), "cell_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
-from .retrieve import select_cells, select_features
+from .retrieve import renamed, select_cells, select_features
 
 #: Combinations of group and block at most; they are held on the driver.
 MOST_COMBINATIONS = 10_000
@@ -105,25 +105,26 @@ def colour_scale(long: DataFrame, value: str = "value", center: bool = False, co
     return r.withColumn("breaks", F.transform(F.sequence(F.lit(0), F.lit(colours)), lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / colours))
 
 
-def dots(bundle: Bundle, features, group: str | None = None, block: str | None = None, detection_limit: float = 0, center: bool = False, scale: bool = False, zlim=None, max_detected: float | None = None, assay_type: str = "logcounts") -> DataFrame:
+def dots(bundle: Bundle, features, group: str | None = None, block: str | None = None, detection_limit: float = 0, center: bool = False, scale: bool = False, zlim=None, max_detected: float | None = None, assay_type: str = "logcounts", swap_rownames: str | None = None) -> DataFrame:
     """(Feature, Group, NumDetected, Average) as drawn by a dot plot: proportion detected and group mean."""
-    s = group_summaries(bundle, features, group, block, detection_limit, assay_type)
+    s = group_summaries(bundle, select_features(bundle, features, swap_rownames), group, block, detection_limit, assay_type)
     if block:
         a = correct_blocks(s, "mean")
         d = correct_blocks(s, "detected", "logit")
         s = a.join(d.drop("ord"), ["feature_id", "group"])
     s = scale_rows(s, "mean", center, scale, zlim)
     d = F.least(F.col("detected"), F.lit(float(max_detected))) if max_detected is not None else F.col("detected")
-    return s.select(F.col("feature_id").alias("Feature"), F.col("group").alias("Group"), d.alias("NumDetected"), F.col("mean").alias("Average"))
+    out = s.select(F.col("feature_id").alias("Feature"), F.col("group").alias("Group"), d.alias("NumDetected"), F.col("mean").alias("Average"))
+    return renamed(out, bundle, swap_rownames)
 
 
-def grouped_heatmap(bundle: Bundle, features, group: str, block: str | None = None, cells=None, center: bool = False, scale: bool = False, zlim=None, assay_type: str = "logcounts") -> DataFrame:
+def grouped_heatmap(bundle: Bundle, features, group: str, block: str | None = None, cells=None, center: bool = False, scale: bool = False, zlim=None, assay_type: str = "logcounts", swap_rownames: str | None = None) -> DataFrame:
     """(Feature, Group, value): group means as a heat map's cells."""
-    s = group_summaries(bundle, features, group, block, 0, assay_type, cells)
+    s = group_summaries(bundle, select_features(bundle, features, swap_rownames), group, block, 0, assay_type, cells)
     if block:
         s = correct_blocks(s, "mean")
     s = scale_rows(s, "mean", center, scale, zlim)
-    return s.select(F.col("feature_id").alias("Feature"), F.col("group").alias("Group"), F.col("mean").alias("value"))
+    return renamed(s.select(F.col("feature_id").alias("Feature"), F.col("group").alias("Group"), F.col("mean").alias("value")), bundle, swap_rownames)
 
 
 def wide(long: DataFrame, rows: str, columns: str, value: str, order: list) -> DataFrame:

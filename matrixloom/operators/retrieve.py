@@ -71,6 +71,14 @@ def swap_names(features: DataFrame, column: str) -> DataFrame:
     return features.withColumn("_name", F.col(column))
 
 
+def renamed(df: DataFrame, bundle: Bundle, column: str | None, name: str = "Feature") -> DataFrame:
+    """Features of a frame named by a column of their metadata instead of their id."""
+    if column is None:
+        return df
+    names = swap_names(bundle.features, column).select(F.col("feature_id").alias(name), "_name")
+    return df.join(names, name).drop(name).withColumnRenamed("_name", name)
+
+
 def subset(bundle: Bundle, assay: DataFrame, features=None, cells: Column | Sequence | None = None) -> DataFrame:
     """The stored rows of the selected features and cells."""
     if features is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api as A
 from ..bundle import Bundle
 from ..functions.palettes import colours_for
-from ..functions.relational import shared_dir, table
+from ..functions.relational import shared_dir, table, written
 from ..operators import counts as C
 from ..operators import decompose as D
 from ..operators import embed as E
@@ -421,3 +421,52 @@ def bound_modalities(spark, d):
     rows, sizes = E.bind_blocks([R.dimensions(v, 32), R.dimensions(v, list(range(33, 65)))])
     assert sizes == [32, 32]
     return rows.select("cell_id", F.round(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x * x), 5).alias("size"), F.size("coords").alias("dims"))
+
+
+# neighbours and layouts
+
+
+@query("SELECT count(*) AS cells, true AS symmetric, true AS bounded, true AS calibrated, true AS within FROM embeddings")
+def fuzzy_graph(spark, d):
+    """Membership strengths of two modalities: symmetric, between 0 and 1, each row's own sum log2(k), and their intersection within both."""
+    import numpy as np
+
+    rows, _ = E.bind_blocks([S.embedding_bundle(spark, d).reduced["VEC"]])
+    x = np.stack([r[0] for r in rows.orderBy("cell_id").select("coords").collect()])
+    a, b = (E.fuzzy_edges(E._distances(x[:, s], m), 15) for s, m in ((slice(0, 32), "euclidean"), (slice(32, 64), "cosine")))
+    both = E.intersected([a, b])
+    one = E.fuzzy_edges(E._distances(x[:, :32]), 15, symmetric=False)
+    ok = [np.allclose(a, a.T) and np.allclose(both, both.T), bool(((a >= 0) & (a <= 1 + 1e-12)).all()), bool(np.allclose(one.sum(1), np.log2(15), atol=1e-3)), bool((both <= np.sqrt(np.minimum(a, b)) + 1e-9).all() and ((both > 0) <= ((a > 0) & (b > 0))).all())]
+    return spark.createDataFrame([(len(x), *map(bool, ok))], "cells long, symmetric boolean, bounded boolean, calibrated boolean, within boolean")
+
+
+@query("SELECT unnest(['multi_umap', 'tsne', 'tsne_external', 'umap', 'umap_dense']) AS layout, (SELECT count(*) FROM embeddings) AS cells, 2 AS components, true AS finite, true AS kept")
+def layouts_keep_neighbours(spark, d):
+    """Of the 15 nearest cells in a layout, at least twice as many as by chance are among the 15 nearest vectors."""
+    b = S.embedding_bundle(spark, d)
+    v = b.reduced["VEC"]
+    near = written(E.find_knn(v, 60), "near")
+    made = {
+        "tsne": E.calculate_tsne(b, dimred="VEC")[0], "tsne_external": E.calculate_tsne(b, dimred="VEC", perplexity=20, external_neighbors=near)[0],
+        "umap": E.calculate_umap(b, dimred="VEC")[0], "umap_dense": E.calculate_umap(b, dimred="VEC", use_densvis=True, external_neighbors=near)[0],
+        "multi_umap": E.calculate_multi_umap([R.dimensions(v, 32), R.dimensions(v, list(range(33, 65)))], ["euclidean", "cosine"])[0],
+    }
+    true = near.where("rank <= 15").select("cell_id", "neighbour")
+    n = v.agg(F.count(F.lit(1))).scalar()
+    out = None
+    for name, y in made.items():
+        y = written(y, "layout")
+        hit = E.find_knn(y, 15).select("cell_id", "neighbour").join(true, ["cell_id", "neighbour"]).agg(F.count(F.lit(1))).scalar()
+        fine = F.bool_and(~F.exists("coords", lambda c: F.isnan(c) | (F.abs(c) == float("inf"))))
+        one = y.agg(F.lit(name).alias("layout"), F.count(F.lit(1)).alias("cells"), F.max(F.size("coords")).alias("components"), fine.alias("finite"), (hit >= 2 * 15 * 15).alias("kept"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {BASKET}, f AS (SELECT p_brand AS name, min(p_partkey) AS k FROM part GROUP BY 1)
+SELECT name AS "Feature", c_mktsegment AS "Group", round(coalesce(sum(value), 0) / count(DISTINCT c_custkey), 6) AS value FROM f CROSS JOIN customer LEFT JOIN basket b ON b.cell_id = c_custkey AND b.feature_id = k GROUP BY 1, 2""")
+def grouped_heatmap_by_name(spark, d):
+    """Features selected and named by a metadata column; the first part of each brand stands for its name."""
+    b = _once(_basket(spark, d))
+    names = R.factor_levels(b.features, "p_brand")
+    return r6(G.grouped_heatmap(b, names, "c_mktsegment", assay_type="counts", swap_rownames="p_brand"), "value")

@@ -448,3 +448,25 @@ def test_annotations_names_and_places(toy):
     placed = V.rle(b, "counts", ordering=order).orderBy("place").collect()
     assert [r["Cell"] for r in placed] == order
     assert V.paired_densities(b.reduced[next(iter(b.reduced))], 2, 16).count() == 32 if b.reduced else True
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_neighbours_by_parts_are_exact(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(rng.uniform(-9, 9, 6), 1.0, (60, 6)) for _ in range(5)] + [np.zeros((4, 6))])
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(999, None)], "cell_id long, coords array<double>")
+    old, E.BLOCK_ROWS = E.BLOCK_ROWS, 40
+    try:
+        got = E.find_knn(rows, 4, metric).collect()
+        asked = E.query_knn(rows.where("cell_id % 9 = 0"), rows.where("cell_id % 9 <> 0"), 3, metric).collect()
+    finally:
+        E.BLOCK_ROWS = old
+    z = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+    d = np.abs(z[:, None] - z[None]).sum(-1) if metric == "manhattan" else np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    for i in range(len(x)):
+        far = sorted((round(float(d[i, j]), 9), j) for j in range(len(x)) if j != i)[:4]
+        mine = sorted((r["rank"], round(r["distance"], 9)) for r in got if r["cell_id"] == i)
+        assert [v for v, _ in far] == [v for _, v in mine]
+        if i % 9 == 0:
+            far = sorted(round(float(d[i, j]), 9) for j in range(len(x)) if j % 9)[:3]
+            assert far == sorted(round(r["distance"], 9) for r in asked if r["cell_id"] == i)
