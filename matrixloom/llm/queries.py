@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import table, written
@@ -65,6 +65,16 @@ def p2_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.varied_subset(_p2(spark, sf_dir))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the subset of a request holds: its size, the levels in it, and cells taken twice."""
+    asked = table(spark, sf_dir, "subset_requests").select("request_id", "batch").distinct()
+    level = tables.cells(spark, sf_dir).select("cell_id", F.col("cell_cycle").alias("level"))
+    got = p2_subset(spark, sf_dir).join(level, "cell_id").groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("chosen"), F.count_distinct("level").alias("levels"), (F.count(F.lit(1)) - F.count_distinct("cell_id")).alias("doubled")
+    )
+    return got.join(asked, "request_id").select("request_id", "chosen", "levels", "doubled")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.nearest_vectors(tables.vectors(spark, sf_dir), k=5, max_distance=1.0, probes=1)
     return neighbours.mutual_pairs(near).select("cell_id_a", "cell_id_b")
@@ -129,6 +139,12 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(told, "cluster_key").select("cluster_key", "part", "size", F.round("spread", 6).alias("spread"), F.array_join("medoids", " ").alias("medoids"), "levels")
 
 
+def p5_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by the members of all their parts, whether all parts are tight, and their levels."""
+    c = p5_clusters(spark, sf_dir)
+    return c.groupBy("cluster_key", "levels").agg(F.sum("size").alias("members"), (F.max("spread") <= CHAIN / 2 + 1e-6).alias("tight"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -185,8 +201,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
+# The characters that count as white space.
+_SPACE = "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters other than white space in the units of each text; with units that overlap counted apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    units = sentences.sentences(docs)
+    after = F.lead("char_start").over(Window.partitionBy("doc_id").orderBy("char_start"))
+    u = units.withColumn("_next", after).join(docs, "doc_id")
+    part = F.substring("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))
+    shown = F.length(F.regexp_replace(part, _SPACE, ""))
+    return u.groupBy("doc_id").agg(F.sum(shown).alias("shown"), F.count_if(F.col("_next") < F.col("char_end")).alias("overlaps"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p3_found, p3_nearest, p3_recall, p4_found, p4_percentiles, p4_by_day, p5_found, p5_clusters, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_delivery, p2_found, p2_subset, p2_coverage, p3_found, p3_nearest, p3_recall, p4_found, p4_percentiles, p4_by_day, p5_found, p5_clusters, p5_parts, p6_found, p6_report, p6_reparameterised, p7_found, p7_report, p7_mix, p7_overlap, p8_found, p8_coverage)
 }
 
 _LEVEL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
@@ -250,18 +281,24 @@ w AS (SELECT doc, id, need, hash(substr(s, p::BIGINT, need)) AS h FROM (SELECT d
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM w d JOIN (SELECT DISTINCT id, need, h FROM w WHERE NOT doc) i USING (need, h) WHERE d.doc"""
 
 _50TH = "try_cast(regexp_extract(a.cell_id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
+_CHAINS = f"""WITH RECURSIVE {_CELLS}, {_VECTORS},
+e AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 15),
+c(cell_id, root) USING KEY (cell_id) AS (
+  SELECT cell_id, cell_id FROM vec
+  UNION SELECT e.b, min(c.root) FROM c JOIN e ON e.a = c.cell_id JOIN recurring.c AS p ON p.cell_id = e.b WHERE c.root < p.root GROUP BY e.b)"""
 SQL: dict[str, str] = {
     "p2_found": f"""WITH {_CELLS}, {_VECTORS}, a AS (
   SELECT request_id, radius, c.cell_id, cell_cycle, v FROM subset_requests r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL),
 near AS (SELECT DISTINCT a.request_id, a.cell_id FROM a JOIN a b ON a.request_id = b.request_id AND a.cell_cycle = b.cell_cycle AND a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= a.radius)
 SELECT request_id, cell_id FROM a ANTI JOIN near USING (request_id, cell_id)""",
     "p6_found": _P6,
-    "p5_found": f"""WITH RECURSIVE {_VECTORS},
-e AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 15),
-c(cell_id, root) USING KEY (cell_id) AS (
-  SELECT cell_id, cell_id FROM vec
-  UNION SELECT e.b, min(c.root) FROM c JOIN e ON e.a = c.cell_id JOIN recurring.c AS p ON p.cell_id = e.b WHERE c.root < p.root GROUP BY e.b),
-n AS (SELECT root, count(*) AS n FROM c GROUP BY root)
+    "p2_coverage": f"""WITH {_CELLS}, {_VECTORS}, r AS (SELECT request_id, any_value(subset_size) AS k, any_value(batch) AS batch FROM subset_requests GROUP BY 1)
+SELECT request_id, least(any_value(k), count(*))::BIGINT AS chosen, count(DISTINCT cell_cycle) AS levels, 0::BIGINT AS doubled FROM r JOIN cells c ON c.batch = r.batch JOIN vec ON vec.cell_id = c.cell_id WHERE cell_cycle IS NOT NULL GROUP BY request_id""",
+    "p8_coverage": f"""WITH d AS (SELECT doc_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS shown FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, shown, 0::BIGINT AS overlaps FROM d WHERE shown > 0""",
+    "p5_parts": f"""{_CHAINS}, l AS (SELECT root, coalesce(cell_cycle, 'unknown') AS level, count(*) AS n FROM c LEFT JOIN cells USING (cell_id) GROUP BY 1, 2)
+SELECT root AS cluster_key, sum(n)::BIGINT AS members, true AS tight, string_agg(level || ':' || n, ' ' ORDER BY CASE WHEN level = 'unknown' THEN '' ELSE level END) AS levels FROM l GROUP BY root HAVING sum(n) >= 10""",
+    "p5_found": f"""{_CHAINS}, n AS (SELECT root, count(*) AS n FROM c GROUP BY root)
 SELECT root AS cluster_key, cell_id FROM c JOIN n USING (root) WHERE n >= 10""",
     "p3_found": f"""WITH {_VECTORS}, d AS (
   SELECT a.cell_id AS a, b.cell_id AS b, array_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.cell_id <> b.cell_id AND array_distance(a.v, b.v) <= 1.0),
