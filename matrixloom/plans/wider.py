@@ -470,3 +470,27 @@ def grouped_heatmap_by_name(spark, d):
     b = _once(_basket(spark, d))
     names = R.factor_levels(b.features, "p_brand")
     return r6(G.grouped_heatmap(b, names, "c_mktsegment", assay_type="counts", swap_rownames="p_brand"), "value")
+
+
+@query("""WITH e AS (SELECT label, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), r AS (SELECT dim, corr(x, label) ** 2 * var_samp(x) AS v FROM e GROUP BY 1)
+SELECT 'label' AS variable, 64::BIGINT AS components, round(sum(v), 5) AS explained FROM r""")
+def explained_by_all_components(spark, d):
+    """The variance a covariate explains over all components is what it explains over the dimensions they rotate."""
+    b = D.run_pca(S.embedding_bundle(spark, d), 64, dimred="VEC")
+    var = F.array(*[F.lit(float(v)) for v in b.attrs["PCA"]["varExplained"]])
+    e = X.get_explanatory_pcs(b, "PCA", 64, ["label"]).withColumn("v", F.col("pct") / 100 * F.get(var, F.col("component") - 1))
+    return e.groupBy("variable").agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("v"), 5).alias("explained"))
+
+
+@query("SELECT unnest(range(1, 11))::INT AS component, 0.0 AS mean, true AS falling, true AS uncorrelated")
+def pca_components(spark, d):
+    """Scores of the most variable log-counts: centred, of falling variance and uncorrelated."""
+    coords = written(D.calculate_pca(_logged(_once(_basket(spark, d))), 10)[0], "scores")
+    at = lambda i: F.get("coords", F.lit(i))
+    s = coords.agg(*[F.avg(at(i)).alias(f"m{i}") for i in range(10)], *[F.covar_samp(at(i), at(j)).alias(f"c{i}_{j}") for i in range(10) for j in range(i, 10)]).first()
+    rows = []
+    for i in range(10):
+        own = s[f"c{i}_{i}"]
+        loose = all(abs(s[f"c{min(i, j)}_{max(i, j)}"]) <= 1e-6 * max(own, s[f"c{j}_{j}"]) for j in range(10) if j != i)
+        rows.append((i + 1, round(s[f"m{i}"], 6) + 0.0, i == 0 or own <= s[f"c{i - 1}_{i - 1}"] * (1 + 1e-9), loose))
+    return spark.createDataFrame(rows, "component int, mean double, falling boolean, uncorrelated boolean")
