@@ -111,27 +111,30 @@ class Landmarks:
         return own, linked, doubt
 
 
+def _contracted(e: DataFrame) -> DataFrame:
+    """Edges (u, v), v the smaller, after a large-star and a small-star step. Minima are combined on the map side."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    big = big.where("u <> v").distinct()
+    low = big.groupBy("u").agg(F.min("v").alias("m"))
+    small = big.join(low, "u")
+    return small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) string edges: (id, root), root the smallest id of the component.
 
-    Alternates large-star and small-star steps. Minima are combined on the map side, every round is
-    written to the shared folder, and the rounds end when the edges no longer change.
+    Every round is written to the shared folder, and the rounds end when the edges are stars: every edge leads to a smallest
+    id and every other id has one edge.
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.where("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u")
-        e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(e, "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        roots = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        tied = e.join(roots.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1).alias("x"))
+        if tied.unionByName(roots.where("n > 1").select(F.lit(1).alias("x"))).isEmpty():
             break
-        before = now
+        e = written(_contracted(e), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
