@@ -130,16 +130,22 @@ _FOUND = "a string, b string, distance double"
 
 
 class Lists:
-    """A written inverted file: every vector with its list, its code and the code's error, encoded once."""
+    """An inverted file: every vector with its list, its code and the code's error, encoded once."""
 
-    def __init__(self, base: DataFrame, dims: int, radius: float | None, probes: int):
-        """``base``: rows of cell_id, vec and asks. Rows that ask get the lists to look into."""
+    def __init__(self, base: DataFrame, dims: int, radius: float | None, probes: int, keep: bool):
+        """``base``: rows of cell_id, vec and asks. Rows that ask get the lists to look into. With ``keep`` the file is written, to be searched again.
+
+        How many rows and queries a list has is estimated on the sample, only to decide into how many blocks it is cut.
+        """
         n = base.count()
         n_lists = max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS)))
         x = packed_sample(base, n, dims, max(SAMPLE_ROWS, ROWS_EACH * n_lists))
-        self.base, self.dims, self.radius = base, dims, radius
+        self.dims, self.radius, self.keep = dims, radius, keep
         self.ix = ix = Index(x, n_lists)
-        count = len(ix.centroids)
+        own, _, cells = reach(x, ix.centroids, radius or 0.0, probes)
+        count, each = len(ix.centroids), n / max(len(x), 1)
+        held, asked = (np.bincount(z, minlength=count) * each for z in (own, cells))
+        self.chunks, self.parts = (np.maximum(1, np.ceil(z / most)).astype(np.int64) for z, most in ((held, CHUNK_ROWS), (asked, QUERY_ROWS)))
 
         def place(t: pa.Table) -> pa.Table:
             v = unpacked(t["vec"], dims)
@@ -149,58 +155,89 @@ class Lists:
             codes, err = ix.encode(v, own)
             return pa.table([t["cell_id"], t["vec"], t["asks"], pa.array(own, pa.int32()), packed(codes), pa.array(err), ragged(rows[keep], cells[keep], len(v))], names=["cell_id", "vec", "asks", "own", "code", "err", "probes"])
 
-        schema = "cell_id string, vec binary, asks boolean, own int, code binary, err double, probes array<int>"
-        self.placed = written(base.select("cell_id", "vec", "asks").mapInArrow(lambda it: batches(place, it), schema), "lists")
-        # at most MOST_LISTS rows come to the driver
-        self.rows_of = {r[0]: r[1] for r in self.placed.groupBy("own").count().collect()}
-        self.lists = range(count)
+        self.place, self.base = place, base.select("cell_id", "vec", "asks")
+        if keep:
+            schema = "cell_id string, vec binary, asks boolean, own int, code binary, err double, probes array<int>"
+            self.base = written(self.base.mapInArrow(lambda it: batches(place, it), schema), "lists")
 
-    def search(self, asks: DataFrame, k: int, rerank: int, own: bool, exact: bool) -> DataFrame:
-        """(a, b, distance) for ``asks``: cell_id, vec, own, probes, radius. With ``own`` the rows that ask in the index also ask their own list.
+    def search(self, k: int, rerank: int, asks: DataFrame | None = None) -> DataFrame:
+        """(a, b, distance) of the rows that ask, or of ``asks``: cell_id, vec, probes, radius.
 
-        Every row of a list is sent to its block once (and again only where a list has more queries than a task takes), with its code;
-        a query goes to the blocks of the other lists it probes.
+        Every row of a list is sent to its block with its code (and again only where a list has more queries than a task takes);
+        a query goes to the blocks of the other lists it probes, and to the other blocks of its own.
         """
-        spark, ix, dims = self.base.sparkSession, self.ix, self.dims
-        asked = {r[0]: r[1] for r in asks.select(F.explode("probes").alias("p")).groupBy("p").count().collect()}
-        held = {j: self.rows_of.get(j, 0) for j in self.lists}
-        plan = [(j, max(1, math.ceil(held[j] / CHUNK_ROWS)), max(1, math.ceil((asked.get(j, 0) + own * held[j]) / QUERY_ROWS))) for j in self.lists if held[j] and (own or asked.get(j))]
-        plan = F.broadcast(spark.createDataFrame(plan, "list int, chunks int, parts int"))  # MOST_LISTS rows
-        h = F.xxhash64("cell_id")
-        chunk, part = F.pmod(h, "chunks").cast("int"), F.pmod(F.shiftrightunsigned(h, 20), "parts").cast("int")
-        span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        radius = F.lit(None).cast("double") if not exact else F.col("radius")
-        base = self.placed.withColumn("list", F.col("own")).join(plan, "list")
-        base = base.select("list", chunk.alias("chunk"), span("parts").alias("part"), part.alias("_p"), "cell_id", "vec", "asks", "code", "err")
-        base = base.select("list", "chunk", "part", F.lit(True).alias("base"), (F.lit(own) & F.col("asks") & (F.col("part") == F.col("_p"))).alias("asks"), "cell_id", "vec", "code", "err", F.lit(self.radius if own else None).cast("double").alias("radius"))
-        others = asks.select(F.explode("probes").alias("list"), "cell_id", "vec", radius.alias("radius"))
-        blank = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("err")]
-        others = others.join(plan, "list").select("list", span("chunks").alias("chunk"), part.alias("part"), F.lit(False).alias("base"), F.lit(True).alias("asks"), "cell_id", "vec", *blank, "radius")
-        rows = base.unionByName(others)
-        if own:  # rows of lists in several blocks ask the other blocks too
-            rest = self.placed.where("asks").withColumn("list", F.col("own")).join(plan, "list").where("chunks > 1")
-            rest = rest.select("list", span("chunks").alias("chunk"), chunk.alias("_c"), part.alias("part"), "cell_id", "vec").where("chunk <> _c")
-            rows = rows.unionByName(rest.select("list", "chunk", "part", F.lit(False).alias("base"), F.lit(True).alias("asks"), "cell_id", "vec", *blank, F.lit(self.radius).cast("double").alias("radius")))
+        ix, dims, place, placed, chunks, parts = self.ix, self.dims, self.place, self.keep, self.chunks, self.parts
+        own, radius = asks is None, self.radius
+        exact = radius is not None or not own
+        mix = np.random.default_rng(5).integers(1, 1 << 62, dims, np.uint64) * np.uint64(2) + np.uint64(1)
+
+        def blocks(v: np.ndarray) -> np.ndarray:
+            """A hash of each vector, which tells its block in any list."""
+            with np.errstate(over="ignore"):
+                h = (v.view(np.uint64) * mix).sum(1, dtype=np.uint64)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            return (h >> np.uint64(20)).astype(np.int64)
+
+        def spread(row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each row ``times`` times, with the number of the repeat."""
+            r = np.repeat(row, times)
+            return r, np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+
+        def sent(t: pa.Table, rows: np.ndarray, list_: np.ndarray, chunk: np.ndarray, part: np.ndarray, base: bool, asks: np.ndarray, r: np.ndarray | None) -> pa.Table:
+            take, n = pa.array(rows), len(rows)
+            code, err = (t["code"].take(take), t["err"].take(take)) if base else (pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64()))
+            cols = [pa.array(z.astype(np.int32)) for z in (list_, chunk, part)]
+            far = pa.nulls(n, pa.float64()) if r is None else pa.array(r)
+            return pa.table([*cols, pa.array(np.full(n, base)), pa.array(asks), t["cell_id"].take(take), t["vec"].take(take), code, err, far], names=["list", "chunk", "part", "base", "asks", "cell_id", "vec", "code", "err", "radius"])
+
+        def asking(t: pa.Table, h: np.ndarray, r: np.ndarray | None) -> pa.Table:
+            probes = t["probes"].combine_chunks()
+            to = np.asarray(probes.flatten().to_numpy(zero_copy_only=False), np.int64)
+            row = np.repeat(np.arange(len(h)), np.asarray(probes.value_lengths().to_numpy(zero_copy_only=False), np.int64))
+            i, chunk = spread(np.arange(len(row)), chunks[to])
+            row, to = row[i], to[i]
+            return sent(t, row, to, chunk, (h[row] // 1_009) % parts[to], False, np.ones(len(row), bool), None if r is None else r[row])
+
+        def emit(t: pa.Table) -> pa.Table:
+            t = t if placed else place(t)
+            h, at = blocks(unpacked(t["vec"], dims)), t["own"].to_numpy().astype(np.int64)
+            wants = np.asarray(t["asks"].to_numpy(zero_copy_only=False), bool) if own else np.zeros(len(h), bool)
+            row, part = spread(np.arange(len(h)), parts[at])
+            mine = (h[row] // 1_009) % parts[at[row]] == part
+            r = np.full(len(h), radius) if radius is not None else None
+            out = [sent(t, row, at[row], h[row] % chunks[at[row]], part, True, wants[row] & mine, None if r is None else r[row])]
+            if own:
+                out.append(asking(t, h, r))
+                row, chunk = spread(np.nonzero(wants)[0], chunks[at[wants]])
+                row, chunk = (z[chunk != h[row] % chunks[at[row]]] for z in (row, chunk))
+                out.append(sent(t, row, at[row], chunk, (h[row] // 1_009) % parts[at[row]], False, np.ones(len(row), bool), None if r is None else r[row]))
+            return pa.concat_tables(out)
+
+        schema = "list int, chunk int, part int, base boolean, asks boolean, cell_id string, vec binary, code binary, err double, radius double"
+        rows = self.base.mapInArrow(lambda it: batches(emit, it), schema)
+        if not own:
+            others = asks.mapInArrow(lambda it: batches(lambda t: asking(t, blocks(unpacked(t["vec"], dims)), t["radius"].to_numpy()), it), schema)
+            rows = rows.unionByName(others)
 
         def find(t: pa.Table) -> pa.Table:
             base, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("base", "asks"))
             if not base.any() or not asks.any():
                 return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=["a", "b", "distance"])
-            t = t.append_column("_base", pa.array(base)).append_column("_asks", pa.array(asks)).sort_by("cell_id")  # so that ties go to the smaller id
-            base, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("_base", "_asks"))
+            t = t.sort_by("cell_id")  # so that ties go to the smaller id
+            base, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("base", "asks"))
             v = unpacked(t["vec"], dims)
             at = np.nonzero(base)[0]
             xs, qs = t["cell_id"].take(pa.array(at)), np.nonzero(asks)[0]
             codes = unpacked(t["code"].take(pa.array(at)), len(ix.books), np.uint8)
             err = t["err"].take(pa.array(at)).to_numpy()
             if own:  # a query in the block of its own row is that row
-                place = np.full(len(v), -1)
-                place[at] = np.arange(len(at))
-                same = place[qs]
+                at_base = np.full(len(v), -1)
+                at_base[at] = np.arange(len(at))
+                same = at_base[qs]
             else:
                 same = pc.fill_null(pc.index_in(t["cell_id"].take(pa.array(qs)), value_set=xs), -1).to_numpy()
-            radius = t["radius"].take(pa.array(qs)).to_numpy() if exact else None
-            a, b, d = ix.search(v[qs], v[at], codes, err, t["list"][0].as_py(), same, k, radius, rerank)
+            r = t["radius"].take(pa.array(qs)).to_numpy() if exact else None
+            a, b, d = ix.search(v[qs], v[at], codes, err, t["list"][0].as_py(), same, k, r, rerank)
             return pa.table([t["cell_id"].take(pa.array(qs[a])), xs.take(pa.array(b)), pa.array(d, pa.float64())], names=["a", "b", "distance"])
 
         return rows.groupBy("list", "chunk", "part").applyInArrow(find, _FOUND)
@@ -213,23 +250,23 @@ def _best(found: DataFrame, k: int, by: str, to: str) -> DataFrame:
 
 def _searched(base: DataFrame, dims: int, k: int, radius: float | None, probes: int, exact: bool, rerank: int) -> DataFrame:
     """(a, b, distance) candidates between distinct vectors; ``base``: at least one row of cell_id, vec, asks."""
-    lists = Lists(base, dims, radius, probes)
-    first = lists.placed.where("asks").select("cell_id", "vec", "own", "probes", F.lit(radius).cast("double").alias("radius"))
-    found = written(lists.search(first, k, rerank, True, radius is not None), "found")
-    if radius is not None or not exact:
+    again = exact and radius is None
+    lists = Lists(base, dims, radius, probes, again)
+    found = written(lists.search(k, rerank), "found")
+    if not again:
         return found
     # the k-th distance so far bounds what is left: every list that may hold something nearer is looked into
     kth = _best(found, k, "a", "b").groupBy("a").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius"))
-    left = first.drop("radius").join(kth.withColumnRenamed("a", "cell_id"), "cell_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    left = lists.base.where("asks").select("cell_id", "vec").join(kth.withColumnRenamed("a", "cell_id"), "cell_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
     centroids = lists.ix.centroids
 
     def more(t: pa.Table) -> pa.Table:
         v, r = unpacked(t["vec"], dims), t["radius"].to_numpy() * (1 + 1e-12)
         _, rows, cells = reach(v, centroids, np.minimum(r, 1e150))
-        return pa.table([t["cell_id"], t["vec"], t["own"], ragged(rows, cells, len(v)), pa.array(r)], names=["cell_id", "vec", "own", "probes", "radius"])
+        return pa.table([t["cell_id"], t["vec"], ragged(rows, cells, len(v)), pa.array(r)], names=["cell_id", "vec", "probes", "radius"])
 
-    done = written(left.mapInArrow(lambda it: batches(more, it), "cell_id string, vec binary, own int, probes array<int>, radius double"), "bounded")
-    return lists.search(done, k, rerank, False, True)
+    bounded = written(left.mapInArrow(lambda it: batches(more, it), "cell_id string, vec binary, probes array<int>, radius double"), "bounded")
+    return lists.search(k, rerank, bounded)
 
 
 def nearest_vectors(
@@ -248,7 +285,7 @@ def nearest_vectors(
 
     Rows with the same vector (told by a hash of 128 bits) are one entry of the index, so that groups of copies of any size cost
     nothing; a copy's nearest are the other copies with the smallest ids, then the neighbours of the
-    entry. Lists and their queries are split into blocks of bounded size by sizes counted beforehand.
+    entry. Lists and their queries are split into blocks of bounded size by sizes estimated beforehand.
     """
     asks: Column = F.coalesce(F.expr(query), F.lit(False)) if query else F.lit(True)
     v = pack(vectors.select("cell_id", "coords").withColumn("asks", asks), "asks")
