@@ -16,7 +16,7 @@ from .space import ROWS_EACH, SAMPLE_ROWS, batches, kmeans, nearest, pack, packe
 #: Vectors aimed at in a list and held by one task of it, queries of a list in one task, lists at most.
 LIST_ROWS, CHUNK_ROWS, QUERY_ROWS, MOST_LISTS = 2_000, 16_000, 40_000, 16_384
 #: Codewords of a subspace, dimensions of one, subspaces after which sums are broken off; rows of a part of a list within a task; queries whose tables are held at a time.
-CODEWORDS, SUBSPACE, EARLY, PART_ROWS, TABLE_QUERIES = 64, 2, 4, 256, 4_096
+CODEWORDS, SUBSPACE, EARLY, PART_ROWS, TABLE_QUERIES = 64, 2, 5, 160, 4_096
 #: Groups of copies up to which their keys (16 bytes each) are sent to all executors; more are joined by shuffle.
 MOST_SENT = 500_000
 #: Copies of a vector that meet its neighbours in one task.
